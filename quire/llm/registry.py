@@ -1,11 +1,13 @@
 """The corpus operators' queries and, where SQL can express them, their oracles."""
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, near_dedup, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLES = {
