@@ -49,7 +49,7 @@ def digest_state(spark: SparkSession, path: str, key: str = "doc_id", text: str
     locator = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     rows = stream.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"), F.struct(F.col(key).alias("id"), *locator).alias("kept"))
     state = rows.groupBy("digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true"):
+    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", at).trigger(availableNow=True).start()
         query.awaitTermination()
         found = spark.read.format("statestore").load(at)
