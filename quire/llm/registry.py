@@ -1,6 +1,6 @@
 """The corpus operators' queries and, where SQL can express them, their oracles."""
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, secrets, sharding
+from . import bpe, exact_dedup, lm, mixing, near_dedup, quality, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
+    "op8_lm_scores": lm.op8_lm_scores,
     "op9_secrets": secrets.op9_secrets,
 }
 
