@@ -1,11 +1,12 @@
 """The corpus operators' queries and, where SQL can express them, their oracles."""
 
-from . import bpe, exact_dedup, lm, mixing, near_dedup, quality, secrets, sharding
+from . import bpe, exact_dedup, line_dedup, lm, mixing, near_dedup, quality, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
