@@ -1,6 +1,6 @@
 """The corpus operators' queries and, where SQL can express them, their oracles."""
 
-from . import bpe, exact_dedup, line_dedup, lm, mixing, near_dedup, quality, secrets, sharding
+from . import bpe, embedding_dedup, exact_dedup, line_dedup, lm, mixing, near_dedup, quality, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_lm_scores": lm.op8_lm_scores,
     "op9_secrets": secrets.op9_secrets,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
 ORACLES = {
