@@ -43,3 +43,12 @@ def unit(*cols: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+
+
+#: rows of a few bytes that may be broadcast; beyond, they are joined by a shuffle
+BROADCAST_ROWS = 200_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """Marked for a broadcast where its rows, counted, are few enough; rows are to be ids or narrower than 100 bytes."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small

@@ -31,16 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import settle, table
-from ._shingles import _MUL, _words, mixed, shingle_set, overlap
+from ._common import WORD, settle, sized, table
+from ._shingles import _MUL, _words, mixed, overlap, shingle_set
 
 WIDTH = 5
 MIN_WORDS = 5
 COUNTERS = 1 << 16
 #: words taken at once
 TOKENS = 1 << 20
-#: rows (of 8 to 24 bytes) that may be broadcast to pick postings and texts; beyond, they are joined
-BROADCAST_ROWS = 200_000
 
 
 def _read(texts: list[bytes | None], width: int, min_words: int) -> tuple[np.ndarray, ...]:
@@ -171,7 +169,7 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     at = F.struct("doc", "line").alias("at")
     postings = classes.select(at, "n", F.posexplode("prefix").alias("place", "token"))
     shared = settle(postings.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
-    lists = settle(postings.join(_sized(shared), "token"), "line-lists")
+    lists = settle(postings.join(sized(shared), "token"), "line-lists")
 
     heads = lists.groupBy("token").agg(F.min(F.struct("at", "n", "place")).alias("x"))
     first = lists.alias("y").join(heads, "token").filter(F.col("x.at") < F.col("y.at")).filter(_possible(num, den))
@@ -185,15 +183,10 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     return settle(repeated.unionByName(matched.select("y.doc", "y.line")).distinct(), "removed-lines")
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    """Broadcast where few rows allow it."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def _bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """at and the line's text for the lines wanted."""
     ids = settle(wanted.groupBy("at.doc").agg(F.collect_set("at.line").alias("wanted")), "line-wanted")
-    found = texts.join(_sized(ids), texts.id == ids.doc).withColumn("parts", F.split(F.col("text").cast("string"), "\n", -1))
+    found = texts.join(sized(ids), texts.id == ids.doc).withColumn("parts", F.split(F.col("text").cast("string"), "\n", -1))
     each = found.select("doc", "parts", F.explode("wanted").alias("line"))
     each = each.select(F.struct("doc", "line").alias("at"), F.get("parts", F.col("line").cast("int")).cast("binary").alias("text"))
     return settle(each.dropDuplicates(["at"]), "line-texts")

@@ -102,14 +102,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     offsets = buckets.select("skey", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     inside = W.partitionBy("skey", "__bucket").orderBy("__h", "__id", "size", "__t").rowsBetween(W.unboundedPreceding, 0)
     layout = rows.withColumn("__end", F.sum("size").over(inside)).join(offsets, ["skey", "__bucket"])
-    layout = layout.select("__id", "skey", "size", (F.col("__offset") + F.col("__end") - F.col("size")).alias("start"))
+    layout = layout.select("__id", "__t", "skey", "size", (F.col("__offset") + F.col("__end") - F.col("size")).alias("start"))
     layout = settle(layout.join(sources.select("skey", "idx", "source_size", "target"), "skey"), "mix-layout")
 
     # Each slot of each shard draws its source: together a multinomial draw for each shard.
     bounds = sources.filter("quota > 0").groupBy().agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("upto", "idx"))).alias("bounds"))
     shards = bounds.filter("total > 0").select("total", "bounds", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / slots))).alias("shard"))
     shards = shards.repartition(spark.sparkContext.defaultParallelism * 2, "shard")
-    # without a slot of its own a shard still draws: the last shard is shorter
     drawn = shards.select("shard", "bounds", F.explode(F.sequence(F.col("shard") * slots, F.least(F.col("shard") * slots + slots, F.col("total")) - 1)).alias("slot"))
     drawn = drawn.withColumn("u", unit(F.lit(seed), F.lit("slot"), F.col("slot")))
     pick = F.filter("bounds", lambda b: b["upto"] > F.col("u"))
@@ -150,6 +149,30 @@ def taken_words(m: Mix) -> DataFrame:
     return out.withColumn("taken", F.coalesce("__taken", F.lit(0))).drop("__taken", "__at")
 
 
+def mixed_texts(docs: DataFrame, m: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs as the mix takes them: for each document a row with the words taken once or more, and one with those taken twice.
+
+    A row's text is its words in their order with the white space after each. Rows that
+    have the same id and text count as one here.
+    """
+    last = F.floor((F.col("start") + F.col("size") - 1) / m.block)
+    parts = m.layout.filter("size > 0").select("idx", "start", "size", "__id", "__t", F.explode(F.sequence(F.floor(F.col("start") / m.block), last)).alias("block"))
+    times = m.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
+    a = F.greatest(F.col("block") * m.block - F.col("start"), F.lit(0))
+    b = F.least((F.col("block") + 1) * m.block - F.col("start"), F.col("size"))
+    cuts = parts.join(times, ["idx", "block"]).select("__id", "__t", F.struct(a.cast("int").alias("a"), (b - a).cast("int").alias("n")).alias("cut"), "times")
+    cuts = cuts.select("__id", "__t", "cut", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
+    cuts = cuts.groupBy("__id", "__t", "turn").agg(F.sort_array(F.collect_set("cut")).alias("__cuts"))
+    ids = docs.select(key, F.xxhash64(text).alias("__h"))
+    single = ids.groupBy(key, "__h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    own = docs.withColumn("__h", F.xxhash64(text))
+    own = own if single else own.dropDuplicates([key, "__h"])
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    out = own.withColumn("__words", words).join(cuts, own[key].eqNullSafe(cuts["__id"]) & (F.col("__h") == F.col("__t")))
+    taken = F.flatten(F.transform("__cuts", lambda c: F.slice("__words", c["a"] + 1, c["n"])))
+    return out.withColumn(text, F.array_join(taken, "")).select(*docs.columns)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     out = taken_words(mix(table(spark, sf_dir, "documents")))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import settle, table, unit
+from ._common import settle, sized, table, unit
 from ._graph import components
 from ._shingles import overlap, shingle_set
 
@@ -43,8 +43,6 @@ SMALL = 48
 DEPTH = 8
 #: partners of a class that are compared with one copy of its row
 SALT = 64
-#: ids that may be broadcast to select the texts to confirm (8 bytes each); beyond, they are joined
-BROADCAST_IDS = 200_000
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,7 +143,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     own = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("member"))
     rows = own.unionByName(dealt.select("a", "salt", F.col("b").alias("member")))
     members = rows.select(F.col("member").alias("id")).distinct()
-    chosen = texts.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "id")
+    chosen = texts.join(sized(members), "id")
     rows = rows.join(chosen, rows.member == chosen.id).select("a", "salt", "member", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("member") != F.col("a"), "member")
     return settle(rows.mapInArrow(_confirm(width, num, den), "a bigint, b bigint"), "links")
