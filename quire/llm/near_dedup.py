@@ -9,12 +9,14 @@ up to DEPTH levels, when what is left in a node agrees almost everywhere.
 
 Comparing goes in two rounds, which lose no link between components. In the first, each
 node's members are compared with the node's least member: a group of thousands of copies
-gives as many pairs, not its square. In the second, nodes whose members are still in
-several components compare each member outside the node's commonest component with all
-members in other components. A pair is a candidate if the set sizes allow the threshold
-and the sketches are within four standard deviations of it. Candidates are confirmed on
-the full sets: the texts are read again and the exact intersection is counted. The
-members of one side of a hot class are spread over salted copies of its row.
+gives as many pairs, not its square. The members of one side of a hot class are spread
+over salted copies of its row. In the second, nodes whose members are still in several
+components are compared exhaustively: of these, each member that has a candidate in
+another component brings its text to the node, all full sets of a node (or of two blocks
+of WIDE members of it) are compared by one matrix product, and only links that join
+components come out, at most one for each member. A pair is a candidate if the set sizes
+allow the threshold and the sketches are within four standard deviations of it. Links
+are confirmed on the full sets: texts are read again and intersections counted.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link
 with nothing; texts of fewer words than a shingle are one shingle; rows with null ids are
@@ -43,6 +45,8 @@ SMALL = 48
 DEPTH = 8
 #: partners of a class that are compared with one copy of its row
 SALT = 64
+#: members of a node that are compared at once, with as many others
+WIDE = 256
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,6 +153,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return settle(rows.mapInArrow(_confirm(width, num, den), "a bigint, b bigint"), "links")
 
 
+def _compare(width: int, num: int, den: int):
+    """Rows (cell, id, comp, text) sorted by cell -> links that join components of a cell."""
+
+    def emit(ids: list[int], comps: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(set(comps)) < 2:
+            return
+        sets = [shingle_set(t, width) for t in texts]
+        n = np.array([len(s) for s in sets])
+        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        token, who = shared[token][count[token] > 1], who[count[token] > 1]
+        order = np.argsort(token)
+        token, who = token[order], who[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for first in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            i, j = np.searchsorted(token, [first, first + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[who[i:j], token[i:j] - first] = 1
+            common += m @ m.T
+        linked = den * common >= num * (n[:, None] + n[None] - common)
+        top = {c: c for c in comps}
+
+        def find(c: int) -> int:
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            x, y = find(comps[i]), find(comps[j])
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for batch in batches:
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "id", "comp", "text")), strict=True):
+                if cell != now:
+                    yield from emit(*held)
+                    now, held = cell, ([], [], [])
+                for column, x in zip(held, row, strict=True):
+                    column.append(x)
+        yield from emit(*held)
+
+    return run
+
+
+def _joined(active: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between members (node, id, comp) of a node in different components, enough to join these."""
+    sizes = active.groupBy("node").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"))
+    placed = active.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "id", "comp")
+    chosen = settle(texts.join(sized(active.select("id").distinct()), "id"), "active-texts")
+    rows = cells.join(chosen, "id").select("cell", "id", "comp", "text").repartition("cell").sortWithinPartitions("cell", "id")
+    return settle(rows.mapInArrow(_compare(width, num, den), "a bigint, b bigint"), "links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id and kept for each row; links have den * intersection >= num * union."""
     threshold = num / den
@@ -165,15 +232,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     labels = components(links)
 
     placed = nodes.join(labels, "id", "left").select("node", "id", "n", "s0", "s1", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("node").agg(F.mode("comp").alias("major"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node", "major")
+    mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
     still = settle(placed.join(mixed, "node"), "open")
-    x, y = still.filter("comp <> major").alias("x"), still.alias("y")
-    wanted = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-    more = x.join(y, (F.col("x.node") == F.col("y.node")) & wanted & _alike("x", "y", threshold))
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = settle(more, "more")
-    if not second.isEmpty():
-        links = links.unionByName(confirmed(second, texts, width, num, den))
+    x, y = still.alias("x"), still.alias("y")
+    active = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y", threshold), "left_semi")
+    active = settle(active.select("node", "id", "comp"), "active")
+    if not active.isEmpty():
+        links = links.unionByName(_joined(active, texts, width, num, den))
         labels = components(links)
 
     groups = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
