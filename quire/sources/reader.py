@@ -90,7 +90,8 @@ def objects(files: DataFrame) -> DataFrame:
     """path, number, generation, offset, body (text), data (a stream's raw bytes) and repaired, by table or by repair."""
     texts = headers(files).select("path", "text")
     entries = xref_entries(xref_sections(files)).filter("used and number > 0")
-    seen = entries.join(texts, "path").withColumn("part", F.substr("text", F.col("offset") + 1))
+    entries = entries.withColumn("next", F.lead("offset").over(W.partitionBy("path").orderBy("offset", "number")))
+    seen = entries.join(texts, "path").withColumn("part", _between("text", F.col("offset"), F.col("next")))
     seen = seen.withColumn("ok", (F.regexp_extract("part", _HEAD, 1) == F.col("number").cast("string")) & (F.regexp_extract("part", _HEAD, 2) == F.col("generation").cast("string")))
     sound = seen.groupBy("path").agg(F.bool_and("ok").alias("sound")).filter("sound").select("path")
     byTable = seen.join(sound, "path").select("path", "number", "generation", "offset", F.lit(False).alias("repaired"), "part")
@@ -98,6 +99,11 @@ def objects(files: DataFrame) -> DataFrame:
     return _bodies(byTable.unionByName(_repaired(damaged)))
 
 
+def _between(text: str, start: Column, stop: Column) -> Column:
+    """The text from one object to the next, or to the end: each part of a file is cut out once."""
+    return F.substr(text, (start + 1).cast("int"), (F.coalesce(stop, F.length(text)) - start).cast("int"))
+
+
 def _repaired(texts: DataFrame) -> DataFrame:
     """Every object that a file's text shows, the last of each number."""
     pattern = r"(?<![0-9])(?:[0-9]+)\s+[0-9]+\s+obj\b"
@@ -107,7 +113,8 @@ def _repaired(texts: DataFrame) -> DataFrame:
     upto = W.partitionBy("path").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.length("z.gap") + F.coalesce(F.length("z.mark"), F.lit(0))).over(upto)).filter("z.mark is not null")
     offset = F.col("end") - F.length("z.mark")
-    rows = rows.select("path", F.regexp_extract("z.mark", r"^(\d+)", 1).cast("bigint").alias("number"), F.regexp_extract("z.mark", r"^\d+\s+(\d+)", 1).cast("int").alias("generation"), offset.alias("offset"), F.lit(True).alias("repaired"), F.substr("text", offset + 1).alias("part"))
+    rows = rows.select("path", "text", F.regexp_extract("z.mark", r"^(\d+)", 1).cast("bigint").alias("number"), F.regexp_extract("z.mark", r"^\d+\s+(\d+)", 1).cast("int").alias("generation"), offset.alias("offset"), F.lit(True).alias("repaired"))
+    rows = rows.withColumn("part", _between("text", F.col("offset"), F.lead("offset").over(W.partitionBy("path").orderBy("offset")))).drop("text")
     last = F.row_number().over(W.partitionBy("path", "number").orderBy(F.col("offset").desc()))
     return rows.withColumn("k", last).filter("k = 1").drop("k")
 
