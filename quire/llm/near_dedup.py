@@ -107,7 +107,8 @@ def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
         large = sized.filter(F.col("m") > SMALL).drop("m")
         if level == DEPTH or large.isEmpty():
             return done
-        rows = settle(_branched(large.join(classes.select("id", "sig"), "id"), threshold, level), "paths")
+        here = classes.select("id", "sig").join(sized(large.select("id").distinct()), "id")
+        rows = settle(_branched(large.join(here, "id"), threshold, level), "paths")
     return done
 
 
