@@ -10,11 +10,14 @@ a class are ordered by rarity: by the logarithm of their count in a table of COU
 counters over all lines (of fixed size, so it may be broadcast), then by hash. Any fixed
 order gives an exact result; the rare ones first make few candidates. Two sets that are
 similar enough share a token among their first n - ceil(n * num / den) + 1; only tokens
-that occur in two classes' prefixes go on. Candidates pass the length filter and, by
-where the shared token stands in each, the positional filter, then are verified on the
-lines' full sets. Each token's earliest class is tried first against all of its list;
-only classes that this leaves unmatched are tried against all that are earlier, so that
-a list of thousands of near copies makes pairs in proportion to its length.
+that occur in two classes' prefixes go on (a task hands on each class's prefix once).
+Candidates pass the length filter, by where the shared token stands in each the
+positional filter, and by a parity bitmap of each set (whose bits differ in no more
+places than the sets have tokens that are not shared) the bitmap filter; the rest are
+verified on the lines' full sets. Each token's earliest class is tried first against all
+of its list; only classes that this leaves unmatched are tried against all that are
+earlier, so that a list of thousands of near copies makes pairs in proportion to its
+length.
 
 Defined results: null and empty texts have no line to remove; documents with null ids are
 neither compared nor changed; rows with the same id count as one document; repeated lines
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import WORD, settle, sized, table
@@ -37,22 +41,24 @@ from ._shingles import _MUL, _words, mixed, overlap, shingle_set
 WIDTH = 5
 MIN_WORDS = 5
 COUNTERS = 1 << 16
+#: digests whose prefixes a task remembers to have given
+REMEMBER = 300_000
 #: words taken at once
 TOKENS = 1 << 20
 
 
 def _read(texts: list[bytes | None], width: int, min_words: int) -> tuple[np.ndarray, ...]:
     """Shingle hashes, the line of each (numbered through the texts), and each line's text and line number."""
-    hashes, sizes, doc, number = [], [], [], []
+    every, sizes, doc, number = [], [], [], []
     for d, text in enumerate(texts):
         for i, line in enumerate((text or b"").lower().split(b"\n")):
             words = line.split()
             if len(words) >= min_words:
-                hashes += map(_words.__getitem__, words)
+                every += words
                 sizes.append(len(words))
                 doc.append(d)
                 number.append(i)
-    h, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
+    h, n = np.fromiter(map(_words.__getitem__, every), np.uint64, len(every)), np.array(sizes, np.int64)
     m = max(len(h) - width + 1, 0)
     acc = np.full(m, np.uint64(width), np.uint64)
     for i in range(width):
@@ -105,10 +111,10 @@ def rarity(texts: DataFrame, width: int, min_words: int) -> np.ndarray:
 
 
 def _sign(width: int, min_words: int, num: int, den: int, levels):
-    """For each line: its set's digest, size and prefix."""
+    """For each line: its set's digest, size, parity bitmap, and prefix where this task hasn't given it yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = levels.value
+        rare, given = levels.value, set()
         for ids, texts in _slices(batches):
             h, line, doc, number = _read(texts, width, min_words)
             if not len(h):
@@ -124,13 +130,21 @@ def _sign(width: int, min_words: int, num: int, den: int, levels):
             n = np.bincount(line, minlength=len(doc))
             starts = np.cumsum(n) - n
             digests = [np.add.reduceat(mixed(h * np.uint64(c)), starts).view(np.int64) for c in (3, 5)]
-            many = n - (n * num + den - 1) // den + 1
+            bit, half = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1)
+            parity = [np.bitwise_xor.reduceat(bit * (half == k), starts).view(np.int64) for k in (0, 1)]
+            fresh = np.zeros(len(doc), bool)
+            for i, key in enumerate(zip(digests[0].tolist(), digests[1].tolist(), strict=True)):
+                if key not in given:
+                    fresh[i] = True
+                    if len(given) < REMEMBER:
+                        given.add(key)
+            many = np.where(fresh, n - (n * num + den - 1) // den + 1, 0)
             place = np.arange(len(h)) - np.repeat(starts, n)
             prefix = h[place < many[line]].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[doc]), pa.array(number), pa.array(digests[0]), pa.array(digests[1]), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))],
-                ["doc", "line", "d0", "d1", "n", "prefix"],
+                [pa.array(np.array(ids, np.int64)[doc]), pa.array(number), *map(pa.array, (*digests, n, *parity)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))],
+                ["doc", "line", "d0", "d1", "n", "p0", "p1", "prefix"],
             )
 
     return run
@@ -150,10 +164,11 @@ def _verify(width: int, num: int, den: int):
 
 
 def _possible(num: int, den: int) -> Column:
-    """The length and positional filters for x and y that share a token at their places."""
+    """The length, positional and bitmap filters for x and y that share a token at their places."""
     xn, yn = F.col("x.n"), F.col("y.n")
     rest = F.least(xn - F.col("x.place"), yn - F.col("y.place"))
-    return (F.least(xn, yn) * den >= F.greatest(xn, yn) * num) & (rest * (num + den) >= (xn + yn) * num)
+    apart = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+    return (F.least(xn, yn) * den >= F.greatest(xn, yn) * num) & (rest * (num + den) >= (xn + yn) * num) & (apart * (num + den) <= (xn + yn) * (den - num))
 
 
 def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int = 100, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,17 +176,21 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     spark = docs.sparkSession
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     levels = spark.sparkContext.broadcast(rarity(texts, width, min_words))
-    lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, levels), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, prefix array<bigint>"), "lines")
-    firsts = lines.groupBy("d0", "d1").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("c"))
-    classes = settle(firsts.select("d0", "d1", "c.*"), "line-classes")
-    repeated = lines.select("doc", "line", "d0", "d1").join(classes.select("d0", "d1", F.struct("doc", "line").alias("first")), ["d0", "d1"]).filter(F.struct("doc", "line") > F.col("first")).select("doc", "line")
-
-    at = F.struct("doc", "line").alias("at")
-    postings = classes.select(at, "n", F.posexplode("prefix").alias("place", "token"))
-    shared = settle(postings.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
-    lists = settle(postings.join(sized(shared), "token"), "line-lists")
-
-    heads = lists.groupBy("token").agg(F.min(F.struct("at", "n", "place")).alias("x"))
+    lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, levels), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, p0 bigint, p1 bigint, prefix array<bigint>"), "lines")
+    at = F.struct("doc", "line")
+    classes = lines.groupBy("d0", "d1").agg(F.min(at).alias("at"), *(F.first(c).alias(c) for c in ("n", "p0", "p1")), F.count("*").alias("m"))
+    classes = settle(classes, "line-classes")
+    again = classes.filter("m > 1").select("d0", "d1", "at")
+    repeated = lines.select("doc", "line", "d0", "d1").join(again, ["d0", "d1"]).filter(at > F.col("at")).select("doc", "line")
+
+    postings = lines.select("d0", "d1", F.posexplode("prefix").alias("place", "token"))
+    one = W.partitionBy("token")
+    ends = [f(c).over(one).alias(f"{f.__name__}_{c}") for c in ("d0", "d1") for f in (F.min, F.max)]
+    shared = postings.select("token", "place", "d0", "d1", *ends).filter("min_d0 <> max_d0 or min_d1 <> max_d1").select("token", "place", "d0", "d1")
+    shared = settle(shared.dropDuplicates(["token", "d0", "d1"]), "line-tokens")
+    lists = settle(shared.join(classes.drop("m"), ["d0", "d1"]).drop("d0", "d1"), "line-lists")
+
+    heads = lists.groupBy("token").agg(F.min(F.struct("at", "n", "place", "p0", "p1")).alias("x"))
     first = lists.alias("y").join(heads, "token").filter(F.col("x.at") < F.col("y.at")).filter(_possible(num, den))
     tried = settle(first.select(F.col("x.at").alias("x"), F.col("y.at").alias("y")).distinct(), "line-pairs")
     bodies = _bodies(lists.select("at").distinct(), texts)
