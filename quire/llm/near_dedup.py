@@ -101,10 +101,10 @@ def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
     done = None
     for level in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
-        sized = settle(rows.join(counts, "node"), "nodes")
-        small = sized.filter(F.col("m") <= SMALL).drop("m") if level < DEPTH else sized.drop("m")
+        counted = settle(rows.join(counts, "node"), "nodes")
+        small = counted.filter(F.col("m") <= SMALL).drop("m") if level < DEPTH else counted.drop("m")
         done = small if done is None else done.unionByName(small)
-        large = sized.filter(F.col("m") > SMALL).drop("m")
+        large = counted.filter(F.col("m") > SMALL).drop("m")
         if level == DEPTH or large.isEmpty():
             return done
         here = classes.select("id", "sig").join(sized(large.select("id").distinct()), "id")
