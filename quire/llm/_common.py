@@ -49,6 +49,6 @@ def remainder(doc_id: Column, n: int) -> Column:
 BROADCAST_ROWS = 200_000
 
 
-def sized(small: DataFrame) -> DataFrame:
+def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for a broadcast where its rows, counted, are few enough; rows are to be ids or narrower than 100 bytes."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    return F.broadcast(small) if small.count() <= rows else small

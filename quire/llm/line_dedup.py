@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import WORD, settle, sized, table
@@ -41,6 +40,8 @@ from ._shingles import _MUL, _words, mixed, overlap, shingle_set
 WIDTH = 5
 MIN_WORDS = 5
 COUNTERS = 1 << 16
+#: tokens (8 bytes each) that may be broadcast to pick postings; beyond, the postings are shuffled once more
+BROADCAST_TOKENS = 2_000_000
 #: digests whose prefixes a task remembers to have given
 REMEMBER = 300_000
 #: words taken at once
@@ -111,7 +112,7 @@ def rarity(texts: DataFrame, width: int, min_words: int) -> np.ndarray:
 
 
 def _sign(width: int, min_words: int, num: int, den: int, levels):
-    """For each line: its set's digest, size, parity bitmap, and prefix where this task hasn't given it yet."""
+    """For each line: its set's digest, size, parity bitmap, whether its document has the set before, and the prefix where this task hasn't given it yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, given = levels.value, set()
@@ -138,13 +139,19 @@ def _sign(width: int, min_words: int, num: int, den: int, levels):
                     fresh[i] = True
                     if len(given) < REMEMBER:
                         given.add(key)
+            places = np.lexsort((number, doc, digests[1], digests[0]))
+            same = np.ones(len(doc) - 1, bool)
+            for column in (digests[0], digests[1], doc):
+                same &= column[places][1:] == column[places][:-1]
+            again = np.zeros(len(doc), bool)
+            again[places[1:][same]] = True
             many = np.where(fresh, n - (n * num + den - 1) // den + 1, 0)
             place = np.arange(len(h)) - np.repeat(starts, n)
             prefix = h[place < many[line]].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[doc]), pa.array(number), *map(pa.array, (*digests, n, *parity)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))],
-                ["doc", "line", "d0", "d1", "n", "p0", "p1", "prefix"],
+                [pa.array(np.array(ids, np.int64)[doc]), pa.array(number), *map(pa.array, (*digests, n, *parity, again)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))],
+                ["doc", "line", "d0", "d1", "n", "p0", "p1", "again", "prefix"],
             )
 
     return run
@@ -176,19 +183,18 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     spark = docs.sparkSession
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     levels = spark.sparkContext.broadcast(rarity(texts, width, min_words))
-    lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, levels), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, p0 bigint, p1 bigint, prefix array<bigint>"), "lines")
-    at = F.struct("doc", "line")
-    classes = lines.groupBy("d0", "d1").agg(F.min(at).alias("at"), *(F.first(c).alias(c) for c in ("n", "p0", "p1")), F.count("*").alias("m"))
-    classes = settle(classes, "line-classes")
-    again = classes.filter("m > 1").select("d0", "d1", "at")
-    repeated = lines.select("doc", "line", "d0", "d1").join(again, ["d0", "d1"]).filter(at > F.col("at")).select("doc", "line")
+    lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, levels), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, p0 bigint, p1 bigint, again boolean, prefix array<bigint>"), "lines")
+    once = lines.filter("not again")
+    classes = once.groupBy("d0", "d1").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *(F.first(c).alias(c) for c in ("n", "p0", "p1")), F.count("*").alias("m"))
+    classes = settle(classes.select("d0", "d1", F.struct("doc", "line").alias("at"), "n", "p0", "p1", "m"), "line-classes")
+    firsts = classes.filter("m > 1").select("d0", "d1", "at")
+    repeated = once.select("doc", "line", "d0", "d1").join(sized(firsts), ["d0", "d1"]).filter(F.struct("doc", "line") != F.col("at")).select("doc", "line")
+    repeated = repeated.unionByName(lines.filter("again").select("doc", "line"))
 
     postings = lines.select("d0", "d1", F.posexplode("prefix").alias("place", "token"))
-    one = W.partitionBy("token")
-    ends = [f(c).over(one).alias(f"{f.__name__}_{c}") for c in ("d0", "d1") for f in (F.min, F.max)]
-    shared = postings.select("token", "place", "d0", "d1", *ends).filter("min_d0 <> max_d0 or min_d1 <> max_d1").select("token", "place", "d0", "d1")
-    shared = settle(shared.dropDuplicates(["token", "d0", "d1"]), "line-tokens")
-    lists = settle(shared.join(classes.drop("m"), ["d0", "d1"]).drop("d0", "d1"), "line-lists")
+    shared = settle(postings.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
+    lists = postings.join(sized(shared, BROADCAST_TOKENS), "token").dropDuplicates(["token", "d0", "d1"])
+    lists = settle(lists.join(classes.drop("m"), ["d0", "d1"]).drop("d0", "d1"), "line-lists")
 
     heads = lists.groupBy("token").agg(F.min(F.struct("at", "n", "place", "p0", "p1")).alias("x"))
     first = lists.alias("y").join(heads, "token").filter(F.col("x.at") < F.col("y.at")).filter(_possible(num, den))
