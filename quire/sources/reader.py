@@ -133,6 +133,23 @@ def _bodies(rows: DataFrame) -> DataFrame:
     return rows.select("path", "number", "generation", "offset", "body", data.alias("data"), "repaired")
 
 
+def expanded(every: DataFrame) -> DataFrame:
+    """The objects, and those that stand in object streams; of one number, what stands last in the file counts."""
+    packed = decoded(every.filter(F.col("body").rlike(r"/Type\s*/ObjStm\b")))
+    first = entry(F.col("body"), "First", "int").cast("int")
+    rows = packed.select("path", "offset", "repaired", _text(F.col("decoded")).alias("text"), first.alias("first"))
+    head = F.substr("text", F.lit(1), F.col("first"))
+    places = F.transform(F.regexp_extract_all(head, F.lit(r"\d+\s+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    rows = rows.withColumn("numbers", F.regexp_extract_all(head, F.lit(r"(\d+)\s+\d+"), F.lit(1))).withColumn("places", places)
+    each = rows.select("path", "offset", "repaired", "text", "first", "places", F.posexplode("numbers").alias("i", "number"))
+    start = F.get("places", F.col("i"))
+    stop = F.coalesce(F.get("places", F.col("i") + 1), F.length("text") - F.col("first"))
+    body = F.trim(F.regexp_replace(F.substr("text", F.col("first") + start + 1, stop - start), r"\s+$", ""))
+    inner = each.select("path", F.col("number").cast("bigint").alias("number"), F.lit(0).alias("generation"), "offset", body.alias("body"), F.lit(None).cast("binary").alias("data"), "repaired")
+    last = F.row_number().over(W.partitionBy("path", "number").orderBy(F.col("offset").desc()))
+    return every.unionByName(inner).withColumn("k", last).filter("k = 1").drop("k")
+
+
 def entry(body: Column, key: str, what: str) -> Column:
     """A dictionary entry of a plain form: what is name, int, ref, refs, literal or hex; null where it isn't there."""
     forms = {"name": r"/([^\s/<>\[\]()]+)", "int": r"(-?\d+)(?!\s+\d+\s+R)", "ref": r"(\d+)\s+\d+\s+R", "refs": r"\[([^\]]*)\]", "numbers": r"\[([-+.\d\s]*)\]", "literal": r"\(((?:\\.|[^\\)])*)\)", "hex": r"<([0-9A-Fa-f\s]*)>"}
@@ -155,21 +172,22 @@ def string_entry(body: Column, key: str) -> Column:
 
 
 def trailers(files: DataFrame) -> DataFrame:
-    """path, root, info and id: from the newest trailer that names a Root, or by repair from the Catalog object."""
+    """path, root, info, encrypt and id: from the newest trailer, or cross-reference stream, that names a Root."""
     dicts = F.regexp_extract_all("text", F.lit(r"(?s)trailer\s*(<<.*?>>)\s*startxref"), F.lit(1))
-    rows = headers(files).select("path", F.element_at(F.concat(F.array(F.lit("")), F.filter(dicts, lambda d: d.contains("/Root"))), -1).alias("t"))
-    ids = F.transform(F.regexp_extract_all("t", F.lit(r"<([0-9A-Fa-f]+)>"), F.lit(1)), lambda h: F.lower(h))
-    return rows.select("path", entry(F.col("t"), "Root", "ref").alias("root"), entry(F.col("t"), "Info", "ref").alias("info"), ids.alias("id"))
+    streams = F.regexp_extract_all("text", F.lit(r"(?s)obj\s*(<<(?:(?!endobj).)*?/Type\s*/XRef\b(?:(?!endobj).)*?>>)\s*stream"), F.lit(1))
+    rows = headers(files).select("path", F.element_at(F.concat(F.array(F.lit("")), F.filter(F.concat(streams, dicts), lambda d: d.contains("/Root"))), -1).alias("t"))
+    ids = F.transform(F.regexp_extract_all(F.regexp_extract("t", r"/ID\s*\[([^\]]*)\]", 1), F.lit(r"<([0-9A-Fa-f]+)>"), F.lit(1)), lambda h: F.lower(h))
+    return rows.select("path", *(entry(F.col("t"), k, "ref").alias(k.lower()) for k in ("Root", "Info", "Encrypt")), ids.alias("id"))
 
 
-def file_info(files: DataFrame) -> DataFrame:
+def file_info(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """One row a file: version, counts, document information, language and whether it was repaired."""
-    every = objects(files)
+    every = objects(files) if every is None else every
     info = every.select("path", F.col("number").alias("info"), *(string_entry(F.col("body"), k).alias(k.lower()) for k in ("Author", "Title", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")))
     root = every.select("path", F.col("number").alias("root"), string_entry(F.col("body"), "Lang").alias("language"))
     counts = every.groupBy("path").agg(F.count("*").alias("num_objs"), F.bool_or("repaired").alias("repaired"))
     out = headers(files).select("path", "version").join(trailers(files), "path", "left")
-    return out.join(counts, "path", "left").join(info, ["path", "info"], "left").join(root, ["path", "root"], "left").drop("info", "root")
+    return out.join(counts, "path", "left").join(info, ["path", "info"], "left").join(root, ["path", "root"], "left").drop("info", "root", "encrypt")
 
 
 def pages(every: DataFrame) -> DataFrame:

@@ -85,15 +85,18 @@ def numbered(objects: DataFrame) -> DataFrame:
     return out.withColumn("offset", F.octet_length(F.lit(HEADER)) + F.coalesce(F.sum(F.octet_length("data")).over(before), F.lit(0)))
 
 
-def written(objects: DataFrame) -> DataFrame:
-    """path and content: one file for each path, its objects numbered 1, 2, ... without gaps; object 1 is the catalog, 3 the info."""
+def written(objects: DataFrame, encrypt: int | None = None) -> DataFrame:
+    """path and content: one file for each path, its objects numbered 1, 2, ... without gaps; object 1 is the catalog, 3 the info.
+
+    encrypt: the number of the Encrypt object, if the streams are enciphered.
+    """
     rows = numbered(objects)
     files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", "offset", "data"))).alias("o"))
     body = F.aggregate("o", F.lit(HEADER).cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
     entries = F.array_join(F.transform("o", lambda x: F.concat(F.lpad(x["offset"].cast("string"), 10, "0"), F.lit(" 00000 n \n"))), "")
     last = F.element_at("o", -1)
     end = F.concat(
-        F.lit("xref\n0 "), F.size("o") + 1, F.lit("\n0000000000 65535 f \n"), entries, F.lit("trailer\n<</ID[<"), F.md5(F.col("path")), F.lit("><"), F.md5(F.col("path")), F.lit(">]/Info 3 0 R/Root 1 0 R/Size "), F.size("o") + 1,
+        F.lit("xref\n0 "), F.size("o") + 1, F.lit("\n0000000000 65535 f \n"), entries, F.lit("trailer\n<</ID[<"), F.md5(F.col("path")), F.lit("><"), F.md5(F.col("path")), F.lit(">]/Info 3 0 R/Root 1 0 R" + (f"/Encrypt {encrypt} 0 R" if encrypt else "") + "/Size "), F.size("o") + 1,
         F.lit(">>\nstartxref\n"), last["offset"] + F.octet_length(last["data"]), F.lit("\n%%EOF\n"),
     )
     return files.select("path", F.concat(body, end.cast("binary")).alias("content"))

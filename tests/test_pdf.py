@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import merge, text_extract
+from quire.operators import merge, secure, text_extract
 from quire.sources import reader, writer
 from quire.streaming import incoming
 
@@ -98,9 +98,10 @@ def test_written_files_read_back_and_merge(spark):
     leaves = reader.pages(every).cache()
     texts = {r.path: r.text for r in text_extract.texts(reader.tokens(reader.page_streams(leaves, every))).collect()}
     assert texts == {"doc-1.pdf": "one\ntwo (2) \\ é日\n" + "x" * 900 + "\n", "doc-2.pdf": "y\n" * 120}
-    assert {r.title for r in reader.file_info(files).collect()} == {"Tïtle <&>"}
+    assert {r.title for r in reader.file_info(files, every).collect()} == {"Tïtle <&>"}
     inputs = spark.createDataFrame([(f"doc-{i}.pdf", "all.pdf", -i) for i in range(1, 5)], "path string, output string, ordinal int")
-    again = reader.objects(writer.written(merge.merged(every, leaves, inputs))).cache()
+    joined = writer.written(merge.merged(every, leaves, inputs)).cache()
+    again = reader.objects(joined).cache()
     assert again.filter("repaired").count() == 0
     pages = reader.pages(again)
     assert pages.count() == leaves.count() == 6
@@ -121,3 +122,38 @@ def test_files_from_a_folder_and_a_stream(spark, tmp_path):
     counts = incoming.arrivals(incoming.incoming(spark, str(tmp_path))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert spark.table("counts").selectExpr("sum(files)", "sum(pages)").first()[:] == (2, 4)
+
+
+def test_object_streams_and_cross_reference_streams(spark):
+    inner = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]/Count 1/MediaBox[0 0 9 9]>>", 3: b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>", 6: b"<</Title(packed)>>"}
+    head, data = b"", b""
+    for n, body in inner.items():
+        head += b"%d %d " % (n, len(data))
+        data += body + b"\n"
+    packed = zlib.compress(head + data)
+    text = b"BT (in a stream) Tj ET"
+    out = b"%PDF-1.5\n4 0 obj\n<</Length " + b"%d" % len(text) + b">>\nstream\n" + text + b"\nendstream\nendobj\n"
+    out += b"5 0 obj\n<</Type/ObjStm/N 4/First %d/Filter/FlateDecode/Length %d>>\nstream\n" % (len(head), len(packed)) + packed + b"\nendstream\nendobj\n"
+    at = len(out)
+    out += b"7 0 obj\n<</Type/XRef/Size 8/W[1 2 1]/Root 1 0 R/Info 6 0 R/Length 0>>\nstream\n\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
+    files = spark.createDataFrame([("o.pdf", out)], "path string, content binary")
+    every = reader.expanded(reader.objects(files)).cache()
+    assert {r.number for r in every.collect()} == {1, 2, 3, 4, 5, 6, 7}
+    assert reader.file_info(files, every).first().title == "packed"
+    leaves = reader.pages(every)
+    assert text_extract.texts(reader.tokens(reader.page_streams(leaves, every))).first().text == "in a stream\n"
+
+
+@pytest.mark.parametrize("method", ["rc4", "aes"])
+def test_locked_files_open_with_the_password_only(spark, method):
+    body = "<</Length 0>>"
+    plain = spark.createDataFrame([("l.pdf", 1, "<</Type/Catalog>>", None), ("l.pdf", 2, body, b"secret words"), ("l.pdf", 3, "<<>>", None)], "path string, number bigint, body string, data binary")
+    file_id = F.unhex(F.md5(F.col("path")))
+    shut = secure.locked(plain, file_id, method, -4, "owner", "user").cache()
+    objects = shut.select("path", "number", F.when(F.col("data").isNull(), F.col("body").cast("binary")).otherwise(writer.stream(F.col("data"))).alias("body"))
+    files = writer.written(objects, encrypt=4).cache()
+    every = reader.objects(files).cache()
+    assert bytes(every.filter("number = 2").first().data) != b"secret words"
+    opened = {p: bytes(secure.unlocked(files, every, F.lit(p)).filter("number = 2").first().data) for p in ("user", "wrong")}
+    assert opened["user"] == b"secret words" and opened["wrong"] == bytes(every.filter("number = 2").first().data)
+    assert secure.handlers(files, every).first().method == method
