@@ -5,7 +5,8 @@ and a sketch of one bit for each. At the root of each of TREES trees a class goe
 node (coordinate, its minwise value there) of one chosen coordinate, sometimes two, so
 that a pair on the threshold shares one child on average. Nodes of up to SMALL classes
 are compared exhaustively; larger ones branch again on coordinates chosen by the node,
-up to DEPTH levels, when what is left in a node agrees almost everywhere.
+until a node keeps AGREES of its parent's classes (they agree almost everywhere, so that
+branching would only copy them), or for DEPTH levels.
 
 Comparing goes in two rounds, which lose no link between components. In the first, each
 node's members are compared with the node's least member: a group of thousands of copies
@@ -41,8 +42,10 @@ from ._shingles import overlap, shingle_set
 
 T = 128
 TREES = 10
-SMALL = 48
+SMALL = 128
 DEPTH = 8
+#: a node that keeps this share of its parent agrees almost everywhere: branching stops there
+AGREES = 0.7
 #: partners of a class that are compared with one copy of its row
 SALT = 64
 #: members of a node that are compared at once, with as many others
@@ -88,27 +91,28 @@ def _picks(node, threshold: float, level: int):
     return F.when(more & (first != second), F.array(first, second)).otherwise(F.array(first))
 
 
-def _branched(rows: DataFrame, threshold: float, level: int) -> DataFrame:
-    """rows: node, id, n, s0, s1, sig -> the same without sig, at the children."""
-    out = rows.select("id", "n", "s0", "s1", "sig", "node", F.explode(_picks(F.col("node"), threshold, level)).alias("c"))
-    return out.select(F.xxhash64("node", "c", F.get("sig", F.col("c"))).alias("node"), "id", "n", "s0", "s1")
+def _branched(rows: DataFrame, threshold: float, level: int, size: str) -> DataFrame:
+    """rows: node, id, n, s0, s1, sig and the node's size -> the same without sig at the children, with the parent's size as above."""
+    out = rows.select("id", "n", "s0", "s1", "sig", "node", F.col(size).cast("bigint").alias("above"), F.explode(_picks(F.col("node"), threshold, level)).alias("c"))
+    return out.select(F.xxhash64("node", "c", F.get("sig", F.col("c"))).alias("node"), "id", "n", "s0", "s1", "above")
 
 
 def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
     """node, id, n, s0, s1 for all nodes to compare."""
     roots = classes.withColumn("node", F.explode(F.array(*(F.lit(t).cast("bigint") for t in range(TREES)))))
-    rows = settle(_branched(roots, threshold, 0), "paths")
+    rows = settle(_branched(roots.withColumn("m", F.lit(None)), threshold, 0, "m"), "paths")
     done = None
     for level in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
         counted = settle(rows.join(counts, "node"), "nodes")
-        small = counted.filter(F.col("m") <= SMALL).drop("m") if level < DEPTH else counted.drop("m")
+        ends = (F.col("m") <= SMALL) | F.coalesce(F.col("m") >= F.col("above") * AGREES, F.lit(False)) | F.lit(level == DEPTH)
+        small = counted.filter(ends).drop("m", "above")
         done = small if done is None else done.unionByName(small)
-        large = counted.filter(F.col("m") > SMALL).drop("m")
+        large = counted.filter(~ends).drop("above")
         if level == DEPTH or large.isEmpty():
             return done
         here = classes.select("id", "sig").join(sized(large.select("id").distinct()), "id")
-        rows = settle(_branched(large.join(here, "id"), threshold, level), "paths")
+        rows = settle(_branched(large.join(here, "id"), threshold, level, "m"), "paths")
     return done
 
 
