@@ -192,7 +192,8 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     repeated = repeated.unionByName(lines.filter("again").select("doc", "line"))
 
     postings = lines.select("d0", "d1", F.posexplode("prefix").alias("place", "token"))
-    shared = settle(postings.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
+    ends = postings.groupBy("token").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("d0", "d1") for f in (F.min, F.max)))
+    shared = settle(ends.filter("min_d0 <> max_d0 or min_d1 <> max_d1").select("token"), "line-tokens")
     lists = postings.join(sized(shared, BROADCAST_TOKENS), "token").dropDuplicates(["token", "d0", "d1"])
     lists = settle(lists.join(classes.drop("m"), ["d0", "d1"]).drop("d0", "d1"), "line-lists")
 
