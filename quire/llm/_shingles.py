@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE = 300_000
+_CACHE = 200_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _FIN = np.uint64(0xBF58476D1CE4E5B9)
 

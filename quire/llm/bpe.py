@@ -31,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: words and token pairs that a worker remembers
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: rows encoded before they are handed on
 ROWS = 500
 END = "</w>"
@@ -229,6 +229,7 @@ def _fields(df: DataFrame, columns: list[str]) -> str:
 
 def encode(docs: DataFrame, columns: list[str], path: str | None = None, text: str = "text") -> DataFrame:
     """The columns named, and ids: the text's token ids."""
+    small_batches(docs.sparkSession)
     return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(_encode(path or vocabulary_path()), _fields(docs, columns) + "ids array<int>")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, settle, sized, table
+from ._common import WORD, settle, sized, small_batches, table
 from ._shingles import _MUL, _words, mixed, overlap, shingle_set
 
 WIDTH = 5
@@ -181,6 +181,7 @@ def _possible(num: int, den: int) -> Column:
 def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int = 100, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and line (from 0) of each line to remove."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     levels = spark.sparkContext.broadcast(rarity(texts, width, min_words))
     lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, levels), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, p0 bigint, p1 bigint, again boolean, prefix array<bigint>"), "lines")

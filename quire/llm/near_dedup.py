@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import settle, sized, table, unit
+from ._common import settle, sized, small_batches, table, unit
 from ._graph import components
 from ._shingles import overlap, shingle_set
 
@@ -224,6 +224,7 @@ def _joined(active: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id and kept for each row; links have den * intersection >= num * union."""
     threshold = num / den
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     signed = settle(texts.mapInArrow(_sign(width), "id bigint, n bigint, digest binary, sig array<int>, s0 bigint, s1 bigint"), "signed")
     usable = signed.filter("n > 0 and id is not null")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import remainder, table
+from ._common import remainder, small_batches, table
 
 LABELLED = 3000
 DOC_CHUNKS = 4
@@ -149,24 +149,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, limit: int = LABELLED, k
     return train([r[0] for r in got], np.array([int(r[1]) for r in got]))
 
 
-def _score(net: Net):
+def _score(net: Net, columns: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column("__text"):
-                x, size = chunks(text.as_py())
+            for t in b.column(text).cast(pa.binary()):
+                x, size = chunks(t.as_py())
                 z = float(np.average(logits(net, x), weights=size))
                 out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.float64())], [*columns, "__score"])
 
     return run
 
 
-def scored(docs: DataFrame, net: Net, columns: list[str], text: str = "text") -> DataFrame:
-    """The columns named, and score."""
-    rows = docs.select(*columns, F.col(text).cast("binary").alias("__text"))
+def scored(docs: DataFrame, net: Net, columns: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns named, and the score. Where the text is one of them it is carried once."""
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.mapInArrow(_score(net), f"{schema}, score double")
+    rows = docs.select(*columns) if text in columns else docs.select(*columns, text)
+    return rows.mapInArrow(_score(net, columns, text), f"{schema}, __score double").withColumnRenamed("__score", name)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
