@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier gives one half or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = quality.fit(docs, labels, lambda k: remainder(k, 3) != 1)
-    return quality.scored(docs.withColumn("__body", F.col("text")), net, docs.columns, text="__body").filter("score >= 0.5").drop("score")
+    return quality.scored(docs, net, docs.columns, name="__quality").filter("__quality >= 0.5").drop("__quality")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
