@@ -49,7 +49,7 @@ AGREES = 0.7
 #: partners of a class that are compared with one copy of its row
 SALT = 64
 #: members of a node that are compared at once, with as many others
-WIDE = 256
+WIDE = 512
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
