@@ -9,10 +9,14 @@ are compared with each other, and each class keeps the K nearest of all it has m
 Edges with a cosine of the threshold or more, computed in double precision, are links.
 
 A class whose K neighbours are all at the threshold or above is saturated: it may have
-more. Its list is enlarged to its whole component of the links found so far, compared in
-pairs of blocks, so that all links within are found and counted; new links can only join
-vectors of one component. Links are counted, not listed: a component's blocks give each
-class its number of links with each block.
+more, also outside its component of the links found so far. The saturated classes of a
+component fall into cells, each with a centre and a radius. All vectors are compared with
+all centres (CENTRES at a time): by the triangle inequality on angles only those within
+the radius and the threshold's angle can link with the cell. Those of other components are
+compared with the cell's members, and components that link become one. So all links of
+saturated classes are found; this takes the number of cells times that of vectors. Each
+component is then compared with itself in pairs of blocks. Links are counted, not listed:
+a component's blocks give each class its number of links with each block.
 
 Recall is audited (recall()) on a query set against all vectors.
 
@@ -40,6 +44,9 @@ TABLES = 6
 BLOCK = 128
 ROUNDS = 2
 WIDE = 512
+#: centres of cells that are broadcast at once, and rows compared with them at once
+CENTRES = 16_384
+ROWS = 256
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +191,124 @@ def linked_counts(members: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_pairs(threshold), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _cells(threshold: float):
+    """Rows (block, comp, id, v) sorted by block: each block's vectors in cells around a pivot that links with them; the cell, its centre and the cosine up to which a vector may link with it."""
+
+    def emit(block: int, comp: int, ids: list[int], vs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        x, left = _matrix(vs), np.arange(len(vs))
+        theta = math.acos(min(1.0, max(-1.0, threshold)))
+        while len(left):
+            inside = x[left] @ x[left[0]] >= threshold
+            inside[0] = True
+            mine, left = left[inside], left[~inside]
+            centre = x[mine].mean(axis=0)
+            size = math.sqrt(float(centre @ centre))
+            centre = centre / size if size > 1e-6 else x[mine[0]]
+            radius = math.acos(min(1.0, max(-1.0, float((x[mine] @ centre).min()))))
+            least = math.cos(min(math.pi, radius + theta)) - 1e-7
+            n = len(mine)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(np.full(n, ids[mine[0]])), pa.array(np.full(n, comp)), pa.array([ids[i] for i in mine], pa.int64()), pa.array([vs[i] for i in mine], pa.binary()), pa.array([centre.tobytes()] * n, pa.binary()), pa.array(np.full(n, least))],
+                ["block", "cell", "comp", "id", "v", "centre", "least"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vs = None, [], []
+        for b in batches:
+            for block, comp, i, v in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if (block, comp) != now:
+                    if ids:
+                        yield from emit(*now, ids, vs)
+                    now, ids, vs = (block, comp), [], []
+                ids.append(i)
+                vs.append(v)
+        if ids:
+            yield from emit(*now, ids, vs)
+
+    return run
+
+
+def _around(shared):
+    """Rows (comp, v): those that may link with a cell of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, comps, least, centres = shared.value
+        sizes = np.array([len(c) for c in centres])
+        kinds = {int(size): np.flatnonzero(sizes == size) for size in np.unique(sizes)}
+        matrices = {size: _matrix([centres[i] for i in at]).T for size, at in kinds.items()}
+        for b in batches:
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
+                comp, vs = part.column(0).to_numpy(), part.column(1).to_pylist()
+                for size, at in kinds.items():
+                    mine = np.array([i for i, v in enumerate(vs) if len(v) == size], np.int64)
+                    if not len(mine):
+                        continue
+                    s = _matrix([vs[i] for i in mine]) @ matrices[size]
+                    i, c = np.nonzero((s >= least[at]) & (comp[mine][:, None] != comps[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[at][c]), pa.array(comp[mine][i]), pa.array([vs[k] for k in mine[i]], pa.binary())], ["cell", "comp", "v"])
+
+    return run
+
+
+def _touching(threshold: float):
+    """Rows (pair, side, comp, v) sorted by pair and side: the components of side 0 and side 1 that have a link."""
+
+    def emit(sides: list[list]) -> Iterator[pa.RecordBatch]:
+        left, right = sides
+        if left and right:
+            s = _matrix([v for _, v in left]) @ _matrix([v for _, v in right]).T >= threshold
+            found = {(left[i][0], right[j][0]) for i, j in zip(*np.nonzero(s), strict=True)}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, [[], []]
+        for b in batches:
+            for pair, side, comp, v in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if pair != now:
+                    yield from emit(sides)
+                    now, sides = pair, [[], []]
+                sides[side].append((comp, v))
+        yield from emit(sides)
+
+    return run
+
+
+def joined(vectors: DataFrame, links: DataFrame, labels: DataFrame, threshold: float, k: int = K) -> DataFrame:
+    """labels (id, comp) after all links of saturated classes, for those of links (a, b) and of these; vectors: id, v."""
+    spark = vectors.sparkSession
+    full = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("id")
+    sat = full.join(labels, "id").join(vectors, "id")
+    sizes = sat.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = sat.join(sizes, "comp").select(F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "comp", "id", "v")
+    rows = dealt.repartition("block").sortWithinPartitions("block", "comp", "id")
+    cells = settle(rows.mapInArrow(_cells(threshold), "block bigint, cell bigint, comp bigint, id bigint, v binary, centre binary, least double"), "cells")
+    heads = settle(cells.filter("id = cell").select("cell", "comp", "centre", "least"), "centres")
+    passes = math.ceil(heads.count() / CENTRES)
+    if not passes:
+        return labels
+    placed = settle(vectors.join(labels, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "v"), "placed")
+    near = None
+    for p in range(passes):
+        mine = heads.filter(F.pmod(F.xxhash64("cell"), F.lit(passes)) == p).collect()
+        shared = spark.sparkContext.broadcast((np.array([r.cell for r in mine], np.int64), np.array([r.comp for r in mine], np.int64), np.array([r.least for r in mine], np.float64), [bytes(r.centre) for r in mine]))
+        one = settle(placed.mapInArrow(_around(shared), "cell bigint, comp bigint, v binary"), "around")
+        shared.destroy()
+        near = one if near is None else near.unionByName(one)
+    blocks = near.groupBy("cell").agg(F.ceil(F.count("*") / WIDE).alias("blocks"))
+    right = near.join(blocks, "cell").select(F.xxhash64("cell", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("pair"), F.lit(1).alias("side"), "comp", "v")
+    left = cells.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("o"), "comp", "v")
+    left = left.select(F.xxhash64("cell", "o").alias("pair"), F.lit(0).alias("side"), "comp", "v")
+    rows = left.unionByName(right).repartition("pair").sortWithinPartitions("pair", "side")
+    pairs = settle(rows.mapInArrow(_touching(threshold), "a bigint, b bigint").distinct(), "touching")
+    if pairs.isEmpty():
+        return labels
+    tops = components(pairs).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    every = labels.unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
+    return settle(every.join(tops, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "joined")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """key, n_links, component_id and kept for each row."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_unit, "id bigint, v binary")
@@ -193,7 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     vectors = classes.select("id", "v")
     graph = neighbours(vectors, classes.count(), **options)
     links = settle(graph.filter(F.col("cos") >= threshold - 1e-9).select(F.col("u").alias("a"), F.col("w").alias("b")).distinct(), "links")
-    labels = components(links)
+    labels = joined(vectors, links, components(links), threshold, options.get("k", K))
     members = labels.join(classes.select("id", "weight", "v"), "id")
     counted = linked_counts(members, threshold)
     found = classes.select("digest", "id", "weight").join(labels, "id", "left").join(counted, "id", "left")

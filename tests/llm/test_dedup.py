@@ -171,3 +171,28 @@ def test_embeddings_odd_rows(spark):
     assert all(by[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 9, 10))
     assert by[None][0] == 0
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def brute_embeddings(x):
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = y @ y.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = least_reachable(range(len(x)), zip(*np.nonzero(near), strict=True))
+    return near, {i: (int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("centres", [16_384, 1])
+def test_embeddings_saturated_groups_are_joined(spark, monkeypatch, centres):
+    """Groups of more than K near copies that link with each other, and a lone vector beside one: no list of K has these links."""
+    monkeypatch.setattr(embedding_dedup, "CENTRES", centres)
+    rng = np.random.default_rng(4)
+    a, b, c = np.linalg.qr(rng.standard_normal((64, 3)))[0].T
+    near_a = 0.92 * a + np.sqrt(1 - 0.92**2) * b
+    spread = lambda v, n: v + 0.008 * rng.standard_normal((n, 64))
+    x = np.concatenate([spread(a, 30), spread(near_a, 30), spread(c, 15), rng.standard_normal((100, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    near, want = brute_embeddings(x)
+    assert near[:30, 30:60].sum() > 800
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == want
