@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 Counts: words and one end token for each text are counted over all training texts, and
-pairs of adjacent words that are both frequent (PAIRS of all tokens or more: at most
-1 / PAIRS words, whatever the corpus). A count c is kept as level q = 1 + floor(log c) to
+so are all pairs of adjacent words (the end token stands before a text's first word). A
+count c is kept as level q = 1 + floor(log c) to
 the base BASE, and an n-gram of level q is put into the filter q times, with 1, ..., q.
 Asking for 1, 2, ... until the first miss gives the level back; the filter has no false
 misses, so a level is never too low. Segments of the filter are filled on the executors,
@@ -10,18 +10,17 @@ each from the n-grams whose hashes fall into it, then broadcast.
 
 Probabilities: words are discounted, P1(w) = (c - D) / sum of c, and what this frees,
 D * V / sum of c, is the probability of a word not seen; D = n1 / (n1 + 2 n2). After a
-frequent word v the next word is frequent with the probability a(v) that the pairs show,
-smoothed by MU; a frequent one then has
-  a(v) * ((c(v, w) - E) + E * T(v) * P1(w) / P1(frequent)) / sum over w of c(v, w),
-T(v) being the number of distinct words seen after v, and another has
-(1 - a(v)) * P1(w) / P1(not frequent). All sums are 1. c is the middle of its level.
+word v that was seen the next word is w with the probability
+  (max(c(v, w) - E, 0) + E * T(v) * P1(w)) / S(v),
+T(v) being the number of distinct words seen after v and S(v) the sum of c(v, w); after
+another it is P1(w). All sums are 1. c is the middle of its level.
 
 Beyond PART bytes the filter is split by the hash of the last word, and the
 texts are scored once for each part: the parts' sums add up.
 
-The base score needs exact counts. Those of words with HOT of all tokens or more (at most
-1 / HOT) are broadcast; each text's other words, if the filter knows them, are joined with
-the table of counts. No count, word or text is left out.
+The base score needs exact counts, and the pairs after v need S(v) and T(v). Those of
+words with HOT of all tokens or more (at most 1 / HOT) are broadcast; each text's other
+words, with the levels of what follows them, are joined with the table of counts. No count, word or text is left out.
 
 Defined results: a null text counts as empty: one end token; texts with null ids are
 learned from and not held out; rows with null or repeated ids each get a row; an empty
@@ -45,9 +44,7 @@ from ._shingles import mixed, word_hashes
 
 BASE = 1.5
 LEVELS = 80
-PAIRS = 1e-4
 HOT = 1e-5
-MU = 20.0
 E = 0.75
 BITS = 12
 HASHES = 4
@@ -101,18 +98,17 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at, -1)
 
 
-def _count_pairs(frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        for b in _groups(batches, 0):
-            h, _ = _tokens(b.column(0).to_pylist())
-            i = _among(h, known)
-            v = np.concatenate([_among(np.array([END]), known), i[:-1]])
-            both = (i >= 0) & (v >= 0)
-            pairs, n = np.unique(v[both] * len(known) + i[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(known[pairs // max(len(known), 1)].view(np.int64)), pa.array(known[pairs % max(len(known), 1)].view(np.int64)), pa.array(n)], ["v", "w", "n"])
+def _before(h: np.ndarray) -> np.ndarray:
+    """The token before each; the end token before the first of a text."""
+    return np.concatenate([[END], h[:-1]])
 
-    return run
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _groups(batches, 0):
+        h, _ = _tokens(b.column(0).to_pylist())
+        v = _before(h)
+        _, at, n = np.unique(_gram(v, h), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(h[at].view(np.int64)), pa.array(n)], ["v", "w", "n"])
 
 
 def _bits(g: np.ndarray, q: np.ndarray | int, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,15 +188,14 @@ class Filter:
 
 @dataclass
 class Model:
-    counts: DataFrame  # w, c
+    counts: DataFrame  # w, c, and of the pairs after w the sum s of the counts as kept and the number t
     tokens: int  # N
     distinct: int  # V
     mass: float  # sum of the counts as kept
-    frequent: np.ndarray  # sorted hashes of words that pairs are kept of
-    after: np.ndarray  # for each of these: its count, the sum and the number of the pairs kept after it
     discount: float  # D
     hot: np.ndarray  # sorted hashes and exact counts of words that are broadcast
     hot_counts: np.ndarray
+    hot_after: np.ndarray  # for each of these S and T
     segments: int
     parts: list  # the filter of each part, broadcast
 
@@ -220,15 +215,12 @@ def train(texts: DataFrame, part_bytes: int = PART) -> Model:
     one = lambda k: F.count(F.when(F.col("c") == k, 1))
     n, v, mass, entries, n1, n2 = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(kept("c")), F.lit(0.0)), F.coalesce(F.sum(level(F.col("c"))), F.lit(0)), one(1), one(2)).first()
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    hot = sorted((r.w & (1 << 64) - 1, r.c) for r in counts.filter(F.col("c") >= max(1.0, n * HOT)).collect())  # at most 1 / HOT
-    hot_words, hot_counts = np.array([w for w, _ in hot], np.uint64), np.array([c for _, c in hot], np.int64)
-    frequent = hot_words[hot_counts >= n * PAIRS] if len(hot) else hot_words
-    shared = spark.sparkContext.broadcast(frequent)
-    pairs = settle(texts.mapInArrow(_count_pairs(shared), "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("c")), "lm-pairs")
-    after = np.zeros((3, len(frequent)))
-    after[0] = hot_counts[hot_counts >= n * PAIRS] if len(hot) else 0
-    for r in pairs.groupBy("v").agg(F.sum(kept("c")).alias("s"), F.count("*").alias("t")).collect():  # at most 1 / PAIRS
-        after[1:, np.searchsorted(frequent, np.uint64(r.v & (1 << 64) - 1))] = r.s, r.t
+    pairs = settle(texts.mapInArrow(_count_pairs, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("c")), "lm-pairs")
+    after = pairs.groupBy(F.col("v").alias("w")).agg(F.sum(kept("c")).alias("s"), F.count("*").alias("t"))
+    counts = settle(counts.join(after, "w"), "lm-after")  # each word or end token stands before another
+    hot = sorted((r.w & (1 << 64) - 1, r.c, r.s, r.t) for r in counts.filter(F.col("c") >= max(1.0, n * HOT)).collect())  # at most 1 / HOT
+    hot_words, hot_counts = np.array([r[0] for r in hot], np.uint64), np.array([r[1] for r in hot], np.int64)
+    hot_after = np.array([r[2:] for r in hot], np.float64).reshape(-1, 2).T
     entries += pairs.agg(F.coalesce(F.sum(level(F.col("c"))), F.lit(0))).first()[0]
 
     parts = max(1, math.ceil(entries * BITS / 8 / part_bytes))
@@ -242,22 +234,23 @@ def train(texts: DataFrame, part_bytes: int = PART) -> Model:
         for r in rows.mapInArrow(_fill(segments), "segment bigint, bitmap binary").toLocalIterator():
             bitmap[r.segment] = np.frombuffer(r.bitmap, np.uint8)
         filters.append(spark.sparkContext.broadcast(bitmap.reshape(-1)))
-    return Model(counts, int(n), int(v), float(mass), frequent, after, discount, hot_words, hot_counts, segments, filters)
+    return Model(counts, int(n), int(v), float(mass), discount, hot_words, hot_counts, hot_after, segments, filters)
+
+
+def _alone(distinct: int, mass: float, discount: float) -> np.ndarray:
+    """P1 of a word by its level."""
+    return np.array([discount * distinct / mass if distinct else 1.0] + [(value - discount) / mass for value in VALUES[1:]])
 
 
 def _score(model: Model, part: int):
     parts, segments, bitmap = len(model.parts), model.segments, model.parts[part]
-    v, mass, discount, frequent, after, hot, hot_counts = model.distinct, max(model.mass, 1.0), model.discount, model.frequent, model.after, model.hot, model.hot_counts
-    small = model.counts.sparkSession.sparkContext.broadcast((frequent, after, hot, hot_counts))
+    v, mass, discount = model.distinct, max(model.mass, 1.0), model.discount
+    small = model.counts.sparkSession.sparkContext.broadcast((model.hot, model.hot_counts, model.hot_after))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, after, hot, hot_counts = small.value
+        hot, hot_counts, hot_after = small.value
         filled, values = Filter(bitmap.value, segments), np.array(VALUES)
-        unseen = discount * v / mass if v else 1.0
-        # the levels of frequent words follow from their exact counts
-        exact_levels = np.minimum(np.floor(np.log(np.maximum(after[0], 1)) / math.log(BASE) + 1e-9).astype(np.int64) + 1, LEVELS)
-        mass_f = min(max(((values[exact_levels] - discount) / mass).sum(), 1e-12), 1 - 1e-12)
-        into = (after[1] + MU * mass_f) / (np.maximum(after[0], after[1]) + MU)
+        alone = _alone(v, mass, discount)
         for b in _groups(batches, -1):
             h, ends = _tokens(b.column(b.num_columns - 1).to_pylist())
             starts = ends - np.diff(ends, prepend=0)
@@ -265,29 +258,31 @@ def _score(model: Model, part: int):
             here = ((words >> np.uint64(7)) % np.uint64(parts)) == part if parts > 1 else np.ones(len(words), bool)
             levels = np.zeros(len(words), np.int64)
             levels[here] = filled.levels(words[here])
-            p = np.where(levels > 0, (values[levels] - discount) / mass, unseen)
-            place = _among(words, frequent)[inverse]
-            prob, before = p[inverse], np.concatenate([_among(np.array([END]), frequent), place[:-1]])
-            both = np.flatnonzero((place >= 0) & (before >= 0) & here[inverse])
-            pairs, back = np.unique(before[both] * len(frequent) + place[both], return_inverse=True)
-            many = values[filled.levels(_gram(frequent[pairs // max(len(frequent), 1)], frequent[pairs % max(len(frequent), 1)]))] if len(pairs) else np.empty(0)
-            other = np.flatnonzero((place < 0) & (before >= 0))
-            prob[other] *= (1 - into[before[other]]) / (1 - mass_f)
-            u, c2 = before[both], many[back]
-            total = np.maximum(after[1][u], 1e-12)
-            share = prob[both] / mass_f
-            prob[both] = into[u] * np.where(after[1][u] > 0, (np.maximum(c2 - E, 0) + E * after[2][u] * share) / total, share)
-            logs = np.where(here[inverse], np.log10(prob), 0.0)
-            cols = [np.add.reduceat(logs, starts)]
+            # pairs, whose last word is of this part
+            mine = np.flatnonzero(here[inverse])
+            _, first, back = np.unique(_gram(_before(h), h)[mine], return_index=True, return_inverse=True)
+            last, prior = mine[first], _before(h)[mine[first]]
+            pair_levels, word_levels = filled.levels(_gram(prior, h[last])), levels[inverse[last]]
             exact = _among(words, hot)
+            hot_prior = _among(prior, hot)
+            prob, at = alone[word_levels], np.flatnonzero(hot_prior >= 0)
+            sums, kinds = hot_after[:, hot_prior[at]]
+            prob[at] = (np.maximum(values[pair_levels[at]] - E, 0) + E * kinds * prob[at]) / sums
+            logs = np.zeros(len(h))
+            logs[mine] = np.log10(prob)[back]
+            cols = [np.add.reduceat(logs, starts)]
             logc = np.where(exact >= 0, np.log10(hot_counts[exact] + 1.0) if len(hot) else 0.0, 0.0)
             cols += [np.add.reduceat(np.where(here, logc, 0.0)[inverse], starts), np.add.reduceat(((exact >= 0) & here)[inverse].astype(np.int64), starts), np.diff(ends, prepend=0)]
-            rest = np.flatnonzero(((exact < 0) & (levels > 0))[inverse])
-            doc = np.searchsorted(ends, rest, side="right")
-            tail, tf = np.unique(doc * len(words) + inverse[rest], return_counts=True)
-            cut = np.searchsorted(tail // len(words), np.arange(len(ends) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (words[tail % len(words)].view(np.int64), tf.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c) for c in cols), *lists], [*b.schema.names[:-1], "__lm", "__hot", "__known", "n_tokens", "__words", "__tf"])
+            # the pairs after other words, but those that the filter doesn't know: each word stands before one token
+            before = _among(prior, words)
+            wanted = (hot_prior < 0) & ((before < 0) | ~here[before] | (levels[before] > 0))
+            rest = np.flatnonzero(wanted[back])
+            doc = np.searchsorted(ends, mine[rest], side="right")
+            tail, tf = np.unique(doc * max(len(first), 1) + back[rest], return_counts=True)
+            cut = np.searchsorted(tail // max(len(first), 1), np.arange(len(ends) + 1)).astype(np.int32)
+            tail = tail % max(len(first), 1)
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (prior[tail].view(np.int64), pair_levels[tail].astype(np.int8), word_levels[tail].astype(np.int8), tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c) for c in cols), *lists], [*b.schema.names[:-1], "__lm", "__hot", "__known", "n_tokens", "__words", "__pair", "__alone", "__tf"])
 
     return run
 
@@ -296,21 +291,25 @@ def scored(docs: DataFrame, model: Model, columns: list[str], text: str = "text"
     """The columns named, n_tokens, n_known, base_score and score."""
     rows = docs.select(*columns, F.monotonically_increasing_id().alias("__row"), F.col(text).cast("binary").alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
-    schema = fields + "__row bigint, __lm double, __hot double, __known bigint, n_tokens bigint, __words array<bigint>, __tf array<int>"
+    schema = fields + "__row bigint, __lm double, __hot double, __known bigint, n_tokens bigint, __words array<bigint>, __pair array<tinyint>, __alone array<tinyint>, __tf array<int>"
     out = None
     for p in range(len(model.parts)):
         one = rows.mapInArrow(_score(model, p), schema)
         out = one if out is None else out.unionByName(one)
     out = settle(out, "lm-scored")
-    tail = out.select("__row", F.explode(F.arrays_zip("__words", "__tf")).alias("t")).select("__row", F.col("t.__words").alias("w"), F.col("t.__tf").alias("tf"))
-    tail = tail.join(model.counts, "w").groupBy("__row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("__tail"), F.sum("tf").alias("__found"))
-    out = out.drop("__words", "__tf")
+    lists = ["__words", "__pair", "__alone", "__tf"]
+    tail = out.select("__row", F.explode(F.arrays_zip(*lists)).alias("t")).select("__row", *(F.col(f"t.{c}").alias(a) for c, a in zip(lists, ("w", "pair", "alone", "tf"), strict=True)))
+    p1 = F.element_at(F.array(*map(F.lit, _alone(model.distinct, max(model.mass, 1.0), model.discount).tolist())), F.col("alone") + 1)
+    seen = F.element_at(F.array(*(F.lit(max(x - E, 0.0)) for x in VALUES)), F.col("pair") + 1)
+    more = F.log10((seen + E * F.col("t") * p1) / F.col("s")) - F.log10(p1)  # the texts' sums have P1 here
+    tail = tail.join(model.counts, "w").groupBy("__row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("__tail"), F.sum("tf").alias("__found"), F.sum(F.col("tf") * more).alias("__more"))
+    out = out.drop(*lists)
     if len(model.parts) > 1:
         out = out.groupBy("__row", *columns, "n_tokens").agg(*(F.sum(c).alias(c) for c in ("__lm", "__hot", "__known")))
     out = out.join(tail, "__row", "left")
     floor = math.log10(model.tokens + model.distinct + 1)
     base = F.col("__hot") + F.coalesce("__tail", F.lit(0.0)) - F.col("n_tokens") * floor
-    return out.select(*columns, "n_tokens", (F.col("__known") + F.coalesce("__found", F.lit(0))).alias("n_known"), base.alias("base_score"), F.col("__lm").alias("score"))
+    return out.select(*columns, "n_tokens", (F.col("__known") + F.coalesce("__found", F.lit(0))).alias("n_known"), base.alias("base_score"), (F.col("__lm") + F.coalesce("__more", F.lit(0.0))).alias("score"))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,34 @@ def test_randomness_battery_tells_keys_from_words(spark, llm_docs):
     assert sum(bool(got[i]) for i in range(60)) >= 54
     assert all(not got[i] for i in range(200, 210))
     assert not any("aaaa" in s["token"] for i in range(100, 160) for s in got[i])
+
+
+@pytest.mark.parametrize(("parts", "hot"), [(1, 1e-5), (1, 0.01), (3, 0.01)])
+def test_lm_counts_pairs_of_rare_words(spark, llm_docs, monkeypatch, parts, hot):
+    """All pairs count, those of words with less than 1e-4 of all tokens too; scores follow the formula but where the filter errs."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    rng = random.Random(3)
+    rare = [[f"q{d}x{i}" for i in range(25)] for d in range(30)]
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(50)], k=400))) for i in range(40)]
+    rows += [(100 + d, " ".join(ws)) for d, ws in enumerate(rare)]
+    asked = [(200 + d, " ".join(ws)) for d, ws in enumerate(rare)] + [(300 + d, " ".join(reversed(ws))) for d, ws in enumerate(rare)] + [(400, "w1 new w2 newer newest q1x1")]
+    model = lm.train(llm_docs(rows).select(F.col("text").cast("binary").alias("text")), part_bytes=1 << 30 if parts == 1 else 3000)
+    assert (len(model.parts) > 1) == (parts > 1)
+    got = {r.doc_id: r.score for r in lm.scored(llm_docs(rows + asked), model, ["doc_id"]).collect()}
+    single, pair = Counter(), Counter()
+    for _, t in rows:
+        single.update(tokens(t))
+        pair.update(zip([None, *tokens(t)[:-1]], tokens(t), strict=True))
+    kept = lambda c: lm.VALUES[int(math.log(c) / math.log(lm.BASE) + 1e-9) + 1] if c else 0.0
+    mass, d, sums, kinds = sum(map(kept, single.values())), model.discount, Counter(), Counter(v for v, _ in pair)
+    for (v, _), c in pair.items():
+        sums[v] += kept(c)
+
+    def log_p(v, w):
+        one = (kept(single[w]) - d) / mass if single[w] else d * len(single) / mass
+        return math.log10((max(kept(pair[v, w]) - lm.E, 0) + lm.E * kinds[v] * one) / sums[v] if kinds[v] else one)
+
+    want = {i: sum(log_p(v, w) for v, w in zip([None, *tokens(t)[:-1]], tokens(t), strict=True)) for i, t in rows + asked}
+    same = [abs(got[i] - x) < 1e-6 for i, x in want.items()]
+    assert sum(same) >= 0.7 * len(same)
+    assert all(got[200 + k] > got[300 + k] + 5 for k in range(30))
