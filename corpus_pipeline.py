@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; those left without a word go."""
-    out = line_dedup.deduped(docs)
+    out = line_dedup.deduped(docs, min_words=1)
     emptied = (F.col("__removed") > 0) & ~F.col("text").rlike(line_dedup.WORD)
     return _counted(out.filter(~F.coalesce(emptied, F.lit(False))).drop("__removed"))
 

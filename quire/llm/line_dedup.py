@@ -1,7 +1,9 @@
 """Line dedup: an exact set-similarity join of lines by prefix, position and length.
 
 A line's tokens are its distinct shingles of width words (A-Z lower-cased); width 1 makes
-them plain words. Lines of fewer than min_words words are left alone. A line is removed
+them plain words, and a line of fewer words is one token, its whole sequence. Lines of fewer
+than min_words words are left alone; op4 and the pipeline take all lines that have a word
+(min_words = 1). A line is removed
 if an earlier line (a lesser document id, or the same and a lesser line number) has a
 Jaccard similarity of num / den or more with it, removed itself or not.
 
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import WORD, settle, sized, small_batches, table
-from ._shingles import _MUL, _words, mixed, overlap, shingle_set
+from ._shingles import _MUL, _words, mixed, overlap, shingle_set, shingles
 
 WIDTH = 5
 MIN_WORDS = 5
@@ -67,7 +69,12 @@ def _read(texts: list[bytes | None], width: int, min_words: int) -> tuple[np.nda
     line = np.repeat(np.arange(len(n)), n)[:m]
     place = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))[:m]
     inside = place <= n[line] - width
-    return mixed(acc)[inside], line[inside], np.array(doc, np.int64), np.array(number, np.int64)
+    tokens, lines = [mixed(acc)[inside]], [line[inside]]
+    for k in range(1, width):
+        short = np.flatnonzero(n == k)
+        tokens.append(shingles(h[(np.cumsum(n) - n)[short][:, None] + np.arange(k)].T, width)[0])
+        lines.append(short)
+    return np.concatenate(tokens), np.concatenate(lines), np.array(doc, np.int64), np.array(number, np.int64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -239,7 +246,7 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For all documents: the number of lines, how many go, and which (from 0)."""
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
+    gone = removed_lines(docs, min_words=1).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
     rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
