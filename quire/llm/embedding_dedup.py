@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by NN-descent.
 
 Equal vectors are one class. The graph of nearest neighbours starts from buckets: in each
-of TABLES tables a class falls by the signs of random projections; buckets are dealt into
-blocks of BLOCK vectors, and each class takes its K nearest in the block. Then ROUNDS
-times the neighbours of neighbours are joined: around each class, its neighbours and
+a number of tables a class falls by the signs of random projections. There are as many
+tables (TABLES at least) as give a pair with a cosine of 0.9 a common bucket with a
+probability of HIT, however many bits the code has. Buckets are dealt into blocks of BLOCK
+vectors, and each class takes its K nearest in the block. Then, until a round changes less
+than SHARE of the edges, the neighbours of neighbours are joined: around each class, its neighbours and
 those whose neighbour it is (dealt into blocks of BLOCK, so a hub is spread over tasks)
 are compared with each other, and each class keeps the K nearest of all it has met.
 Edges with a cosine of the threshold or more, computed in double precision, are links.
@@ -18,7 +20,11 @@ saturated classes are found; this takes the number of cells times that of vector
 component is then compared with itself in pairs of blocks. Links are counted, not listed:
 a component's blocks give each class its number of links with each block.
 
-Recall is audited (recall()) on a query set against all vectors.
+Recall is audited each time: the vectors whose ids EVERY divides (of fewer than ASKED times
+EVERY vectors more, so that the sample is not too small) are compared with all (audited()).
+While the share of their links that is found, or the mean share of those with
+K links or fewer (which large groups would hide), is below TARGET, new tables and rounds
+are added. The audit takes n / EVERY times n products.
 
 Defined results: null, empty and zero vectors and those with null or non-finite
 components link with nothing; so do vectors of different dimensions; rows with null ids are
@@ -42,7 +48,11 @@ from ._graph import components
 K = 10
 TABLES = 6
 BLOCK = 128
-ROUNDS = 2
+HIT = 0.9
+SHARE = 0.01
+EVERY = 50
+ASKED = 2_000
+TARGET = 0.95
 WIDE = 512
 #: centres of cells that are broadcast at once, and rows compared with them at once
 CENTRES = 16_384
@@ -75,7 +85,7 @@ def _buckets(bits: int, tables: int, seed: int):
                 x = _matrix([vs[i] for i in mine])
                 planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
                 signs = ((x @ planes) > 0).reshape(len(mine), tables, bits)
-                codes = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 40) + (np.int64(size) << 46)
+                codes = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 40) + (np.int64(size) << 48)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([ids[i] for i in mine], tables), pa.int64()), pa.array(codes.reshape(-1))], ["id", "bucket"])
 
     return run
@@ -92,7 +102,7 @@ def _nearest(k: int):
             if len(mine) < 2:
                 continue
             x = _matrix([vs[i] for i in mine])
-            s = x @ x.T
+            s = np.round(x @ x.T, 12)  # equal in all blocks
             np.fill_diagonal(s, -2)
             m = min(k, len(mine) - 1)
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
@@ -121,8 +131,8 @@ def _blocks(rows: DataFrame, group: str, vectors: DataFrame, k: int) -> DataFram
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """Each u's k nearest of all it has met: the lists are cut while they are gathered, in numpy, by u."""
-    ordered = edges.repartition("u").sortWithinPartitions("u", F.col("cos").desc(), "w")
+    """Each u's k nearest of all it has met, old edges (fresh = 0) before the same anew: the lists are cut while they are gathered, in numpy, by u."""
+    ordered = edges.select("u", "w", "cos", "fresh").repartition("u").sortWithinPartitions("u", F.col("cos").desc(), "w", "fresh")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, w, n = None, None, 0
@@ -136,19 +146,32 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
                     keep[i], w, n = True, ws[i], n + 1
             yield b.filter(pa.array(keep))
 
-    return ordered.mapInArrow(cut, "u bigint, w bigint, cos double")
+    return ordered.mapInArrow(cut, "u bigint, w bigint, cos double, fresh int")
 
 
-def neighbours(vectors: DataFrame, n: int, k: int = K, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
-    """u, w, cos: the graph of the k nearest neighbours of vectors (id, v)."""
+def tables_for(bits: int) -> int:
+    """So many that two vectors with a cosine of 0.9 have the same code in one with a probability of HIT."""
+    p = (1 - math.acos(0.9) / math.pi) ** bits
+    return TABLES if p >= 1 else max(TABLES, math.ceil(math.log(1 - HIT) / math.log(1 - p)))
+
+
+def neighbours(vectors: DataFrame, n: int, k: int = K, tables: int | None = None, rounds: int | None = None, seed: int = 3, graph: DataFrame | None = None) -> DataFrame:
+    """u, w, cos, fresh: the graph of the k nearest neighbours of vectors (id, v); a graph given is added to. Without rounds they go on until few edges change."""
     bits = max(0, min(40, round(math.log2(max(n, 1) / (BLOCK / 2)))))
-    codes = vectors.mapInArrow(_buckets(bits, tables, seed), "id bigint, bucket bigint")
-    graph = settle(_best(_blocks(codes, "bucket", vectors, k), k), "knn")
-    for _ in range(rounds):
+    codes = vectors.mapInArrow(_buckets(bits, tables or tables_for(bits), seed), "id bigint, bucket bigint")
+    met = _blocks(codes, "bucket", vectors, k).withColumn("fresh", F.lit(1))
+    old = lambda g: g.withColumn("fresh", F.lit(0))
+    graph = settle(_best(met if graph is None else old(graph).unionByName(met), k), "knn")
+    done = 0
+    while rounds is None or done < rounds:
         around = graph.select(F.col("u").alias("hub"), F.col("w").alias("id"))
         around = around.unionByName(around.select(F.col("id").alias("hub"), F.col("hub").alias("id"))).distinct()
-        met = _blocks(around, "hub", vectors, k)
-        graph = settle(_best(graph.unionByName(met), k), "knn")
+        met = _blocks(around, "hub", vectors, k).withColumn("fresh", F.lit(1))
+        graph = settle(_best(old(graph).unionByName(met), k), "knn")
+        done += 1
+        edges, fresh = graph.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
+        if fresh <= SHARE * edges:
+            break
     return graph
 
 
@@ -309,6 +332,57 @@ def joined(vectors: DataFrame, links: DataFrame, labels: DataFrame, threshold: f
     return settle(every.join(tops, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "joined")
 
 
+def _asked_links(shared, threshold: float):
+    """Rows (id, weight, v): for each vector asked how many it links with among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, vs = shared.value
+        sizes, total = np.array([len(v) for v in vs]), np.zeros(len(asked), np.int64)
+        kinds = {int(size): np.flatnonzero(sizes == size) for size in np.unique(sizes)}
+        matrices = {size: _matrix([vs[i] for i in at]).T for size, at in kinds.items()}
+        for b in batches:
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
+                ids, weights, own = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
+                for size, at in kinds.items():
+                    mine = np.array([i for i, v in enumerate(own) if len(v) == size], np.int64)
+                    if len(mine):
+                        near = _matrix([own[i] for i in mine]) @ matrices[size] >= threshold + 1e-9
+                        near &= ids[mine][:, None] != asked[at]
+                        total[at] += weights[mine] @ near
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(total)], ["id", "sought"])
+
+    return run
+
+
+def _true_links(asked: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """id, sought: the links of each vector asked (id, v) with all classes but its own, by comparing them all, CENTRES at a time."""
+    spark, out = asked.sparkSession, None
+    for p in range(passes := max(1, math.ceil(asked.count() / CENTRES))):
+        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).collect()
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in mine], np.int64), [bytes(r.v) for r in mine]))
+        rows = classes.select("id", "weight", "v").mapInArrow(_asked_links(shared, threshold), "id bigint, sought bigint")
+        one = settle(rows.groupBy("id").agg(F.sum("sought").alias("sought")), "asked")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def audited(asked: DataFrame, counted: DataFrame, k: int = K) -> float:
+    """The share of the links of asked (id, sought) that counted (id, links) has, or the mean share of those with k or fewer if that is less."""
+    found = F.least("sought", F.coalesce("links", F.lit(0)))
+    few = F.when(F.col("sought") <= k, found / F.col("sought"))
+    share, mean = asked.filter("sought > 0").join(counted, "id", "left").agg(F.sum(found) / F.sum("sought"), F.avg(few)).first()
+    return min(1.0 if x is None else x for x in (share, mean))
+
+
+def _counted(graph: DataFrame, vectors: DataFrame, classes: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """id and comp, and id and links, of the classes that link by the graph."""
+    links = settle(graph.filter(F.col("cos") >= threshold - 1e-9).select(F.col("u").alias("a"), F.col("w").alias("b")).distinct(), "links")
+    labels = joined(vectors, links, components(links), threshold, k)
+    members = labels.join(classes.select("id", "weight", "v"), "id")
+    return labels, settle(linked_counts(members, threshold), "counted")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """key, n_links, component_id and kept for each row."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_unit, "id bigint, v binary")
@@ -316,11 +390,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     one = rows.filter("v is not null and id is not null").dropDuplicates(["id"])
     classes = settle(one.groupBy("digest").agg(F.min(F.struct("id", "v")).alias("c"), F.count("*").alias("weight")).select("digest", F.col("c.id").alias("id"), "weight", F.col("c.v").alias("v")), "classes")
     vectors = classes.select("id", "v")
-    graph = neighbours(vectors, classes.count(), **options)
-    links = settle(graph.filter(F.col("cos") >= threshold - 1e-9).select(F.col("u").alias("a"), F.col("w").alias("b")).distinct(), "links")
-    labels = joined(vectors, links, components(links), threshold, options.get("k", K))
-    members = labels.join(classes.select("id", "weight", "v"), "id")
-    counted = linked_counts(members, threshold)
+    n = classes.count()
+    every = max(d for d in range(1, EVERY + 1) if EVERY % d == 0 and (d == 1 or n >= d * ASKED))
+    asked = one.filter(F.col("id") % every == 0).select("digest").distinct().join(classes, "digest").select("id", "v")
+    asked = settle(asked.join(_true_links(asked, classes, threshold), "id").select("id", "sought"), "audit")
+    graph, seed = None, options.pop("seed", 3)
+    while True:
+        graph = neighbours(vectors, n, seed=seed, graph=graph, **options)
+        labels, counted = _counted(graph, vectors, classes, threshold, options.get("k", K))
+        if audited(asked, counted, options.get("k", K)) >= TARGET:
+            break
+        seed += 1
     found = classes.select("digest", "id", "weight").join(labels, "id", "left").join(counted, "id", "left")
     found = found.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "id").alias("comp"))
     out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left")

@@ -196,3 +196,18 @@ def test_embeddings_saturated_groups_are_joined(spark, monkeypatch, centres):
     assert near[:30, 30:60].sum() > 800
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == want
+
+
+def test_embeddings_are_audited_until_found(spark):
+    """Lone pairs near the threshold, from one table and no round: more are added until the audit is met."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = rng.standard_normal((600, 64))
+    step -= (step * base[:600]).sum(1)[:, None] * base[:600]
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    x = np.concatenate([base, 0.91 * base[:600] + np.sqrt(1 - 0.91**2) * step])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    out = embedding_dedup.near_duplicates(df, tables=1, rounds=0).collect()
+    assert sum(r.n_links > 0 for r in out) >= 0.9 * 1200
+    assert embedding_dedup.tables_for(20) > embedding_dedup.tables_for(10) > embedding_dedup.tables_for(0) == embedding_dedup.TABLES
