@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where none is set (as in tests) a temporary one is."""
+    """A new folder below spark.checkpoint.dir.
+
+    Where none is set, a session in one process (local[...]) gets a temporary one; on a cluster that is an
+    error, as each executor would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/quire-{name}-{uuid.uuid4().hex}"
@@ -21,4 +28,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df there and read it again: computed once, lineage cut."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables whose results stand in later settled ones."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
