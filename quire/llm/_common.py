@@ -1,34 +1,16 @@
-"""What the corpus operators share: the shared scratch folder, words, salts."""
+"""What the corpus operators share: words, salts, sized broadcasts, settled tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..sources.scratch import forget, settle, shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see.
+__all__ = ["WORD", "forget", "remainder", "settle", "shared_dir", "sized", "small_batches", "table", "unit"]
 
-    Only where the session names none (as in tests) a temporary one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/quire-{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: computed once, lineage cut."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: rows handed to Python at once, so that a batch of long texts fits a worker and the Arrow buffers stay small

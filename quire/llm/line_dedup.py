@@ -1,30 +1,29 @@
 """Line dedup: an exact set-similarity join of lines by prefix, position and length.
 
 A line's tokens are its distinct shingles of width words (A-Z lower-cased); width 1 makes
-them plain words, and a line of fewer words is one token, its whole sequence. Lines of fewer
-than min_words words are left alone; op4 and the pipeline take all lines that have a word
-(min_words = 1). A line is removed
-if an earlier line (a lesser document id, or the same and a lesser line number) has a
-Jaccard similarity of num / den or more with it, removed itself or not.
-
-Lines with equal token sets are one class, whose first line stays for now. The tokens of
-a class are ordered by rarity: by the logarithm of their count in a table of COUNTERS
-counters over all lines (of fixed size, so it may be broadcast), then by hash. Any fixed
-order gives an exact result; the rare ones first make few candidates. Two sets that are
-similar enough share a token among their first n - ceil(n * num / den) + 1; only tokens
-that occur in two classes' prefixes go on (a task hands on each class's prefix once).
-Candidates pass the length filter, by where the shared token stands in each the
-positional filter, and by a parity bitmap of each set (whose bits differ in no more
-places than the sets have tokens that are not shared) the bitmap filter; the rest are
-verified on the lines' full sets. Each token's earliest class is tried first against all
-of its list; only classes that this leaves unmatched are tried against all that are
-earlier, so that a list of thousands of near copies makes pairs in proportion to its
-length.
+them plain words, and a line of fewer words is one token, its whole sequence. All lines that have
+a word take part (min_words = 1). A line is removed if an earlier line (a lesser document
+id, or the same and a lesser line number) has a Jaccard similarity of num / den or more
+with it, removed itself or not.
+
+Lines with equal token sets are one class, told by a digest; all but its first line are
+removed. The tokens of a class are ordered by rarity: those that make up RARE of all
+tokens or more (at most 1 / RARE of them, so they may be broadcast) come last, by the
+logarithm of their count, and ties go by hash. Any fixed order gives an exact result; the
+rare ones first make few candidates. Two sets that are similar enough share a token among
+their first n - ceil(n * num / den) + 1; a task hands on each class's prefix once, and only
+tokens that are handed on twice go further. Candidates pass the length filter, by where the
+shared token stands in each the positional filter, and by a parity bitmap of each set
+(whose bits differ in no more places than the sets have tokens that are not shared) the
+bitmap filter; the rest are verified on the lines' full sets. Each token's earliest class
+is tried first against all of its list; only classes that this leaves unmatched are tried
+against all that are earlier, so that a list of thousands of near copies makes pairs in
+proportion to its length.
 
 Defined results: null and empty texts have no line to remove; documents with null ids are
 neither compared nor changed; rows with the same id count as one document; repeated lines
 within a document are removed after the first; an empty table gives an empty result;
-extra columns are ignored, or kept by deduped().
+extra columns are ignored, or kept by deduped() whatever their names.
 """
 
 from __future__ import annotations
@@ -36,98 +35,89 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, settle, sized, small_batches, table
-from ._shingles import _MUL, _words, mixed, overlap, shingle_set, shingles
+from ._common import WORD, forget, settle, sized, small_batches, table
+from ._shingles import joined, mixed, overlap, runs, shingle_sets, sliced, words
 
 WIDTH = 5
-MIN_WORDS = 5
-COUNTERS = 1 << 16
+MIN_WORDS = 1
+#: the share of all tokens from which a token counts as frequent
+RARE = 1e-6
 #: tokens (8 bytes each) that may be broadcast to pick postings; beyond, the postings are shuffled once more
 BROADCAST_TOKENS = 2_000_000
 #: digests whose prefixes a task remembers to have given
 REMEMBER = 300_000
-#: words taken at once
-TOKENS = 1 << 20
 
 
-def _read(texts: list[bytes | None], width: int, min_words: int) -> tuple[np.ndarray, ...]:
+def _read(b: pa.RecordBatch, width: int, min_words: int) -> tuple[np.ndarray, ...]:
     """Shingle hashes, the line of each (numbered through the texts), and each line's text and line number."""
-    every, sizes, doc, number = [], [], [], []
-    for d, text in enumerate(texts):
-        for i, line in enumerate((text or b"").lower().split(b"\n")):
-            words = line.split()
-            if len(words) >= min_words:
-                every += words
-                sizes.append(len(words))
-                doc.append(d)
-                number.append(i)
-    h, n = np.fromiter(map(_words.__getitem__, every), np.uint64, len(every)), np.array(sizes, np.int64)
-    m = max(len(h) - width + 1, 0)
-    acc = np.full(m, np.uint64(width), np.uint64)
-    for i in range(width):
-        acc = acc * _MUL + h[i : m + i]
-    line = np.repeat(np.arange(len(n)), n)[:m]
-    place = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))[:m]
-    inside = place <= n[line] - width
-    tokens, lines = [mixed(acc)[inside]], [line[inside]]
-    for k in range(1, width):
-        short = np.flatnonzero(n == k)
-        tokens.append(shingles(h[(np.cumsum(n) - n)[short][:, None] + np.arange(k)].T, width)[0])
-        lines.append(short)
-    return np.concatenate(tokens), np.concatenate(lines), np.array(doc, np.int64), np.array(number, np.int64)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Ids and texts, about TOKENS words at a time."""
-    for b in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t or b"")
-            if size > 5 * TOKENS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
-
-
-def _count(width: int, min_words: int):
+    data, offsets = joined(b.column("text"))
+    h, starts = words(data, offsets)
+    breaks = np.flatnonzero(data == ord("\n"))
+    above, doc = np.searchsorted(breaks, starts), np.searchsorted(offsets, starts, "right") - 1
+    first = np.flatnonzero(np.diff(above + doc, prepend=-1))
+    n = np.diff(first, append=len(h))
+    doc = doc[first]
+    number = above[first] - np.searchsorted(breaks, offsets)[doc]
+    if min_words > 1:
+        long = n >= min_words
+        h, n, doc, number = h[np.repeat(long, n)], n[long], doc[long], number[long]
+    return *runs(h, n, width), doc, number
+
+
+def _tally(width: int, min_words: int):
+    """A row for each token that makes up RARE or more of a task's, and occurs twice in a slice; and one with null for the number of all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for _, texts in _slices(batches):
-            h, *_ = _read(texts, width, min_words)
-            total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
+        total, held, counts = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+        for b in sliced(batches, 0):
+            h = _read(b, width, min_words)[0]
+            total += len(h)
+            h.sort()
+            first = np.flatnonzero(np.concatenate([h[:1] == h[:1], h[1:] != h[:-1]]))
+            n = np.diff(first, append=len(h))
+            h, n = h[first][n > 1], n[n > 1]
+            every = np.concatenate([held, h])
+            held, at = np.unique(every, return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(held)).astype(np.int64)
+        often = counts >= total * RARE
+        yield pa.RecordBatch.from_arrays([pa.array([None, *held[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[often].tolist()], pa.int64())], ["token", "n"])
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            total += np.frombuffer(x, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
+def frequent(texts: DataFrame, width: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens with a share of RARE or more, sorted, and the level (1 to 15) of each; at most 1 / RARE."""
+    sums = settle(texts.select("text").mapInArrow(_tally(width, min_words), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "line-tally")
+    total = sums.filter("token is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(2.0, total * RARE)
+    rows = sums.filter(F.col("token").isNotNull() & (F.col("n") >= least)).collect()
+    tokens, n = np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.float64)
+    order = np.argsort(tokens)
+    return tokens[order], np.minimum(15, 1 + np.log2(n[order] / least)).astype(np.uint64)
 
 
-def rarity(texts: DataFrame, width: int, min_words: int) -> np.ndarray:
-    """For each counter the level (0 to 15) of the tokens that it counts, rare ones first."""
-    sums = texts.mapInArrow(_count(width, min_words), "counts binary").repartition(8).mapInArrow(_add, "counts binary")
-    total = sum((np.frombuffer(r.counts, np.int64) for r in sums.collect()), np.zeros(COUNTERS, np.int64))
-    return np.minimum(15, np.log2(1 + total / max(total.mean(), 1e-9))).astype(np.uint8)
+def _levels(h: np.ndarray, tokens: np.ndarray, levels: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Each hash's level, 0 where it isn't frequent; known: which low bits frequent tokens have."""
+    out = np.zeros(len(h), np.uint64)
+    maybe = np.flatnonzero(known[(h & np.uint64(len(known) - 1)).astype(np.int64)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(tokens, h[maybe]), len(tokens) - 1)
+        out[maybe] = np.where(tokens[at] == h[maybe], levels[at], np.uint64(0))
+    return out
 
 
-def _sign(width: int, min_words: int, num: int, den: int, levels):
+def _sign(width: int, min_words: int, num: int, den: int, shared):
     """For each line: its set's digest, size, parity bitmap, whether its document has the set before, and the prefix where this task hasn't given it yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, given = levels.value, set()
-        for ids, texts in _slices(batches):
-            h, line, doc, number = _read(texts, width, min_words)
+        (tokens, levels), given = shared.value, set()
+        known = np.zeros(1 << 22, bool)
+        known[(tokens & np.uint64(len(known) - 1)).astype(np.int64)] = True
+        for b in sliced(batches, 1):
+            h, line, doc, number = _read(b, width, min_words)
             if not len(h):
                 continue
-            level = rare[(h % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+            level = _levels(h, tokens, levels, known)
             if len(doc) < 1 << 20:
                 order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(40)) | (h >> np.uint64(24)))
             else:
@@ -157,7 +147,7 @@ def _sign(width: int, min_words: int, num: int, den: int, levels):
             prefix = h[place < many[line]].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[doc]), pa.array(number), *map(pa.array, (*digests, n, *parity, again)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))],
+                [b.column("id").take(pa.array(doc)), pa.array(number), *map(pa.array, (*digests, n, *parity, again)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))],
                 ["doc", "line", "d0", "d1", "n", "p0", "p1", "again", "prefix"],
             )
 
@@ -168,8 +158,7 @@ def _verify(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for x, y in zip(b.column("x_text").to_pylist(), b.column("y_text").to_pylist(), strict=True):
-                s, t = shingle_set(x, width), shingle_set(y, width)
+            for s, t in zip(shingle_sets(b.column("x_text"), width), shingle_sets(b.column("y_text"), width), strict=True):
                 common = overlap(s, t)
                 good.append(den * common >= num * (len(s) + len(t) - common))
             yield b.select(["y"]).filter(pa.array(good, pa.bool_()))
@@ -190,31 +179,39 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
-    levels = spark.sparkContext.broadcast(rarity(texts, width, min_words))
-    lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, levels), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, p0 bigint, p1 bigint, again boolean, prefix array<bigint>"), "lines")
-    once = lines.filter("not again")
-    classes = once.groupBy("d0", "d1").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *(F.first(c).alias(c) for c in ("n", "p0", "p1")), F.count("*").alias("m"))
-    classes = settle(classes.select("d0", "d1", F.struct("doc", "line").alias("at"), "n", "p0", "p1", "m"), "line-classes")
-    firsts = classes.filter("m > 1").select("d0", "d1", "at")
-    repeated = once.select("doc", "line", "d0", "d1").join(sized(firsts), ["d0", "d1"]).filter(F.struct("doc", "line") != F.col("at")).select("doc", "line")
+    shared = spark.sparkContext.broadcast(frequent(texts, width, min_words))
+    lines = settle(texts.mapInArrow(_sign(width, min_words, num, den, shared), "doc bigint, line bigint, d0 bigint, d1 bigint, n bigint, p0 bigint, p1 bigint, again boolean, prefix array<bigint>"), "lines")
+
+    # Exact copies: by digest alone.
+    once, at = lines.filter("not again"), F.struct("doc", "line")
+    many = once.groupBy("d0", "d1").agg(F.count("*").alias("m")).filter("m > 1").select("d0", "d1")
+    copies = settle(once.select("doc", "line", "d0", "d1").join(sized(settle(many, "line-many")), ["d0", "d1"]), "line-copies")
+    firsts = settle(copies.groupBy("d0", "d1").agg(F.min(at).alias("first")), "line-firsts")
+    repeated = copies.join(firsts, ["d0", "d1"]).filter(at != F.col("first")).select("doc", "line")
     repeated = repeated.unionByName(lines.filter("again").select("doc", "line"))
 
-    postings = lines.select("d0", "d1", F.posexplode("prefix").alias("place", "token"))
-    ends = postings.groupBy("token").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("d0", "d1") for f in (F.min, F.max)))
-    shared = settle(ends.filter("min_d0 <> max_d0 or min_d1 <> max_d1").select("token"), "line-tokens")
-    lists = postings.join(sized(shared, BROADCAST_TOKENS), "token").dropDuplicates(["token", "d0", "d1"])
-    lists = settle(lists.join(classes.drop("m"), ["d0", "d1"]).drop("d0", "d1"), "line-lists")
-
-    heads = lists.groupBy("token").agg(F.min(F.struct("at", "n", "place", "p0", "p1")).alias("x"))
-    first = lists.alias("y").join(heads, "token").filter(F.col("x.at") < F.col("y.at")).filter(_possible(num, den))
-    tried = settle(first.select(F.col("x.at").alias("x"), F.col("y.at").alias("y")).distinct(), "line-pairs")
-    bodies = _bodies(lists.select("at").distinct(), texts)
-    matched = settle(_matched(tried, bodies, width, num, den), "line-matches")
-    rest = lists.join(matched.withColumnRenamed("y", "at"), "at", "left_anti")
+    # Similar ones: the classes that share a token of their prefixes, with the first class of each token.
+    tokens = settle(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
+    postings = lines.select("d0", "d1", "doc", "line", "n", "p0", "p1", F.posexplode("prefix").alias("place", "token"))
+    lists = settle(postings.join(sized(tokens, BROADCAST_TOKENS), "token").dropDuplicates(["token", "d0", "d1"]), "line-postings")
+    placed = lists.join(sized(firsts), ["d0", "d1"], "left").select("token", F.coalesce("first", at).alias("at"), "n", "place", "p0", "p1")
+    heads = placed.groupBy("token").agg(F.max("at").alias("last"), F.min(F.struct("at", "n", "place", "p0", "p1")).alias("x")).filter("x.at < last").drop("last")
+    lists = settle(placed.join(heads, "token"), "line-lists")
+
+    tried = lists.alias("y").filter((F.col("x.at") < F.col("y.at")) & _possible(num, den))
+    tried = settle(tried.select(F.col("x.at").alias("x"), F.col("y.at").alias("y")).distinct(), "line-pairs")
+    matched = settle(_matched(tried, texts, width, num, den), "line-matches")
+    lists = lists.drop("x")
+    rest = lists.join(sized(matched.withColumnRenamed("y", "at")), "at", "left_anti")
     more = rest.alias("y").join(lists.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.at") < F.col("y.at")) & _possible(num, den))
-    more = more.select(F.col("x.at").alias("x"), F.col("y.at").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    matched = matched.unionByName(_matched(settle(more, "line-pairs"), bodies, width, num, den)).distinct()
-    return settle(repeated.unionByName(matched.select("y.doc", "y.line")).distinct(), "removed-lines")
+    more = settle(more.select(F.col("x.at").alias("x"), F.col("y.at").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"), "line-pairs")
+    out = repeated.unionByName(matched.select("y.doc", "y.line"))
+    if not more.isEmpty():
+        out = out.unionByName(_matched(more, texts, width, num, den).select("y.doc", "y.line"))
+    out = settle(out.distinct(), "removed-lines")
+    forget(lines, copies)
+    shared.destroy()
+    return out
 
 
 def _bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -226,8 +223,9 @@ def _bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(each.dropDuplicates(["at"]), "line-texts")
 
 
-def _matched(pairs: DataFrame, bodies: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _matched(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The y of the pairs whose full sets are similar enough."""
+    bodies = _bodies(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct(), texts)
     rows = pairs.join(bodies.select(F.col("at").alias("x"), F.col("text").alias("x_text")), "x")
     rows = rows.join(bodies.select(F.col("at").alias("y"), F.col("text").alias("y_text")), "y")
     out = rows.select("y", "x_text", "y_text").mapInArrow(_verify(width, num, den), "y struct<doc:bigint,line:bigint>")
@@ -237,16 +235,16 @@ def _matched(pairs: DataFrame, bodies: DataFrame, width: int, num: int, den: int
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the lines removed, and __removed: how many (0 or more). Other columns stay."""
     gone = removed_lines(docs, key=key, text=text, **options)
-    gone = gone.groupBy("doc").agg(F.collect_set("line").alias("__gone"))
+    gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     keep = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i.cast("bigint")))
-    out = docs.join(gone, docs[key] == gone.doc, "left").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n")))
-    return out.withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__gone", "doc")
+    columns = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n")).alias(text) if c == text else docs[c] for c in docs.columns if c != "__removed"]
+    return docs.join(gone, docs[key] == gone["__doc"], "left").select(*columns, F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For all documents: the number of lines, how many go, and which (from 0)."""
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs, min_words=1).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
+    gone = removed_lines(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
     rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(gone, "doc_id", "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")

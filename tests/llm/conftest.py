@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that clash with names the operators use inside.
-CLASH = "id bigint, n bigint, text_len bigint, shard int, digest string, __row bigint, u bigint, comp bigint, idx int, block bigint"
+CLASH = "id bigint, n bigint, text_len bigint, shard int, digest string, __row bigint, u bigint, comp bigint, idx int, block bigint, doc bigint, line int, gone int, __h bigint, __t bigint, __removed int, __words string, __text string, skey string, turn int, label int, size int"
 
 
 @pytest.fixture(scope="session")

@@ -134,13 +134,15 @@ def test_line_dedup_matches_brute_force(spark, llm_docs, width):
             lines.append(" ".join(own))
         rows.append((d, "\n".join(lines)))
     got = {(r.doc, r.line) for r in line_dedup.removed_lines(llm_docs(rows), width=width).collect()}
-    assert got == brute_lines(rows, width, 80, 100, 5) and got
+    assert got == brute_lines(rows, width, 80, 100, 1) and got
+    long = {(r.doc, r.line) for r in line_dedup.removed_lines(llm_docs(rows), width=width, min_words=5).collect()}
+    assert long == brute_lines(rows, width, 80, 100, 5) and long
 
 
 def test_line_dedup_texts_and_odd_rows(spark, llm_docs, odd):
     rows = [(1, "a b c d e f\nshort\nA B C d e F\nshort"), (2, "other words here are five\na b c d e f")]
     got = {r.doc_id: (r.text, r["__removed"]) for r in line_dedup.deduped(llm_docs(rows, clash=True)).collect()}
-    assert got == {1: ("a b c d e f\nshort\nshort", 1), 2: ("other words here are five", 1)}
+    assert got == {1: ("a b c d e f\nshort", 2), 2: ("other words here are five", 1)}
     out = line_dedup.deduped(llm_docs(odd, clash=True))
     assert out.count() == len(odd) and {"id", "n", "comp"} <= set(out.columns)
     assert line_dedup.deduped(llm_docs([])).count() == 0
