@@ -11,8 +11,8 @@ removed. The tokens of a class are ordered by rarity: those that make up RARE of
 tokens or more (at most 1 / RARE of them, so they may be broadcast) come last, by the
 logarithm of their count, and ties go by hash. Any fixed order gives an exact result; the
 rare ones first make few candidates. Two sets that are similar enough share a token among
-their first n - ceil(n * num / den) + 1; a task hands on each class's prefix once, and only
-tokens that are handed on twice go further. Candidates pass the length filter, by where the
+their first n - ceil(n * num / den) + 1; only tokens in the prefixes of two classes go
+further. Candidates pass the length filter, by where the
 shared token stands in each the positional filter, and by a parity bitmap of each set
 (whose bits differ in no more places than the sets have tokens that are not shared) the
 bitmap filter; the rest are verified on the lines' full sets. Each token's earliest class
@@ -44,6 +44,8 @@ MIN_WORDS = 1
 RARE = 1e-6
 #: tokens (8 bytes each) that may be broadcast to pick postings; beyond, the postings are shuffled once more
 BROADCAST_TOKENS = 2_000_000
+#: digests (16 bytes each) of repeated lines that may be broadcast; beyond, the lines are shuffled
+BROADCAST_DIGESTS = 500_000
 #: digests whose prefixes a task remembers to have given
 REMEMBER = 300_000
 
@@ -185,15 +187,18 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int =
     # Exact copies: by digest alone.
     once, at = lines.filter("not again"), F.struct("doc", "line")
     many = once.groupBy("d0", "d1").agg(F.count("*").alias("m")).filter("m > 1").select("d0", "d1")
-    copies = settle(once.select("doc", "line", "d0", "d1").join(sized(settle(many, "line-many")), ["d0", "d1"]), "line-copies")
+    many = sized(settle(many, "line-many"), BROADCAST_DIGESTS)
+    copies = settle(once.select("doc", "line", "d0", "d1").join(many, ["d0", "d1"]), "line-copies")
     firsts = settle(copies.groupBy("d0", "d1").agg(F.min(at).alias("first")), "line-firsts")
     repeated = copies.join(firsts, ["d0", "d1"]).filter(at != F.col("first")).select("doc", "line")
     repeated = repeated.unionByName(lines.filter("again").select("doc", "line"))
 
-    # Similar ones: the classes that share a token of their prefixes, with the first class of each token.
-    tokens = settle(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
-    postings = lines.select("d0", "d1", "doc", "line", "n", "p0", "p1", F.posexplode("prefix").alias("place", "token"))
-    lists = settle(postings.join(sized(tokens, BROADCAST_TOKENS), "token").dropDuplicates(["token", "d0", "d1"]), "line-postings")
+    # Similar ones: the classes, once each, that share a token of their prefixes, with the first class of each token.
+    given = lines.filter(F.size("prefix") > 0).select("d0", "d1", "doc", "line", "n", "p0", "p1", "prefix")
+    each = given.join(many, ["d0", "d1"], "left_anti").unionByName(given.join(many, ["d0", "d1"], "left_semi").dropDuplicates(["d0", "d1"]))
+    tokens = settle(each.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "line-tokens")
+    postings = each.select("d0", "d1", "doc", "line", "n", "p0", "p1", F.posexplode("prefix").alias("place", "token"))
+    lists = settle(postings.join(sized(tokens, BROADCAST_TOKENS), "token"), "line-postings")
     placed = lists.join(sized(firsts), ["d0", "d1"], "left").select("token", F.coalesce("first", at).alias("at"), "n", "place", "p0", "p1")
     heads = placed.groupBy("token").agg(F.max("at").alias("last"), F.min(F.struct("at", "n", "place", "p0", "p1")).alias("x")).filter("x.at < last").drop("last")
     lists = settle(placed.join(heads, "token"), "line-lists")
