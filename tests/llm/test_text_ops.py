@@ -61,7 +61,7 @@ def test_mix_targets_and_taken_words(spark, llm_docs):
 
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 100, 257):
-        out = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(9)).alias("p")).toPandas().p
+        out = mixing.with_permuted(spark.range(n), "p", F.col("id"), F.lit(n), F.lit(9)).toPandas().p
         assert sorted(out) == list(range(n)) and (n < 100 or list(out) != list(range(n)))
 
 
@@ -82,6 +82,22 @@ def test_mixed_texts_and_odd_rows(spark, llm_docs, odd):
     assert mixing.taken_words(mixing.mix(llm_docs([]))).count() == 0
 
 
+def test_mixed_texts_of_repeated_rows(spark, llm_docs):
+    """Equal rows, and rows that are equal but for their source: each gives the words taken of it, in order, none glued to another."""
+    rows = [(1, " ".join(f"a{j}" for j in range(300)), s) for s in "aab"] + [(2, " ".join(f"b{j}" for j in range(100)), "b"), (None, "x y z", None)]
+    docs = llm_docs(rows, clash=True)
+    m = mixing.mix(docs, block=8)
+    taken, got = Counter(), Counter()
+    for r in mixing.taken_words(m).join(m.sources.select("idx", "skey"), ["idx", "skey"]).collect():
+        taken[r.skey] += r.taken
+    for r in mixing.mixed_texts(docs, m).collect():
+        words = r.text.split()
+        numbers = [int(w[1:]) for w in words if r.doc_id]
+        assert set(words) <= set(next(t for i, t, s in rows if (i, s) == (r.doc_id, r.source)).split()) and numbers == sorted(set(numbers))
+        got["t" if r.source is None else "s" + r.source] += len(words)
+    assert got == taken and sum(got.values()) > 0
+
+
 def test_shards(spark, llm_docs, odd):
     docs = llm_docs([(i, "t" * (i % 50)) for i in range(3000)])
     out = sharding.assign_shards(docs, [1.0] * 16, [1.0] * 17).toPandas()
@@ -132,6 +148,39 @@ def test_quality_learns_and_scores_whole_texts(spark, llm_docs, odd):
     assert quality.train([b"a"], np.array([1])).out.any() == np.False_
 
 
+def naive_score(net, data):
+    """The network by its definition: loops over chunks, places, bytes and filters."""
+    step, total, weight = quality.CHUNK - quality.OVERLAP, 0.0, 0
+    at = 0
+    while True:
+        part = list(data[at : at + quality.CHUNK])
+        size = max(len(part), 1)
+        part += [quality.PAD] * (quality.CHUNK - len(part))
+        logit = float(net.shift)
+        for f in range(quality.FILTERS):
+            top = -math.inf
+            for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                x = np.concatenate([net.embed[b] for b in part[place : place + quality.WIDTH]])
+                top = max(top, float(x @ net.filters[:, f]))
+            logit += max(0.0, top + float(net.bias[f])) * float(net.out[f])
+        total, weight = total + logit * size, weight + size
+        at += step
+        if at + quality.OVERLAP >= len(data):
+            return 1 / (1 + math.exp(-total / weight))
+
+
+def test_quality_scores_equal_the_definition(spark, llm_docs):
+    net = quality.train([b"good words of a text " * 30, b"!!XX##ZZ " * 60] * 8, np.array([1, 0] * 8))
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abc de!X#Zé日", k=n))) for i, n in enumerate([0, 1, 7, 63, 64, 65, 440, 448, 511, 512, 513, 900, 2000])] + [(99, None)]
+    got = {r.doc_id: r.score for r in quality.scored(llm_docs(rows), net, ["doc_id"]).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(naive_score(net, (t or "").encode()), abs=1e-5), i
+    texts = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id bigint, quality int")
+    assert quality.fit(texts, labels, lambda k: k > 0, limit=2).out.any()  # both ids count, though one has two texts
+
+
 def tokens(text):
     return [*re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in text or "")), None]
 
@@ -143,7 +192,7 @@ def test_lm_base_scores_are_exact(spark, llm_docs, odd, parts):
     docs = llm_docs(rows, clash=True)
     train = docs.filter("doc_id % 3 > 0")
     model = lm.train(train.select(F.col("text").cast("binary").alias("text")), part_bytes=1 << 30 if parts == 1 else 1500)
-    assert (len(model.parts) > 1) == (parts > 1)
+    assert (model.layout.parts > 1) == (parts > 1)
     count = Counter(w for i, t in rows if i % 3 for w in tokens(t))
     n, v = sum(count.values()), len(count)
     assert (model.tokens, model.distinct) == (n, v)
@@ -170,10 +219,10 @@ def test_filter_never_misses():
     g, q = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(1, 9, 5000)
     bits = np.zeros(lm.SEGMENT, np.uint8)
     for level in range(1, 9):
-        bits[lm._bits(g[q >= level], level, 1)[1].reshape(-1)] = 1
-    got = lm.Filter(np.packbits(bits), 1).levels(g)
+        bits[lm._bits(g[q >= level], level).reshape(-1)] = 1
+    got = lm.Filter(np.packbits(bits)).levels(g, np.zeros(len(g), int))
     assert (got >= q).all() and (got == q).mean() > 0.98
-    assert (lm.Filter(np.packbits(bits), 1).levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.02
+    assert (lm.Filter(np.packbits(bits)).levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.zeros(5000, int)) > 0).mean() < 0.02
 
 
 def brute_spans(text):
@@ -213,6 +262,60 @@ def test_randomness_battery_tells_keys_from_words(spark, llm_docs):
     assert not any("aaaa" in s["token"] for i in range(100, 160) for s in got[i])
 
 
+@pytest.mark.parametrize(("alphabet", "n"), [("0123456789abcdef", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64)])
+def test_randomness_p_values_hold(spark, alphabet, n):
+    """Of uniform random tokens each test rejects no more than its level, and each statistic is that of its definition."""
+    rng = random.Random(n)
+    rows = [("".join(rng.choices(alphabet, k=n)),) for _ in range(4000)]
+    rows = [r for r in rows if len(alphabet) < 36 or (set(r[0]) & set("0123456789") and set(r[0]) & set("abcdefghijklmnopqrstuvwxyz") and set(r[0]) & set("ABCDEFGHIJKLMNOPQRSTUVWXYZ") and (len(alphabet) < 64 or set(r[0]) & set("+/")))]
+    assert len(rows) > 1000
+    got = secrets.randomness(spark.createDataFrame(rows, "token string")).toPandas()
+    got = got[got.alphabet == len(alphabet)]
+    for name in ("p_chi", "p_runs", "p_serial", "p"):
+        for level in (0.05, 0.01):
+            assert (got[name] <= level).mean() <= 1.35 * level + 3 * math.sqrt(level / len(got)), (name, level)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    order = "0123456789" + alphabet.replace("0123456789", "") if len(alphabet) == 62 else alphabet
+    for r in got.head(40).itertuples():
+        x = [order.index(c) for c in r.token]
+        a, k = len(order), len(x)
+        pairs, p = k * (k - 1) / 2, 1 / a
+        equal = sum(x[i] == x[j] for i in range(k) for j in range(i))
+        var = pairs * p * (1 - p)
+        skew = (var * (1 - 2 * p) + k * (k - 1) * (k - 2) * p * p * (1 - p)) / var**1.5
+        y = (equal - 0.5 - pairs * p) / math.sqrt(var)
+        assert r.p_chi == pytest.approx(tail(6 / skew * (np.cbrt(max(0, skew * y / 2 + 1)) - 1) + skew / 6), abs=1e-6)
+        high = [v >= a / 2 for v in x]
+        h, runs = sum(high), 1 + sum(high[i] != high[i - 1] for i in range(1, k))
+        mean = 1 + 2 * h * (k - h) / k
+        assert r.p_runs == pytest.approx(2 * tail(max(0, abs(runs - mean) - 0.5) / math.sqrt((mean - 1) * (mean - 2) / (k - 1))), abs=1e-6)
+        d = np.array(x) - np.mean(x)
+        rho = (d[1:] * d[:-1]).sum() / (d * d).sum()
+        assert r.p_serial == pytest.approx(2 * tail(abs(rho + 1 / k) * k * math.sqrt(k - 1) / (k - 2)), abs=1e-6)
+
+
+def test_false_discovery_control_is_by_hand(spark):
+    """Benjamini-Hochberg by sorting, within a band and up to the width of a bin of p-values."""
+    rng = random.Random(1)
+    p = [rng.random() ** 4 for _ in range(300)]
+    rows = [(f"{i:03d}" + "x" * 37, v, 62.0) for i, v in enumerate(p)]
+    kept = {r.token for r in secrets.keep_random(spark.createDataFrame(rows, "token string, p double, alphabet double")).collect()}
+    ranked = sorted(p)
+    limit = max([v for i, v in enumerate(ranked, 1) if v <= secrets.RATE * i / len(p)], default=0.0)
+    width = 10 ** (1 / secrets.BINS)
+    for token, v, _ in rows:
+        assert v > limit / width**2 if token in kept else v <= limit * width**2
+
+
+def test_secrets_in_names_and_paths(spark, llm_docs):
+    rng = random.Random(5)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
+    base62 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    rows = [(1, f"AWS_SECRET_ACCESS_KEY={base64}"), (2, f"https://x.y/api-v1/some_name/{base62}/end"), (3, "thequickbrownfoxjumpsoverthelazydog 20240101120000000000001")]
+    got = {r.doc_id: [s["token"] for s in r.spans if s["rank"] == 3] for r in secrets.scan(llm_docs(rows)).collect()}
+    assert base64 in got[1] and base62 in got[2] and got[3] == []
+
+
 @pytest.mark.parametrize(("parts", "hot"), [(1, 1e-5), (1, 0.01), (3, 0.01)])
 def test_lm_counts_pairs_of_rare_words(spark, llm_docs, monkeypatch, parts, hot):
     """All pairs count, those of words with less than 1e-4 of all tokens too; scores follow the formula but where the filter errs."""
@@ -223,7 +326,7 @@ def test_lm_counts_pairs_of_rare_words(spark, llm_docs, monkeypatch, parts, hot)
     rows += [(100 + d, " ".join(ws)) for d, ws in enumerate(rare)]
     asked = [(200 + d, " ".join(ws)) for d, ws in enumerate(rare)] + [(300 + d, " ".join(reversed(ws))) for d, ws in enumerate(rare)] + [(400, "w1 new w2 newer newest q1x1")]
     model = lm.train(llm_docs(rows).select(F.col("text").cast("binary").alias("text")), part_bytes=1 << 30 if parts == 1 else 3000)
-    assert (len(model.parts) > 1) == (parts > 1)
+    assert (model.layout.parts > 1) == (parts > 1)
     got = {r.doc_id: r.score for r in lm.scored(llm_docs(rows + asked), model, ["doc_id"]).collect()}
     single, pair = Counter(), Counter()
     for _, t in rows:
