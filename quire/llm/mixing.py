@@ -49,15 +49,22 @@ class Mix:
     block: int
 
 
-def permuted(x: Column, n: Column, *keys: Column) -> Column:
-    """x's place in a pseudorandom permutation of 0..n-1 (swap-or-not shuffle)."""
+def with_permuted(df: DataFrame, name: str, x: Column, n: Column, *keys: Column) -> DataFrame:
+    """Adds x's place in a pseudorandom permutation of 0..n-1 (swap-or-not shuffle), a column for each round, so that all stays in generated code."""
+    columns = df.columns
+    df = df.withColumns({"__n": n.cast("long"), "__x": x.cast("long")})
+    for r in range(ROUNDS):
+        df = df.withColumn("__y", F.pmod(F.pmod(F.xxhash64(*keys, F.lit(r)), F.col("__n")) - F.col("__x") + F.col("__n"), F.col("__n")))
+        swap = F.xxhash64(*keys, F.lit(r), F.greatest("__x", "__y")).bitwiseAND(F.lit(1)) == 1
+        df = df.withColumn("__x", F.when(swap, F.col("__y")).otherwise(F.col("__x")))
+    return df.select(*columns, F.col("__x").alias(name))
 
-    def swap(at: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64(*keys, r), n) - at + n, n)
-        low = F.xxhash64(*keys, r, F.greatest(at, partner)).bitwiseAND(F.lit(1))
-        return F.when(low == 1, partner).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swap)
+def _row_digest(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row; rows that have the same are equal and stand for each other. Maps, which have no order, count as JSON."""
+    cells = [F.to_json(c) if kind.startswith("map") else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    marks = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    return F.struct(*(F.xxhash64(F.lit(k), *cells, *marks).alias(f"d{k}") for k in (0, 1)))
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -84,7 +91,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("t")).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key)).alias("__h"),
-        F.xxhash64(F.col(text)).alias("__t"),
+        _row_digest(docs).alias("__t"),
     ).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(BUCKETS)))
     rows = settle(rows, "mix-rows")
 
@@ -107,8 +114,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     # Each slot of each shard draws its source: together a multinomial draw for each shard.
     bounds = sources.filter("quota > 0").groupBy().agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("upto", "idx"))).alias("bounds"))
-    shards = bounds.filter("total > 0").select("total", "bounds", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / slots))).alias("shard"))
-    shards = shards.repartition(spark.sparkContext.defaultParallelism * 2, "shard")
+    every = sources.filter("quota > 0").agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
+    shards = spark.range(-(-every // slots)).withColumnRenamed("id", "shard").join(F.broadcast(bounds))  # bounds is one row
     drawn = shards.select("shard", "bounds", F.explode(F.sequence(F.col("shard") * slots, F.least(F.col("shard") * slots + slots, F.col("total")) - 1)).alias("slot"))
     drawn = drawn.withColumn("u", unit(F.lit(seed), F.lit("slot"), F.col("slot")))
     pick = F.filter("bounds", lambda b: b["upto"] > F.col("u"))
@@ -129,11 +136,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     lo, hi = F.greatest("lo", F.col("g.at")), F.least(F.col("lo") + F.col("many"), F.col("g.at") + F.col("g.short"))
     given = freed.filter(lo < hi).select("shard", F.col("g.idx").alias("idx"), (F.col("g.drawn") + lo - F.col("g.at")).alias("first"), (hi - lo).alias("n"))
 
-    jobs = own.unionByName(given).join(sources.select("idx", "blocks"), "idx")
+    # Few rows that make many: dealt out before they are, to a number of tasks that doesn't shrink with their bytes.
+    jobs = own.unionByName(given).join(F.broadcast(sources.select("idx", "blocks")), "idx")
+    tasks = max(1, min(-(-every // slots), 4 * spark.sparkContext.defaultParallelism))
+    jobs = jobs.repartition(tasks, "shard", "idx", "first")
     each = jobs.select("shard", "idx", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     turn = F.floor(F.col("j") / F.col("blocks"))
-    place = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("idx"), turn)
-    return Mix(layout, sources, each.select("shard", "idx", "j", place.alias("block")), block)
+    placed = with_permuted(each, "block", F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("idx"), turn)
+    return Mix(layout, sources, settle(placed.select("shard", "idx", "j", "block"), "mix-slots"), block)
 
 
 def taken_words(m: Mix) -> DataFrame:
@@ -152,25 +162,24 @@ def taken_words(m: Mix) -> DataFrame:
 def mixed_texts(docs: DataFrame, m: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs as the mix takes them: for each document a row with the words taken once or more, and one with those taken twice.
 
-    A row's text is its words in their order with the white space after each. Rows that
-    have the same id and text count as one here.
+    A row's text is its words in their order with the white space after each. Each of several equal rows
+    has the words that were taken of it.
     """
     last = F.floor((F.col("start") + F.col("size") - 1) / m.block)
-    parts = m.layout.filter("size > 0").select("idx", "start", "size", "__id", "__t", F.explode(F.sequence(F.floor(F.col("start") / m.block), last)).alias("block"))
+    parts = m.layout.filter("size > 0").select("idx", "start", "size", "__t", F.explode(F.sequence(F.floor(F.col("start") / m.block), last)).alias("block"))
     times = m.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
     a = F.greatest(F.col("block") * m.block - F.col("start"), F.lit(0))
     b = F.least((F.col("block") + 1) * m.block - F.col("start"), F.col("size"))
-    cuts = parts.join(times, ["idx", "block"]).select("__id", "__t", F.struct(a.cast("int").alias("a"), (b - a).cast("int").alias("n")).alias("cut"), "times")
-    cuts = cuts.select("__id", "__t", "cut", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
-    cuts = cuts.groupBy("__id", "__t", "turn").agg(F.sort_array(F.collect_set("cut")).alias("__cuts"))
-    ids = docs.select(key, F.xxhash64(text).alias("__h"))
-    single = ids.groupBy(key, "__h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    own = docs.withColumn("__h", F.xxhash64(text))
-    own = own if single else own.dropDuplicates([key, "__h"])
-    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    out = own.withColumn("__words", words).join(cuts, own[key].eqNullSafe(cuts["__id"]) & (F.col("__h") == F.col("__t")))
-    taken = F.flatten(F.transform("__cuts", lambda c: F.slice("__words", c["a"] + 1, c["n"])))
-    return out.withColumn(text, F.array_join(taken, "")).select(*docs.columns)
+    cuts = parts.join(times, ["idx", "block"]).select("idx", "start", "__t", F.struct(a.cast("int").alias("a"), (b - a).cast("int").alias("n")).alias("cut"), "times")
+    cuts = cuts.select("idx", "start", "__t", "cut", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
+    cuts = cuts.groupBy("idx", "start", "__t", "turn").agg(F.sort_array(F.collect_set("cut")).alias("__cuts")).select("__t", "__cuts")
+    digests = docs.select(_row_digest(docs).alias("__t"))
+    whole = docs.select(_row_digest(docs).alias("__t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
+    repeated = not digests.groupBy("__t").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    own = whole.dropDuplicates(["__t"]) if repeated else whole
+    own = own.withColumn("__words", F.regexp_extract_all(F.col("__doc")[text], F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    taken = F.array_join(F.flatten(F.transform("__cuts", lambda c: F.slice("__words", c["a"] + 1, c["n"]))), "")
+    return own.join(cuts, "__t").select(*(taken.alias(c) if c == text else F.col("__doc")[c].alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
