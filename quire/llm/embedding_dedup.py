@@ -16,9 +16,12 @@ component fall into cells, each with a centre and a radius. All vectors are comp
 all centres (CENTRES at a time): by the triangle inequality on angles only those within
 the radius and the threshold's angle can link with the cell. Those of other components are
 compared with the cell's members, and components that link become one. So all links of
-saturated classes are found; this takes the number of cells times that of vectors. Each
-component is then compared with itself in pairs of blocks. Links are counted, not listed:
-a component's blocks give each class its number of links with each block.
+saturated classes are found, and their lists are in effect enlarged to all that link with
+them; this takes the number of cells times that of vectors. (Lists that are doubled until their last member no
+longer links, as NN-descent is usually enlarged, grow to a group's size for each of its members before
+they end, and two groups that link may still not meet in them.) A component with a saturated class is then
+compared with itself in pairs of blocks. Links are counted, not listed: a component's blocks give each class
+its number of links with each block. In other components the lists hold all links.
 
 Recall is audited each time: the vectors whose ids EVERY divides (of fewer than ASKED times
 EVERY vectors more, so that the sample is not too small) are compared with all (audited()).
@@ -91,8 +94,12 @@ def _buckets(bits: int, tables: int, seed: int):
     return run
 
 
-def _nearest(k: int):
-    """Rows (block, id, v) sorted by block: for each vector its k nearest in the block, by id and cosine."""
+def _nearest(k: int, threshold: float):
+    """Rows (block, id, v) sorted by block: for each vector its k nearest in the block, by id and cosine.
+
+    Cosines are rounded, so that they are equal in all blocks, but not across the threshold.
+    """
+    below = np.nextafter(threshold, -1)
 
     def emit(ids: list[int], vs: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, first = np.unique(np.array(ids, np.int64), return_index=True)
@@ -102,7 +109,9 @@ def _nearest(k: int):
             if len(mine) < 2:
                 continue
             x = _matrix([vs[i] for i in mine])
-            s = np.round(x @ x.T, 12)  # equal in all blocks
+            exact = x @ x.T
+            s = np.round(exact, 12)
+            s = np.where(exact >= threshold, np.maximum(s, threshold), np.minimum(s, below))
             np.fill_diagonal(s, -2)
             m = min(k, len(mine) - 1)
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
@@ -122,12 +131,12 @@ def _nearest(k: int):
     return run
 
 
-def _blocks(rows: DataFrame, group: str, vectors: DataFrame, k: int) -> DataFrame:
+def _blocks(rows: DataFrame, group: str, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """u, w, cos: the k nearest of each id among those in its block; groups are dealt into blocks of about BLOCK."""
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = rows.join(sizes, group).select(F.xxhash64(group, F.pmod(F.xxhash64("id", group), F.col("blocks"))).alias("block"), "id")
     placed = dealt.join(vectors, "id").select("block", "id", "v").repartition("block").sortWithinPartitions("block", "id")
-    return placed.mapInArrow(_nearest(k), "u bigint, w bigint, cos double")
+    return placed.mapInArrow(_nearest(k, threshold), "u bigint, w bigint, cos double")
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -135,16 +144,18 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     ordered = edges.select("u", "w", "cos", "fresh").repartition("u").sortWithinPartitions("u", F.col("cos").desc(), "w", "fresh")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, w, n = None, None, 0
+        last_u, last_w, n = None, None, 0  # of the rows before
         for b in batches:
+            if not b.num_rows:
+                continue
             us, ws = b.column(0).to_numpy(), b.column(1).to_numpy()
-            keep = np.zeros(len(us), bool)
-            for i in range(len(us)):
-                if us[i] != u:
-                    u, w, n = us[i], None, 0
-                if ws[i] != w and n < k:
-                    keep[i], w, n = True, ws[i], n + 1
-            yield b.filter(pa.array(keep))
+            other = np.concatenate([[us[0] != last_u], us[1:] != us[:-1]])
+            new = other | np.concatenate([[ws[0] != last_w], ws[1:] != ws[:-1]])
+            count = np.cumsum(new)
+            start = np.maximum.accumulate(np.where(other, count - 1, -n if not other[0] else 0))
+            place = count - start  # 1 for a u's first neighbour
+            yield b.filter(pa.array(new & (place <= k)))
+            last_u, last_w, n = us[-1], ws[-1], int(place[-1])
 
     return ordered.mapInArrow(cut, "u bigint, w bigint, cos double, fresh int")
 
@@ -155,18 +166,18 @@ def tables_for(bits: int) -> int:
     return TABLES if p >= 1 else max(TABLES, math.ceil(math.log(1 - HIT) / math.log(1 - p)))
 
 
-def neighbours(vectors: DataFrame, n: int, k: int = K, tables: int | None = None, rounds: int | None = None, seed: int = 3, graph: DataFrame | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, n: int, k: int = K, tables: int | None = None, rounds: int | None = None, seed: int = 3, graph: DataFrame | None = None, threshold: float = 0.9) -> DataFrame:
     """u, w, cos, fresh: the graph of the k nearest neighbours of vectors (id, v); a graph given is added to. Without rounds they go on until few edges change."""
     bits = max(0, min(40, round(math.log2(max(n, 1) / (BLOCK / 2)))))
     codes = vectors.mapInArrow(_buckets(bits, tables or tables_for(bits), seed), "id bigint, bucket bigint")
-    met = _blocks(codes, "bucket", vectors, k).withColumn("fresh", F.lit(1))
+    met = _blocks(codes, "bucket", vectors, k, threshold).withColumn("fresh", F.lit(1))
     old = lambda g: g.withColumn("fresh", F.lit(0))
     graph = settle(_best(met if graph is None else old(graph).unionByName(met), k), "knn")
     done = 0
     while rounds is None or done < rounds:
         around = graph.select(F.col("u").alias("hub"), F.col("w").alias("id"))
         around = around.unionByName(around.select(F.col("id").alias("hub"), F.col("hub").alias("id"))).distinct()
-        met = _blocks(around, "hub", vectors, k).withColumn("fresh", F.lit(1))
+        met = _blocks(around, "hub", vectors, k, threshold).withColumn("fresh", F.lit(1))
         graph = settle(_best(old(graph).unionByName(met), k), "knn")
         done += 1
         edges, fresh = graph.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
@@ -376,11 +387,20 @@ def audited(asked: DataFrame, counted: DataFrame, k: int = K) -> float:
 
 
 def _counted(graph: DataFrame, vectors: DataFrame, classes: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """id and comp, and id and links, of the classes that link by the graph."""
-    links = settle(graph.filter(F.col("cos") >= threshold - 1e-9).select(F.col("u").alias("a"), F.col("w").alias("b")).distinct(), "links")
+    """id and comp, and id and links, of the classes that link by the graph.
+
+    Where no class of a component is saturated, its lists hold all its links; only the other components are compared with themselves.
+    """
+    links = settle(graph.filter(F.col("cos") >= threshold).select(F.col("u").alias("a"), F.col("w").alias("b")).distinct(), "links")
     labels = joined(vectors, links, components(links), threshold, k)
-    members = labels.join(classes.select("id", "weight", "v"), "id")
-    return labels, settle(linked_counts(members, threshold), "counted")
+    full = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    dense = settle(labels.join(full, "id").select("comp").distinct(), "saturated")
+    members = labels.join(dense, "comp").join(classes.select("id", "weight", "v"), "id")
+    sparse = labels.join(dense, "comp", "left_anti").select("id")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    listed = both.join(sparse, both.a == sparse.id).select("a", "b").join(classes.select(F.col("id").alias("b"), "weight"), "b")
+    listed = listed.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"))
+    return labels, settle(linked_counts(members, threshold).unionByName(listed), "counted")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
@@ -396,7 +416,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     asked = settle(asked.join(_true_links(asked, classes, threshold), "id").select("id", "sought"), "audit")
     graph, seed = None, options.pop("seed", 3)
     while True:
-        graph = neighbours(vectors, n, seed=seed, graph=graph, **options)
+        graph = neighbours(vectors, n, seed=seed, graph=graph, threshold=threshold, **options)
         labels, counted = _counted(graph, vectors, classes, threshold, options.get("k", K))
         if audited(asked, counted, options.get("k", K)) >= TARGET:
             break
