@@ -16,7 +16,7 @@ components are compared exhaustively: of these, each member that has a candidate
 another component brings its text to the node, all full sets of a node (or of two blocks
 of WIDE members of it) are compared by one matrix product, and only links that join
 components come out, at most one for each member. A pair is a candidate if the set sizes
-allow the threshold and the sketches are within four standard deviations of it. Links
+allow the threshold and the sketches are within DEVIATIONS standard deviations of it. Links
 are confirmed on the full sets: texts are read again and intersections counted.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link
@@ -28,6 +28,7 @@ threshold about 1 - 6e-6 at depth 3; no wrong link is ever given.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +39,24 @@ from pyspark.sql import functions as F
 
 from ._common import settle, sized, small_batches, table, unit
 from ._graph import components
-from ._shingles import overlap, shingle_set
+from ._shingles import overlap, shingle_set, shingle_sets, sliced
 
 T = 128
 TREES = 10
 SMALL = 128
 DEPTH = 8
+#: from this level on nodes branch more often, so that deep trees miss no more than shallow ones
+WIDER = 3
+#: standard deviations by which a pair's sketches may differ more than is likely on the threshold
+DEVIATIONS = 6
 #: a node that keeps this share of its parent agrees almost everywhere: branching stops there
 AGREES = 0.7
 #: partners of a class that are compared with one copy of its row
 SALT = 64
 #: members of a node that are compared at once, with as many others
 WIDE = 512
+#: and shingles of these, so that long texts fit a worker
+WIDE_SHINGLES = 1_000_000
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,31 +73,54 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, n, digest, sig, bits = [], [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, width)
+        for b in sliced(batches, 1):
+            n, digest, sig, bits = [], [], [], []
+            for s in shingle_sets(b.column(1), width):
                 m = minwise(s)
-                ids.append(i)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig.append(m.view(np.int32))
                 bits.append(np.packbits((m & 1).astype(bool)).view(np.int64))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * T, pa.int32()), pa.array(np.concatenate(sig) if sig else np.empty(0, np.int32)))
             two = np.array(bits).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), flat, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["id", "n", "digest", "sig", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), flat, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["id", "n", "digest", "sig", "s0", "s1"])
 
     return run
 
 
 def _picks(node, threshold: float, level: int):
-    """The coordinates on which a node branches: one, and with probability 1/threshold - 1 another."""
+    """The coordinates on which a node branches: one, and with probability 1/threshold - 1 another, from level WIDER twice as likely."""
+    often = (1 / threshold - 1) * (2 if level >= WIDER else 1)
     first = F.pmod(F.xxhash64(node, F.lit(level), F.lit(0)), F.lit(T)).cast("int")
     second = F.pmod(F.xxhash64(node, F.lit(level), F.lit(1)), F.lit(T)).cast("int")
-    more = unit(node, F.lit(level), F.lit(2)) < 1 / threshold - 1
+    more = unit(node, F.lit(level), F.lit(2)) < often
     return F.when(more & (first != second), F.array(first, second)).otherwise(F.array(first))
 
 
+def recall(threshold: float, similarity: float | None = None, depth: int = DEPTH, trees: int = TREES) -> float:
+    """The probability that a pair of a similarity (the threshold's, if none is given) meets in a node of this depth in one of the trees, and that its sketches let it pass.
+
+    One minus this is, on the threshold of 0.85, 7e-6 at depth 3 and 4e-4 at depth 8; on that of 0.8 it is 4e-5 and
+    8e-4. For a pair 0.05 above these it is 1e-7 and 7e-6, and 2e-6 and 4e-5. Coordinates are taken to agree
+    independently of each other.
+    """
+    s = threshold if similarity is None else similarity
+    lost = 0.0  # that a pair has no common node below a common node
+    for level in reversed(range(depth)):
+        often = min(1.0, (1 / threshold - 1) * (2 if level >= WIDER else 1)) * (1 - 1 / T)
+        one = 1 - s + s * lost
+        lost = (1 - often) * one + often * one**2
+    bits, p, most = 2 * 64, (1 + s) / 2, _most_apart(threshold)
+    kept = sum(math.comb(bits, k) * (1 - p) ** k * p ** (bits - k) for k in range(bits + 1) if k <= most)
+    return (1 - lost**trees) * kept
+
+
+def _most_apart(threshold: float) -> float:
+    """The number of bits in which sketches of a pair on the threshold may differ."""
+    bits, p = 2 * 64, (1 + threshold) / 2
+    return bits * (1 - p) + DEVIATIONS * (bits * p * (1 - p)) ** 0.5
+
+
 def _branched(rows: DataFrame, threshold: float, level: int, size: str) -> DataFrame:
     """rows: node, id, n, s0, s1, sig and the node's size -> the same without sig at the children, with the parent's size as above."""
     out = rows.select("id", "n", "s0", "s1", "sig", "node", F.col(size).cast("bigint").alias("above"), F.explode(_picks(F.col("node"), threshold, level)).alias("c"))
@@ -118,12 +148,9 @@ def _nodes(classes: DataFrame, threshold: float) -> DataFrame:
 
 def _alike(a: str, b: str, threshold: float):
     """Whether sizes and sketches leave a pair's similarity at the threshold possible."""
-    bits = 64 * 2
-    p = (1 + threshold) / 2
-    most = bits * (1 - p) + 4 * (bits * p * (1 - p)) ** 0.5
     differ = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (differ <= most) & (small >= large * threshold - 1e-9)
+    return (differ <= _most_apart(threshold)) & (small >= large * threshold - 1e-9)
 
 
 def _confirm(width: int, num: int, den: int):
@@ -172,12 +199,12 @@ def _compare(width: int, num: int, den: int):
         token, who = shared[token][count[token] > 1], who[count[token] > 1]
         order = np.argsort(token)
         token, who = token[order], who[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
+        common = np.zeros((len(sets), len(sets)), np.int64)
         for first in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
             i, j = np.searchsorted(token, [first, first + 4096])
             m = np.zeros((len(sets), 4096), np.float32)
             m[who[i:j], token[i:j] - first] = 1
-            common += m @ m.T
+            common += (m @ m.T).astype(np.int64)  # at most 4096, exact in single precision
         linked = den * common >= num * (n[:, None] + n[None] - common)
         top = {c: c for c in comps}
 
@@ -211,8 +238,8 @@ def _compare(width: int, num: int, den: int):
 
 
 def _joined(active: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between members (node, id, comp) of a node in different components, enough to join these."""
-    sizes = active.groupBy("node").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"))
+    """Links between members (node, id, n, comp) of a node in different components, enough to join these."""
+    sizes = active.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / WIDE, F.sum("n") / WIDE_SHINGLES)).cast("int").alias("blocks"))
     placed = active.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "id", "comp")
@@ -242,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     still = settle(placed.join(mixed, "node"), "open")
     x, y = still.alias("x"), still.alias("y")
     active = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y", threshold), "left_semi")
-    active = settle(active.select("node", "id", "comp"), "active")
+    active = settle(active.select("node", "id", "n", "comp"), "active")
     if not active.isEmpty():
         links = links.unionByName(_joined(active, texts, width, num, den))
         labels = components(links)
