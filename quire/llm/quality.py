@@ -8,13 +8,14 @@ mean of its chunks' logits, weighted by their bytes. All chunks of a batch go th
 one matrix product.
 
 The network is trained on at most LABELLED rows: those whose ids hash lowest, so that
-reruns and partitionings agree, and from each of them at most DOC_CHUNKS chunks drawn at
-random for each epoch. Both classes weigh the same, and the threshold is one half.
+reruns and partitionings agree, and from all chunks of these. The chunks of a document weigh DOC_WEIGHT
+together at most, so that long ones don't outweigh the rest. Both classes weigh the same, and the threshold is one half.
 Labels, language, source and id are no inputs of a score.
 
 Defined results: a null or empty text is one chunk of padding and gets the score the
-network gives that; rows with null or repeated ids each get a row; labels that are
-null are not learned from, and without labels of both classes every score is 0.5; an
+network gives that; rows with null ids are neither learned from nor held out; rows with null or repeated ids each get a row; labels that are
+null are not learned from (of several labels of an id the least counts, of several texts
+the one that hashes lowest), and without labels of both classes every score is 0.5; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import remainder, small_batches, table
+from ._shingles import joined
 
 LABELLED = 3000
-DOC_CHUNKS = 4
+DOC_WEIGHT = 4
 CHUNK = 512
 OVERLAP = 64
 DIM = 8
@@ -104,12 +106,13 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Net:
         return net
     weight = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()).astype(np.float32)
     cut = [chunks(t)[0] for t in texts]
+    every = [(i, j) for i, c in enumerate(cut) for j in range(len(c))]
+    share = np.array([min(1, DOC_WEIGHT / len(c)) for c in cut], np.float32)
     names = ("embed", "filters", "bias", "out", "shift")
     moments = {n: [0.0, 0.0] for n in names}
     step = 0
     for epoch in range(EPOCHS):
-        pick = [(i, j) for i, c in enumerate(cut) for j in rng.permutation(len(c))[:DOC_CHUNKS]]
-        rng.shuffle(pick)
+        pick = [every[k] for k in rng.permutation(len(every))]
         rate = 0.01 * (1 - epoch / EPOCHS)
         for b in range(0, len(pick), BATCH):
             part = pick[b : b + BATCH]
@@ -117,7 +120,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Net:
             who = np.array([i for i, _ in part])
             top, at, w = _pooled(net, x)
             z = np.clip(top @ net.out + net.shift, -30, 30)
-            d = ((1 / (1 + np.exp(-z)) - labels[who]) * weight[who] / len(part)).astype(np.float32)
+            d = ((1 / (1 + np.exp(-z)) - labels[who]) * weight[who] * share[who] / share[who].sum()).astype(np.float32)
             grad = {"out": top.T @ d, "shift": float(d.sum())}
             back = d[:, None] * net.out * (top > 0)
             grad["bias"] = back.sum(axis=0)
@@ -142,21 +145,31 @@ def train(texts: list[bytes | None], labels: np.ndarray, seed: int = 7) -> Net:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from, limit: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality") -> Net:
     """Train on at most limit labelled rows for whose key the condition holds: those with the lowest hashes."""
-    known = labels.filter(F.col(label).isNotNull() & learn_from(F.col(key))).select(key, F.col(label).alias("__label"))
+    known = labels.filter(F.col(label).isNotNull() & learn_from(F.col(key))).groupBy(key).agg(F.min(label).alias("__label"))
     known = known.withColumn("__h", F.xxhash64(key)).orderBy("__h", key).limit(limit)
-    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text")).join(F.broadcast(known), key)  # at most limit rows
-    got = rows.orderBy("__h", key).select("__text", "__label").limit(limit).collect()
+    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text")).join(F.broadcast(known), key)  # at most limit rows of labels
+    one = rows.groupBy("__h", key, "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    got = one.orderBy("__h", key).select("__text", "__label").collect()
     return train([r[0] for r in got], np.array([int(r[1]) for r in got]))
 
 
 def _score(net: Net, columns: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(text).cast(pa.binary()):
-                x, size = chunks(t.as_py())
-                z = float(np.average(logits(net, x), weights=size))
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            data, offsets = joined(b.column(text).cast(pa.binary()))
+            n = np.diff(offsets)
+            many = np.maximum(-(-(n - OVERLAP) // (CHUNK - OVERLAP)), 1)
+            doc = np.repeat(np.arange(len(n)), many)
+            inside = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * (CHUNK - OVERLAP)
+            size = np.clip(n[doc] - inside, 1, CHUNK)
+            total, starts = np.zeros(len(n)), offsets[doc] + inside
+            for i in range(0, len(doc), AT_ONCE):
+                at = starts[i : i + AT_ONCE, None] + np.arange(CHUNK)
+                there = at < offsets[doc[i : i + AT_ONCE] + 1][:, None]
+                x = np.where(there, data[np.minimum(at, len(data) - 1)].astype(np.int16) if len(data) else np.int16(0), np.int16(PAD))
+                total += np.bincount(doc[i : i + AT_ONCE], logits(net, x) * size[i : i + AT_ONCE], len(n))
+            z = total / np.maximum(np.bincount(doc, size, len(n)), 1)
+            out = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.float64())], [*columns, "__score"])
 
     return run
@@ -175,4 +188,4 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit(docs, table(spark, sf_dir, "labels"), lambda k: remainder(k, 3) != 1)
     out = scored(docs, net, ["doc_id"])
-    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
