@@ -1,14 +1,24 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens.
 
 Fixed patterns give base spans (kinds assign, access, hex). Besides, every run of 20 or
-more characters of [A-Za-z0-9+/_=-] that holds letters and digits, or both cases in its
-inside, is a candidate. Its encoding is inferred as the smallest alphabet that holds it
-(hex, base 32, base 36, base 62, base 64), and three tests ask whether it can be uniform
-random text in that alphabet: chi-squared over the alphabet, runs about the alphabet's
-middle, and lag-1 serial correlation. The smallest p-value times three (Bonferroni) is
-the token's. Over all candidates of one band of lengths (the tests gain power with
-length, so bands are kept apart) Benjamini-Hochberg at RATE decides which are not
-random; the others, if they have BITS or more bits of capacity, are spans of kind random.
+more characters of [A-Za-z0-9+/_-], with the = that end it, is tested; where a run fits no encoding
+(a path, a name with several separators), so is each piece of 20 or more letters and digits in it. Its encoding is
+inferred as the smallest alphabet that holds it (digits, hex, letters of one case, base 32, base 36,
+base 62, base 64), and three tests ask whether it can be uniform random text in that alphabet:
+chi-squared over the alphabet, runs about the alphabet's middle, and lag-1 serial
+correlation. The smallest p-value times three (Bonferroni) is the token's.
+
+Chi-squared is a function of the number of equal pairs of characters, whose first three
+moments under uniformity are exact for any length and alphabet; its tail is that of the
+gamma distribution with these (by the cube-root transform), with a correction for
+continuity, so it holds where the expected counts are far below one. Runs are taken given the number of high
+characters, also corrected; the correlation has its exact mean and the variance for uniform text. The tests are held against simulations.
+
+Over all tokens of one band of lengths (the tests gain power with length, so bands are
+kept apart) Benjamini-Hochberg at RATE decides which are not random. What is controlled so is the share
+of random keys among the tokens that are discarded, not that of false secrets. The others, if they have BITS
+or more bits of capacity, are spans of kind random. Digits, and letters of one case, need LETTER_BITS or more: of shorter words
+and numbers the tests, which know no language, reject too few.
 
 Benjamini-Hochberg runs on counts of p-values in bins of the logarithm, so it is one
 aggregation, not a sort of all candidates.
@@ -32,11 +42,15 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+PIECE = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}"
 #: (pattern of the whole token, alphabet), smallest first
 ENCODINGS = (
+    (r"^[0-9]+$", "0123456789"),
     (r"^[0-9a-f]+$", "0123456789abcdef"),
     (r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    (r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    (r"^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -48,6 +62,9 @@ ENCODINGS = (
 BANDS = (20, 24, 32, 48, 64, 96, 160)
 RATE = 0.05
 BITS = 80.0
+LETTER_BITS = 300.0
+#: sizes of the alphabets of digits and of letters of one case
+PLAIN = (10, 26)
 BINS = 100
 _SPAN = "struct<start:bigint,rank:int,stop:bigint,token:string>"
 
@@ -93,31 +110,34 @@ def _normal_tail(z: Column) -> Column:
 
 
 def randomness(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """Adds alphabet (its size) and p: how likely uniform random text looks as odd as this."""
+    """Adds alphabet (its size), p: how likely uniform random text looks as odd as this, and the p-value of each test; tokens fit an encoding and have three characters or more."""
     core = F.rtrim(F.translate(token, "=", " "))
     alphabet = F.coalesce(*(F.when(F.col(token).rlike(p), F.lit(a)) for p, a in ENCODINGS))
     out = tokens.withColumn("__alphabet", alphabet)
     out = out.withColumn("__x", F.transform(F.split(core, ""), lambda c: (F.instr(F.col("__alphabet"), c) - 1).cast("double")))
     out = out.withColumn("__a", F.length("__alphabet").cast("double")).withColumn("__n", F.size("__x").cast("double"))
+    n_, p_ = F.col("__n"), 1 / F.col("__a")
     squares = F.aggregate(F.array_distinct("__x"), F.lit(0.0), lambda acc, v: acc + F.pow(F.size(F.filter("__x", lambda w: w == v)), F.lit(2.0)))
-    out = out.withColumn("__chi", (squares * F.col("__a") / F.col("__n") - F.col("__n")) / (F.col("__a") - 1))
-    spread = 2 / (9 * (F.col("__a") - 1))
-    p_chi = _normal_tail((F.cbrt(F.greatest("__chi", F.lit(0.0))) - (1 - spread)) / F.sqrt(spread))
+    pairs, triples = n_ * (n_ - 1) / 2, n_ * (n_ - 1) * (n_ - 2) / 6
+    spread = F.sqrt(pairs * p_ * (1 - p_))
+    out = out.withColumn("__skew", (pairs * p_ * (1 - p_) * (1 - 2 * p_) + 6 * triples * p_ * p_ * (1 - p_)) / F.pow(spread, F.lit(3.0)))
+    out = out.withColumn("__y", ((squares - n_) / 2 - 0.5 - pairs * p_) / spread)
+    p_chi = _normal_tail(6 / F.col("__skew") * (F.cbrt(F.greatest(F.col("__skew") * F.col("__y") / 2 + 1, F.lit(0.0))) - 1) + F.col("__skew") / 6)
     high = F.transform("__x", lambda v: v >= F.col("__a") / 2)
     n = F.col("__n").cast("int")
     pairs = F.arrays_zip(F.slice(high, 1, n - 1).alias("a"), F.slice(high, 2, n - 1).alias("b"))
     out = out.withColumn("__runs", 1 + F.size(F.filter(pairs, lambda q: q["a"] != q["b"]))).withColumn("__high", F.size(F.filter(high, lambda h: h)).cast("double"))
     mean = 1 + 2 * F.col("__high") * (F.col("__n") - F.col("__high")) / F.col("__n")
     var = (mean - 1) * (mean - 2) / (F.col("__n") - 1)
-    p_runs = F.when(var > 0, 2 * _normal_tail(F.abs(F.col("__runs") - mean) / F.sqrt(var))).otherwise(F.pow(F.lit(2.0), 1 - F.col("__n")))
+    p_runs = F.when(var > 0, 2 * _normal_tail(F.greatest(F.abs(F.col("__runs") - mean) - 0.5, F.lit(0.0)) / F.sqrt(var))).otherwise(F.pow(F.lit(2.0), 1 - F.col("__n")))
     out = out.withColumn("__mean", F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v) / F.col("__n"))
     out = out.withColumn("__d", F.transform("__x", lambda v: v - F.col("__mean")))
     steps = F.arrays_zip(F.slice("__d", 1, n - 1).alias("a"), F.slice("__d", 2, n - 1).alias("b"))
     below = F.aggregate("__d", F.lit(0.0), lambda acc, v: acc + v * v)
     r = F.aggregate(steps, F.lit(0.0), lambda acc, q: acc + q["a"] * q["b"]) / below
-    p_serial = F.when(below > 0, 2 * _normal_tail(F.abs(r + 1 / F.col("__n")) * F.sqrt("__n"))).otherwise(0.0)
-    out = out.withColumn("p", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))).withColumn("alphabet", F.col("__a"))
-    return out.drop("__x", "__d", "__alphabet", "__a", "__n", "__chi", "__runs", "__high", "__mean")
+    p_serial = F.when(below > 0, 2 * _normal_tail(F.abs(r + 1 / n_) * n_ * F.sqrt(n_ - 1) / (n_ - 2))).otherwise(0.0)
+    out = out.withColumn("p", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))).withColumn("alphabet", F.col("__a")).withColumns({"p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial})
+    return out.drop("__x", "__d", "__alphabet", "__a", "__n", "__skew", "__y", "__runs", "__high", "__mean")
 
 
 def keep_random(tested: DataFrame, rate: float = RATE, bits: float = BITS, token: str = "token") -> DataFrame:
@@ -132,25 +152,29 @@ def keep_random(tested: DataFrame, rate: float = RATE, bits: float = BITS, token
     found = upto / F.sum("n").over(own) * rate >= F.pow(F.lit(10.0), -F.col("__level") / BINS)
     cut = bins.withColumn("__found", found).groupBy("__band").agg(F.min(F.when(F.col("__found"), F.col("__level"))).alias("__cut"))
     kept = rows.join(cut, "__band").filter(F.coalesce(F.col("__level") < F.col("__cut"), F.lit(True)))
-    return kept.filter(length * F.log2("alphabet") >= bits).drop("__band", "__level", "__cut")
+    capacity = length * F.log2("alphabet")
+    return kept.filter(capacity >= F.when(F.col("alphabet").isin(*PLAIN), LETTER_BITS).otherwise(bits)).drop("__band", "__level", "__cut")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, base and spans: arrays of (start, rank of the kind, stop, token)."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*(_found(body, p, g, least, rank) for rank, (_, p, g, least) in enumerate(PATTERNS)))
-    maybe = F.filter(_found(body, CANDIDATE, 0, 20, len(PATTERNS)), lambda s: _looks_encoded(s["token"]))
-    rows = settle(docs.select(F.col(key).alias("__id"), F.monotonically_increasing_id().alias("__row"), base.alias("base"), maybe.alias("maybe")), "secrets")
+    runs = _found(body, CANDIDATE, 0, 20, len(PATTERNS))
+    rows = docs.select(F.col(key).alias("__id"), F.monotonically_increasing_id().alias("__row"), base.alias("base"), runs.alias("runs"), F.when(body.rlike(CANDIDATE), body).alias("__body"))
+    rows = rows.withColumn("other", F.filter("runs", lambda s: ~_encoded(s["token"])))
+    pieces = F.when(F.size("other") > 0, F.filter(_found(F.col("__body"), PIECE, 0, 20, len(PATTERNS)), lambda s: F.exists("other", lambda o: (o["start"] <= s["start"]) & (s["stop"] <= o["stop"]))))
+    maybe = F.concat(F.filter("runs", lambda s: _encoded(s["token"])), F.coalesce(pieces, F.array().cast(f"array<{_SPAN}>")))
+    rows = settle(rows.select("__id", "__row", "base", maybe.alias("maybe")), "secrets")
     tokens = rows.filter(F.size("maybe") > 0).select("__row", F.explode("maybe").alias("span")).select("__row", "span", "span.token")
     kept = keep_random(randomness(tokens)).groupBy("__row").agg(F.collect_list("span").alias("more"))
     out = rows.join(kept, "__row", "left")
     return out.select(F.col("__id").alias(key), "base", F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))).alias("spans"))
 
 
-def _looks_encoded(token: Column) -> Column:
-    """Letters with digits, or both cases past the first letter; and an alphabet that holds it."""
-    mixed = (token.rlike("[0-9]") & token.rlike("[A-Za-z]")) | (token.rlike("^.+[A-Z]") & token.rlike("[a-z]"))
-    return mixed & F.array_join(F.array(*(F.when(token.rlike(p), F.lit("y")) for p, _ in ENCODINGS)), "").contains("y")
+def _encoded(token: Column) -> Column:
+    """Whether an encoding's alphabet holds it."""
+    return F.coalesce(*(F.when(token.rlike(p), F.lit(True)) for p, _ in ENCODINGS), F.lit(False))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
