@@ -23,8 +23,12 @@ from ._common import table
 RUNS = 1024
 
 
+def _named(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("null"))
+
+
 def _cost(key: Column, shard: int, weight: float) -> Column:
-    digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{shard}"))), 1, 13)
+    digits = F.substring(F.md5(F.concat(_named(key), F.lit(f":{shard}"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**13)
     return -F.log(u) / F.lit(float(weight))
 
@@ -48,7 +52,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
         F.crc32(body.cast("binary")).alias("text_crc32"),
         rendezvous(F.col(key), weights).alias("shard"),
         (rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.coalesce(F.pmod(F.col(key).cast("long"), F.lit(runs)), F.lit(0)).alias("__run"),
+        (F.conv(F.substring(F.md5(_named(F.col(key))), 1, 8), 16, 10).cast("long") % runs).alias("__run"),
     )
     offsets = rows.groupBy("shard", "__run").agg(F.count("*").alias("__n"))
     before = W.partitionBy("shard").orderBy("__run").rowsBetween(W.unboundedPreceding, -1)
@@ -65,7 +69,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_shard(n: int) -> str:
-    score = "-ln((('0x' || substr(md5(doc_id::VARCHAR || ':' || j::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+    score = "-ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || j::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
     return f"(SELECT arg_min(j, {score}) FROM range({n}) r(j))"
 
 
@@ -84,7 +88,7 @@ SELECT doc_id, (octet_length(encode(body)) + 1)::BIGINT AS size,
     list_transform(range(1, octet_length(encode(body)) + 1), lambda i: ('0x' || substr(hex(encode(body)), 2 * i - 1, 2))::BIGINT) END),
     lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
   'key' AS law, shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY doc_id % 1024, doc_id) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % 1024, doc_id NULLS FIRST) - 1)::BIGINT AS slot,
   grown::INTEGER AS grown_shard
 FROM placed, crc_list
 """

@@ -213,3 +213,52 @@ def test_embeddings_are_audited_until_found(spark):
     out = embedding_dedup.near_duplicates(df, tables=1, rounds=0).collect()
     assert sum(r.n_links > 0 for r in out) >= 0.9 * 1200
     assert embedding_dedup.tables_for(20) > embedding_dedup.tables_for(10) > embedding_dedup.tables_for(0) == embedding_dedup.TABLES
+
+
+def test_embeddings_of_two_groups_that_all_link(spark):
+    """Two groups of 40 vectors, all pairs of which link: 79 links each and one component."""
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    near_a = 0.94 * a + np.sqrt(1 - 0.94**2) * b
+    x = np.concatenate([v + 0.004 * rng.standard_normal((40, 64)) for v in (a, near_a)] + [rng.standard_normal((60, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    near, want = brute_embeddings(x)
+    assert (near[:80].sum(1) == 79).all()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()} == want
+
+
+def test_embeddings_at_the_threshold(spark):
+    """Pairs just above and just below 0.9: only the first are linked and joined."""
+    rows = []
+    for k, c in enumerate([0.9 + 1e-10, 0.9 - 1e-10, 0.9 + 1e-7, 0.9 - 1e-7]):
+        u, v = np.zeros(16), np.zeros(16)
+        u[2 * k], v[2 * k], v[2 * k + 1] = 1, c, np.sqrt(1 - c * c)
+        rows += [(2 * k, u.tolist()), (2 * k + 1, v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_lists_are_cut_as_by_a_loop(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(6), w, 1 - w / 100, rng.randrange(2)) for w in (rng.randrange(30) for _ in range(400))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = sorted((r.u, r.w) for r in embedding_dedup._best(spark.createDataFrame(edges, "u bigint, w bigint, cos double, fresh int"), 4).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted((u, w) for u in range(6) for w in sorted({w for v, w, *_ in edges if v == u})[:4])
+    assert got == want
+
+
+def test_near_duplicate_recall_is_what_is_stated():
+    """The branching process's recall, by running it."""
+    rng = np.random.default_rng(1)
+    t, depth, runs = 0.85, 5, 4000
+    lost = 0
+    for _ in range(runs):
+        now = 1
+        for level in range(depth):
+            picks = now + (rng.random(now) < (1 / t - 1) * (2 if level >= near_dedup.WIDER else 1)).sum()
+            now = int((rng.random(picks) < t).sum())
+        lost += now == 0
+    assert abs(lost / runs - (1 - near_dedup.recall(t, depth=depth, trees=1))) < 0.03
+    assert near_dedup.recall(0.85, depth=8) > 0.999 and near_dedup.recall(0.8, 0.85, depth=8) > 0.9999
