@@ -69,46 +69,92 @@ def unpredicted(data: bytes, predictor: int, colors: int, bits: int, columns: in
     if predictor < 10:
         return data
     rows = np.frombuffer(data, np.uint8, len(data) // (line + 1) * (line + 1)).reshape(-1, line + 1)
-    above, out = np.zeros(line, np.int64), []
-    for row in rows:
-        how, x = row[0] % 10, row[1:].astype(np.int64)
-        if how == 2:
-            x = x + above & 255
-        elif how == 1:
+    out, how = np.empty((len(rows), line), np.uint8), rows[:, 0] % 10
+    above = np.zeros(line, np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], how[1:] != how[:-1]])) if len(rows) else []
+    for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):  # runs of lines with one filter
+        x = rows[a:b, 1:]
+        if how[a] == 2:
+            out[a:b] = np.cumsum(np.concatenate([above[None], x]), axis=0, dtype=np.uint8)[1:]
+        elif how[a] == 1:
             for s in range(step):
-                x[s::step] = np.cumsum(x[s::step]) & 255
-        elif how in (3, 4):
-            for i in range(line):
-                a, b, c = (x[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
-                x[i] = x[i] + ((a + b) // 2 if how == 3 else min(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[2]) & 255
-        out.append(x.astype(np.uint8).tobytes())
-        above = x
-    return b"".join(out)
+                out[a:b, s::step] = np.cumsum(x[:, s::step], axis=1, dtype=np.uint8)
+        elif how[a] in (3, 4):
+            for n in range(a, b):
+                out[n] = _line(x[n - a], above if n == a else out[n - 1], step, how[a])
+        else:
+            out[a:b] = x
+        above = out[b - 1]
+    return out.tobytes()
+
+
+def _line(x: np.ndarray, above: np.ndarray, step: int, how: int) -> np.ndarray:
+    """A line with the average (3) or Paeth (4) filter undone, a sample of all components at a time."""
+    out, up = np.zeros(len(x) + step, np.int64), np.concatenate([np.zeros(step, np.int64), above])
+    for i in range(step, len(out), step):
+        j = min(i + step, len(out))
+        a, b, c = out[i - step : j - step], up[i:j], up[i - step : j - step]
+        if how == 3:
+            guess = (a + b) // 2
+        else:
+            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        out[i:j] = (x[i - step : j - step] + guess) & 255
+    return out[step:].astype(np.uint8)
 
 
 def predicted(data: bytes, how: int, colors: int, columns: int) -> bytes:
-    """PNG filter 0 (none), 1 (sub) or 2 (up) for lines of 8-bit samples."""
-    rows = np.frombuffer(data, np.uint8, len(data) // (colors * columns) * colors * columns).reshape(-1, colors * columns)
-    left = np.zeros_like(rows)
-    if how == 1:
-        left[:, colors:] = rows[:, :-colors]
-    elif how == 2:
-        left[1:] = rows[:-1]
-    return np.concatenate([np.full((len(rows), 1), how, np.uint8), rows - left], axis=1).tobytes()
+    """A PNG filter (0 none, 1 sub, 2 up, 3 average, 4 Paeth) for lines of 8-bit samples."""
+    rows = np.frombuffer(data, np.uint8, len(data) // (colors * columns) * colors * columns).reshape(-1, colors * columns).astype(np.int64)
+    left, above, corner = (np.zeros_like(rows) for _ in range(3))
+    left[:, colors:], above[1:], corner[1:, colors:] = rows[:, :-colors], rows[:-1], rows[:-1, :-colors]
+    pa, pb, pc = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+    guess = (0, left, above, (left + above) // 2, np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, above, corner)))[how]
+    return np.concatenate([np.full((len(rows), 1), how), rows - guess], axis=1).astype(np.uint8).tobytes()
+
+
+def to_lzw(data: bytes) -> bytes:
+    """An LZW stream of single bytes: codes of nine bits, the table cleared before they grow to ten."""
+    codes = np.frombuffer(data, np.uint8).astype(np.uint16)
+    n = 250
+    whole = [np.concatenate([[256], codes[i : i + n]]) for i in range(0, len(codes), n)]
+    bits = ((np.concatenate([*whole, [257]]).astype(np.uint16)[:, None] >> np.arange(8, -1, -1)) & 1).astype(np.uint8)
+    return np.packbits(bits).tobytes()
+
+
+def rc4_states(keys: np.ndarray) -> np.ndarray:
+    """The starting permutations (a row each) of RC4 for keys of one length."""
+    s, j = np.tile(np.arange(256, dtype=np.uint8), (len(keys), 1)), np.zeros(len(keys), np.int64)
+    each = np.arange(len(keys))
+    for i in range(256):
+        j = (j + s[:, i] + keys[:, i % keys.shape[1]]) & 255
+        s[each, i], s[each, j] = s[each, j], s[each, i].copy()
+    return s
+
+
+def rc4_all(data: list[bytes], keys: list[bytes]) -> list[bytes]:
+    """RC4 of many cells at once: a step takes the next byte of all that have one, longest first."""
+    out: list[bytes] = [b""] * len(data)
+    for size in {len(k) for k in keys}:
+        mine = sorted((i for i, k in enumerate(keys) if len(k) == size), key=lambda i: -len(data[i]))
+        lengths = np.array([len(data[i]) for i in mine])
+        s = rc4_states(np.array([list(keys[i]) for i in mine], np.int64).reshape(len(mine), size))
+        pad = np.zeros((len(mine), lengths[0] if len(lengths) else 0), np.uint8)
+        j, each = np.zeros(len(mine), np.int64), np.arange(len(mine))
+        left = np.searchsorted(-lengths, -np.arange(pad.shape[1]), "left")  # cells longer than n
+        for n in range(pad.shape[1]):
+            e, i = each[: left[n]], (n + 1) & 255
+            k = j[: left[n]] = (j[: left[n]] + s[: left[n], i]) & 255
+            a, b = s[e, i], s[e, k]
+            s[e, i], s[e, k] = b, a
+            pad[e, n] = s[e, a + b]
+        for row, i in enumerate(mine):
+            out[i] = (np.frombuffer(data[i], np.uint8) ^ pad[row, : len(data[i])]).tobytes()
+    return out
 
 
 def rc4(data: bytes, key: bytes) -> bytes:
-    s, j = list(range(256)), 0
-    for i in range(256):
-        j = (j + s[i] + key[i % len(key)]) % 256
-        s[i], s[j] = s[j], s[i]
-    out, i, j = bytearray(data), 0, 0
-    for n in range(len(out)):
-        i = (i + 1) % 256
-        j = (j + s[i]) % 256
-        s[i], s[j] = s[j], s[i]
-        out[n] ^= s[(s[i] + s[j]) % 256]
-    return bytes(out)
+    return rc4_all([data], [key])[0]
 
 
 def _each(function, *series: pd.Series) -> pd.Series:
@@ -135,6 +181,11 @@ def ascii85_encode(data: pd.Series) -> pd.Series:
     return _each(lambda b: base64.a85encode(b) + b"~>", data)
 
 
+@pandas_udf(BinaryType())
+def lzw_encode(data: pd.Series) -> pd.Series:
+    return _each(to_lzw, data)
+
+
 @pandas_udf(BinaryType())
 def lzw_decode(data: pd.Series, early: pd.Series) -> pd.Series:
     return _each(from_lzw, data, early)
@@ -150,9 +201,33 @@ def unpredict(data: pd.Series, predictor: pd.Series, colors: pd.Series, bits: pd
     return _each(unpredicted, data, predictor, colors, bits, columns)
 
 
+def _rc4_rows(data: pd.Series, key: pd.Series, masks: list[int]) -> pd.Series:
+    """RC4 once for each mask, by the key exclusive-or the mask; null where data or key are."""
+    have = [i for i, (d, k) in enumerate(zip(data, key, strict=True)) if d is not None and k]
+    now, keys = [bytes(data.iloc[i]) for i in have], [np.frombuffer(key.iloc[i], np.uint8) for i in have]
+    for m in masks:
+        now = rc4_all(now, [(k ^ np.uint8(m)).tobytes() for k in keys])
+    out = pd.Series([None] * len(data), dtype=object)
+    for i, d in zip(have, now, strict=True):
+        out.iloc[i] = d
+    return out
+
+
 @pandas_udf(BinaryType())
 def rc4_crypt(data: pd.Series, key: pd.Series) -> pd.Series:
-    return _each(rc4, data, key)
+    return _rc4_rows(data, key, [0])
+
+
+@pandas_udf(BinaryType())
+def rc4_up(data: pd.Series, key: pd.Series) -> pd.Series:
+    """Twenty passes, the key exclusive-or 0, 1, ..., 19."""
+    return _rc4_rows(data, key, list(range(20)))
+
+
+@pandas_udf(BinaryType())
+def rc4_down(data: pd.Series, key: pd.Series) -> pd.Series:
+    """Twenty passes, the key exclusive-or 19, 18, ..., 0."""
+    return _rc4_rows(data, key, list(range(19, -1, -1)))
 
 
 def undone(data: bytes, filters, predictor: int, colors: int, bits: int, columns: int) -> bytes | None:

@@ -162,3 +162,62 @@ def color_matrix(white, red, green, blue) -> dict:
 def bytes_per_line(width: Column, colors: Column, bits: Column) -> Column:
     """Bytes of an image's line, the last one filled up."""
     return F.floor((width * colors * bits + 7) / 8).cast("bigint")
+
+
+def _list(*numbers) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(" ", *(pdf_number(_col(n)) for n in numbers)), F.lit("]"))
+
+
+def color_from_profile(number: Column) -> Column:
+    """A colour space given by an ICC profile's object."""
+    return F.concat(F.lit("[/ICCBased "), number.cast("string"), F.lit(" 0 R]"))
+
+
+def color_from_palette(colors: Column) -> Column:
+    """Indexed colours: three bytes each; what is left over of the bytes is not used."""
+    n = F.floor(F.octet_length(colors) / 3).cast("int")
+    return F.concat(F.lit("[/Indexed/DeviceRGB "), (n - 1).cast("string"), F.lit("<"), F.hex(F.substr(colors, F.lit(1), n * 3)), F.lit(">]"))
+
+
+def color_from_matrix(gamma, white, matrix=None) -> Column:
+    """A calibrated space: grey without a matrix, else RGB with the rows X, Y, Z of an RGB to XYZ matrix, which the array holds by colour."""
+    if matrix is None:
+        return F.concat(F.lit("[/CalGray<</Gamma "), pdf_number(_col(gamma)), F.lit("/WhitePoint"), _list(*white), F.lit(">>]"))
+    by_color = [matrix[row][column] for column in range(3) for row in range(3)]
+    return F.concat(F.lit("[/CalRGB<</Gamma"), _list(gamma, gamma, gamma), F.lit("/Matrix"), _list(*by_color), F.lit("/WhitePoint"), _list(*white), F.lit(">>]"))
+
+
+def color_from_primaries(gamma, white, red, green, blue) -> Column:
+    """A calibrated RGB space given by chromaticities (x, y)."""
+    m = color_matrix(white, red, green, blue)
+    rows = [[_col(m[f"{axis}{c}"]) for c in "rgb"] for axis in "xyz"]
+    return color_from_matrix(gamma, (white[0] / white[1], 1.0, (1 - white[0] - white[1]) / white[1]), rows)
+
+
+# The primaries of the standard colour spaces; all have the white point D65 and the gamma 2.2.
+STANDARD = {
+    "AdobeRGB": ((0.64, 0.33), (0.21, 0.71), (0.15, 0.06)),
+    "P3-D65": ((0.68, 0.32), (0.265, 0.69), (0.15, 0.06)),
+    "sRGB": ((0.64, 0.33), (0.30, 0.60), (0.15, 0.06)),
+}
+
+
+def color_standard(name: str) -> Column:
+    """A colour space by name; CMYK is the device's."""
+    if name == "CMYK":
+        return F.lit("/DeviceCMYK")
+    return color_from_primaries(2.2, (0.3127, 0.3290), *STANDARD[name])
+
+
+def with_resource(resources: Column, kind: str, name: Column, value: Column) -> Column:
+    """A map of resources by kind (ColorSpace, Font, XObject), each a map of names to texts, with one set."""
+    own = F.coalesce(F.get(F.map_values(F.map_filter(resources, lambda k, _: k == kind)), F.lit(0)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    entries = F.map_concat(F.map_filter(own, lambda k, _: k != name), F.create_map(name, value))
+    return F.map_concat(F.map_filter(resources, lambda k, _: k != kind), F.create_map(F.lit(kind), entries))
+
+
+def resources_text(resources: Column) -> Column:
+    """A Resources dictionary of such a map, in byte order."""
+    inner = lambda e: F.array_join(F.transform(F.array_sort(F.map_entries(e)), lambda x: F.concat(pdf_name(x["key"]), F.lit(" "), x["value"])), "")
+    whole = F.transform(F.array_sort(F.map_keys(resources)), lambda k: F.concat(pdf_name(k), F.lit("<<"), inner(F.element_at(resources, k)), F.lit(">>")))
+    return F.concat(F.lit("<<"), F.array_join(whole, ""), F.lit(">>"))

@@ -13,11 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One PDF for each document: its text, its source as title, its language, and its id as keywords."""
+def document_objects(spark: SparkSession, sf_dir: str, compress: bool = True, metadata: bool = False) -> DataFrame:
+    """The objects of one PDF for each document: its text, its source as title, its language, and its id as keywords."""
     docs = table(spark, sf_dir, "documents")
     info = docs.select(F.concat(F.lit("doc-"), "doc_id", F.lit(".pdf")).alias("path"), F.col("source").alias("title"), F.col("lang").alias("language"), F.col("doc_id").cast("string").alias("keywords"))
-    return settle(writer.written(writer.pdf_objects(writer.pages_of(docs), info)), "pdf")
+    if metadata:
+        n = F.col("keywords").cast("bigint")
+        info = info.withColumns({"author": F.concat(F.lit("Author "), "keywords"), "subject": F.concat(F.lit("Über "), "language"), "creator": F.lit("quire"), "producer": F.lit("Spark"), "created": F.timestamp_seconds((n + 1) * 86400), "modified": F.timestamp_seconds((n + 1) * 86400 + 3600)})
+    return settle(writer.pdf_objects(writer.pages_of(docs), info, compress, metadata), "document-objects")
+
+
+def pdf_files(spark: SparkSession, sf_dir: str, compress: bool = True) -> DataFrame:
+    return settle(writer.written(document_objects(spark, sf_dir, compress)), "pdf")
 
 
 def pdf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,25 +71,42 @@ SELECT source || '.pdf' AS output, doc_id, page_index, row_number() OVER (PARTIT
 """
 
 
-def pdf_merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PDFs merged by source, written, and read again: pages, objects and text of each."""
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of all PDFs merged by source. A source may hold a third of all rows: its file stays a table of objects."""
     every = pdf_objects(spark, sf_dir)
-    files = settle(writer.written(merge.merged(every, settle(reader.pages(every), "pages"), _by_source(spark, sf_dir))), "merged")
-    again = settle(reader.objects(files), "merged-objects")
-    leaves = settle(reader.pages(again), "merged-pages")
-    boxes = reader.page_attribute(leaves, again, "MediaBox", "numbers").groupBy("path").agg(F.min(F.get("value", F.lit(3))).alias("height"))
-    found = text_extract.texts(reader.tokens(reader.page_streams(leaves, again)))
-    counts = again.groupBy("path").agg(F.count("*").alias("num_objs")).join(leaves.groupBy("path").agg(F.count("*").alias("num_pages")), "path")
-    rows = counts.join(boxes, "path").join(found, "path", "left").withColumn("t", F.coalesce("text", F.lit("")))
-    return rows.select(F.col("path").alias("output"), "num_objs", "num_pages", "height", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
+    out = merge.merged_objects(every, reader.pages(every), _by_source(spark, sf_dir))
+    return settle(out.withColumns({"generation": F.lit(0), "offset": F.lit(0).cast("bigint"), "repaired": F.lit(False)}), "merged-objects")
+
+
+def pdf_merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDFs merged by source: the text and height of each page of the merged files."""
+    again = _merged(spark, sf_dir)
+    leaves = reader.pages(again)
+    boxes = reader.page_attribute(leaves, again, "MediaBox", "numbers").select("path", "page_index", F.get("value", F.lit(3)).alias("height"))
+    found = text_extract.page_texts(reader.tokens(reader.page_streams(leaves, again)))
+    rows = boxes.join(found, ["path", "page_index"], "left").withColumn("t", F.coalesce("text", F.lit("")))
+    return rows.select(F.col("path").alias("output"), F.col("page_index").cast("bigint").alias("page_index"), "height", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 ORACLES["pdf_merge_text"] = """
-WITH d AS (SELECT source, doc_id, ceil(len(string_split(coalesce(text, ''), chr(10))) / 54.0) AS p,
-  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: l <> '') AS l FROM documents),
-u AS (SELECT source, doc_id, p, CASE WHEN len(l) = 0 THEN '' ELSE array_to_string(l, chr(10)) || chr(10) END AS t FROM d)
-SELECT source || '.pdf' AS output, (3 + count(*) + 2 * sum(p))::BIGINT AS num_objs, sum(p)::BIGINT AS num_pages, 792.0::DOUBLE AS height,
-  sum(length(t))::BIGINT AS n_chars, md5(string_agg(t, '' ORDER BY doc_id)) AS text_md5 FROM u GROUP BY source
+WITH d AS (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT source, doc_id, l, unnest(range(ceil(len(l) / 54.0)::BIGINT)) AS page FROM d),
+k AS (SELECT source, doc_id, page, list_filter(l[54 * page + 1 : 54 * page + 54], lambda x: x <> '') AS l FROM p),
+t AS (SELECT source, doc_id, page, CASE WHEN len(l) = 0 THEN '' ELSE array_to_string(l, chr(10)) || chr(10) END AS t FROM k)
+SELECT source || '.pdf' AS output, row_number() OVER (PARTITION BY source ORDER BY doc_id, page) - 1 AS page_index, 792.0::DOUBLE AS height, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM t
+"""
+
+
+def pdf_merge_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDFs merged by source: how many objects and pages the merged files have, by their page trees."""
+    again = _merged(spark, sf_dir)
+    kind = reader.entry(F.col("body"), "Type", "name")
+    return again.groupBy(F.col("path").alias("output")).agg(F.count(F.when(kind.isNull() | ~kind.isin("Pages"), 1)).alias("num_objs"), F.count(F.when(kind == "Page", 1)).alias("num_pages"))
+
+
+ORACLES["pdf_merge_objects"] = """
+WITH d AS (SELECT source, ceil(len(string_split(coalesce(text, ''), chr(10))) / 54.0) AS p FROM documents)
+SELECT source || '.pdf' AS output, (2 + count(*) + 2 * sum(p))::BIGINT AS num_objs, sum(p)::BIGINT AS num_pages FROM d GROUP BY source
 """
 
 
@@ -122,16 +139,26 @@ SELECT doc_id, chunks AS n_hex, (chunks + lines + 5 * ceil(lines / 54.0))::BIGIN
 
 
 def xref_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first objects of each PDF begin, by its cross-reference table."""
-    entries = reader.xref_entries(reader.xref_sections(pdf_files(spark, sf_dir)))
-    return entries.filter("used and number <= 3").select(doc_id(), "number", "offset", F.col("generation").cast("bigint").alias("generation"))
+    """Where the objects of each PDF, whose streams are plain, begin by its cross-reference table."""
+    entries = reader.xref_entries(reader.xref_sections(pdf_files(spark, sf_dir, compress=False)))
+    return entries.filter("used").select(doc_id(), "number", "offset", F.col("generation").cast("bigint").alias("generation"))
 
 
 ORACLES["xref_offsets"] = """
-WITH d AS (SELECT doc_id, lang, ceil(len(string_split(coalesce(text, ''), chr(10))) / 54.0)::BIGINT AS p FROM documents),
-b AS (SELECT doc_id, length('<</Lang(' || lang || ')/Pages 2 0 R/Type/Catalog>>') AS one,
-  length('<</Count ' || p || '/Kids[' || array_to_string(list_transform(range(p), lambda i: (2 * i + 5) || ' 0 R'), ' ') || ']/MediaBox[0 0 612 792]/Resources<</Font<</F1 4 0 R>>>>/Type/Pages>>') AS two FROM d)
-SELECT doc_id, n AS number, CASE n WHEN 1 THEN 19 WHEN 2 THEN 19 + 16 + one ELSE 19 + 32 + one + two END AS "offset", 0::BIGINT AS generation FROM b, range(1, 4) r(n)
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, unnest(range(ceil(len(l) / 54.0)::BIGINT)) AS page, l, source, lang FROM d),
+line AS (SELECT doc_id, page, unnest(l[54 * page + 1 : 54 * page + 54]) AS x FROM p),
+u AS (SELECT doc_id, page, sum(3 + ceil(length(x) / 200.0) * 5 + 4 * (length(x) + length(regexp_replace(x, '[^\U00010000-\U0010FFFF]', '', 'g'))))::BIGINT AS n FROM line GROUP BY doc_id, page),
+c AS (SELECT doc_id, page, n + length('BT') + 1 + length('/F1 10 Tf') + 1 + length('12 TL') + 1 + length('36 740 Td') + 1 + length('ET') + 1 AS n FROM u),
+h AS (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source, max(page) + 1 AS p FROM p GROUP BY doc_id),
+o AS (
+  SELECT doc_id, 1 AS number, octet_length(encode('<</Lang(' || lang || ')/Pages 2 0 R/Type/Catalog>>')) AS n FROM h
+  UNION ALL SELECT doc_id, 2, length('<</Count ' || p || '/Kids[' || array_to_string(list_transform(range(p), lambda i: (2 * i + 5) || ' 0 R'), ' ') || ']/MediaBox[0 0 612 792]/Resources<</Font<</F1 4 0 R>>>>/Type/Pages>>') FROM h
+  UNION ALL SELECT doc_id, 3, length('<</Keywords<FEFF>/Title<FEFF>>>') + 4 * length(doc_id::VARCHAR) + 4 * length(source) FROM h
+  UNION ALL SELECT doc_id, 4, length('<</BaseFont/Courier/Encoding/WinAnsiEncoding/Subtype/Type1/Type/Font>>') FROM h
+  UNION ALL SELECT doc_id, 5 + 2 * page, length('<</Contents ' || (6 + 2 * page) || ' 0 R/Parent 2 0 R/Type/Page>>') FROM c
+  UNION ALL SELECT doc_id, 6 + 2 * page, n + length('<</Length ' || n || '>>') + length('streamendstream') + 3 FROM c)
+SELECT doc_id, number::BIGINT AS number, (19 + coalesce(sum(n + length(number || ' 0 obj') + length('endobj') + 3) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", 0::BIGINT AS generation FROM o
 """
 
 
@@ -260,12 +287,15 @@ def utf16_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as UTF-16 hex strings and back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     h = text.utf16_hex(F.col("t"))
-    ascii_only = ~F.col("t").rlike(r"[^\x00-\x7F]")
-    return rows.select("conv_id", "turn", F.when(ascii_only, F.md5(h)).alias("hex_md5"), F.md5(text.from_utf16_hex(h)).alias("back_md5"))
+    return rows.select("conv_id", "turn", F.md5(h).alias("hex_md5"), F.md5(text.from_utf16_hex(h)).alias("back_md5"))
 
 
-ORACLES["utf16_hex"] = r"""
-SELECT conv_id, turn, CASE WHEN octet_length(encode(text)) = length(text) THEN md5(regexp_replace(hex(encode(text)), '(..)', '00\1', 'g')) END AS hex_md5, md5(text) AS back_md5 FROM conversations
+# Code units by the definition of UTF-16: characters beyond the basic plane take two.
+ORACLES["utf16_hex"] = """
+SELECT conv_id, turn, md5(array_to_string(list_transform(range(1, length(text) + 1), lambda i:
+  CASE WHEN unicode(substr(text, i, 1)) < 65536 THEN printf('%04X', unicode(substr(text, i, 1)))
+  ELSE printf('%04X', 55296 + (unicode(substr(text, i, 1)) - 65536) // 1024) || printf('%04X', 56320 + (unicode(substr(text, i, 1)) - 65536) % 1024) END), '')) AS hex_md5,
+  md5(text) AS back_md5 FROM conversations
 """
 
 

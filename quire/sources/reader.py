@@ -1,8 +1,8 @@
 """PDF files as tables: cross-reference entries, objects, streams, pages, file facts.
 
 A file's bytes are read as Latin-1 text, where a character is a byte, so that regular
-expressions and substrings find what the format's syntax marks. Cross-reference tables
-are chains of sections (Prev); the newest entry of a number counts. A file whose chain
+expressions and substrings find what the format's syntax marks. Cross-reference tables and
+streams are chains of sections (Prev); the newest entry of a number counts. A file whose chain
 can't be followed is repaired: all "N G obj" are found, and the last of a number counts.
 Everything that relates objects, pages or files is a join, window or aggregation; only
 nested values (values()) and stream filters are small functions on one row.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import codecs
-
-#: sections of a Prev chain that are followed
-SECTIONS = 100
-#: levels of a page tree
-LEVELS = 32
-
+from ..functions.text import parse_pdf_date
+from .scratch import settle
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """path and content of the PDF files below a folder."""
@@ -51,34 +48,72 @@ def headers(files: DataFrame) -> DataFrame:
     return files.select("path", version.alias("version"), start.alias("startxref"), text.alias("text"))
 
 
-def _section(text: Column, offset: Column) -> Column:
-    """A table section from its offset to its end-of-section mark, or null."""
-    part = F.substr(text, offset + 1)
-    return F.nullif(F.regexp_extract(part, r"(?s)^\s*(xref\s.*?trailer\s*<<.*?)startxref", 1), F.lit(""))
+def _cut(texts: DataFrame) -> DataFrame:
+    """The section that begins at each row's offset (at): a table with its trailer, or a cross-reference stream's dictionary and data."""
+    part = F.substr("text", (F.col("at") + 1).cast("int"))
+    table = F.regexp_extract(part, r"(?s)^\s*(xref\s.*?trailer\s*<<.*?)startxref", 1)
+    rows = texts.withColumn("part", part).withColumn("table", F.nullif(table, F.lit("")))
+    head = F.when(F.col("table").isNull() & F.substring("part", 1, 40).rlike(r"^\s*\d+\s+\d+\s+obj\b"), F.regexp_extract("part", r"(?s)^(\s*\d+\s+\d+\s+obj\s*<<.*?>>\s*stream\r?\n)", 1))
+    rows = rows.withColumn("head", F.when(head.rlike(r"/Type\s*/XRef\b"), head))
+    data = F.encode(F.substr("part", F.length("head") + 1, entry(F.col("head"), "Length", "int").cast("int")), "ISO-8859-1")
+    return rows.withColumn("section", F.coalesce("table", "head")).withColumn("data", data).filter("section is not null").drop("part", "table", "head", "text")
 
 
 def xref_sections(files: DataFrame) -> DataFrame:
-    """path, seq (0 is the newest), section: the classic sections of each file's Prev chain."""
+    """path, seq (0 is the newest), section, data: the sections of each file's Prev chain, tables and streams.
+
+    A round follows one Prev of all files; only files that have one are read again. A hybrid file's stream
+    (XRefStm) comes right after its table. An offset that was there before ends a chain.
+    """
     texts = headers(files)
-    now = texts.select("path", "text", F.col("startxref").alias("at"), F.array(F.col("startxref")).alias("seen")).filter("at is not null")
-    out = None
-    for seq in range(SECTIONS):
-        now = now.withColumn("section", _section(F.col("text"), F.col("at"))).filter("section is not null")
-        found = now.select("path", F.lit(seq).alias("seq"), "section")
+    now = settle(_cut(texts.select("path", "text", F.col("startxref").alias("at")).filter("at is not null")).withColumn("seen", F.array("at")), "sections")
+    out, seq = None, 0
+    while not now.isEmpty():
+        found = now.select("path", F.lit(seq).alias("seq"), "section", "data")
         out = found if out is None else out.unionByName(found)
-        now = now.withColumn("at", _number(F.col("section"), r"/Prev\s+(\d+)")).filter("at is not null").filter(~F.array_contains("seen", F.col("at")))
-        now = now.withColumn("seen", F.concat("seen", F.array("at"))).drop("section")
-        if seq and now.isEmpty() or not seq and now.limit(1).isEmpty():
-            break
-    return out
+        prev = _number(F.col("section"), r"/Prev\s+(\d+)")
+        hybrid = now.select("path", _number(F.col("section"), r"/XRefStm\s+(\d+)").alias("at")).filter("at is not null")
+        out = out.unionByName(_cut(hybrid.join(texts.select("path", "text"), "path")).select("path", F.lit(seq + 1).alias("seq"), "section", "data"))
+        older = now.select("path", prev.alias("at"), "seen").filter("at is not null").filter(~F.array_contains("seen", F.col("at")))
+        now = settle(_cut(older.join(texts.select("path", "text"), "path")).withColumn("seen", F.concat("seen", F.array("at"))), "sections")
+        seq += 2
+    return now.select("path", F.lit(0).alias("seq"), "section", "data") if out is None else out
 
 
-def xref_entries(sections: DataFrame) -> DataFrame:
-    """path, number, generation, offset, used: the newest entry of each number."""
-    parts = sections.select("path", "seq", F.explode(F.regexp_extract_all("section", F.lit(r"(\d+\s+\d+\s*\r?\n(?:\d{10} \d{5} [nf][ \r\n]{1,2})+)"), F.lit(1))).alias("part"))
+def _table_entries(sections: DataFrame) -> DataFrame:
+    parts = sections.filter("data is null").select("path", "seq", F.explode(F.regexp_extract_all("section", F.lit(r"(\d+\s+\d+\s*\r?\n(?:\d{10} \d{5} [nf][ \r\n]{1,2})+)"), F.lit(1))).alias("part"))
     first = F.regexp_extract("part", r"^(\d+)", 1).cast("bigint")
     rows = parts.select("path", "seq", first.alias("first"), F.posexplode(F.regexp_extract_all("part", F.lit(r"(\d{10} \d{5} [nf])"), F.lit(1))).alias("i", "entry"))
-    rows = rows.select("path", "seq", (F.col("first") + F.col("i")).alias("number"), F.substring("entry", 12, 5).cast("int").alias("generation"), F.substring("entry", 1, 10).cast("bigint").alias("offset"), F.col("entry").endswith("n").alias("used"))
+    none = F.lit(None).cast("bigint")
+    return rows.select("path", "seq", (F.col("first") + F.col("i")).alias("number"), F.substring("entry", 12, 5).cast("int").alias("generation"), F.substring("entry", 1, 10).cast("bigint").alias("offset"), F.col("entry").endswith("n").alias("used"), none.alias("container"), none.alias("place"))
+
+
+def _stream_entries(sections: DataFrame) -> DataFrame:
+    """Entries of cross-reference streams: three big-endian fields of the widths W for each number of the Index ranges."""
+    rows = sections.filter("data is not null").withColumnRenamed("section", "body")
+    widths = F.transform(entry(F.col("body"), "W", "numbers"), lambda x: x.cast("int"))
+    ranges = F.transform(F.coalesce(entry(F.col("body"), "Index", "numbers"), F.array(F.lit(0.0), entry(F.col("body"), "Size", "int").cast("double"))), lambda x: x.cast("bigint"))
+    rows = decoded(rows.withColumn("w", widths).withColumn("ranges", ranges)).filter(F.size("w") == 3)
+    halves = F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", i * 2).alias("first"), F.get("ranges", i * 2 + 1).alias("n"), F.aggregate(F.slice("ranges", 1, i * 2), F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("k")), lambda acc, x: F.struct((acc["sum"] + F.when(acc["k"] % 2 == 1, x).otherwise(0)).alias("sum"), (acc["k"] + 1).alias("k")), lambda acc: acc["sum"]).alias("before")))
+    rows = rows.select("path", "seq", "w", "decoded", F.explode(halves).alias("r")).filter("r.n > 0")
+    rows = rows.select("path", "seq", "w", "decoded", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("r.n") - 1)).alias("i"))
+    w = [F.get("w", F.lit(k)) for k in range(3)]
+    at = ((F.col("r.before") + F.col("i")) * (w[0] + w[1] + w[2])).cast("int") + 1
+    field = lambda start, size: F.coalesce(F.conv(F.hex(F.substr("decoded", start, size)), 16, 10).cast("bigint"), F.lit(0))
+    kind = F.when(w[0] == 0, 1).otherwise(field(at, w[0]))
+    second, third = field(at + w[0], w[1]), field(at + w[0] + w[1], w[2])
+    rows = rows.filter(F.octet_length("decoded") >= at - 1 + w[0] + w[1] + w[2])
+    rows = rows.select("path", "seq", (F.col("r.first") + F.col("i")).alias("number"), kind.alias("kind"), second.alias("second"), third.alias("third"))
+    packed = F.col("kind") == 2
+    return rows.select("path", "seq", "number", F.when(packed, 0).otherwise(F.col("third")).cast("int").alias("generation"), F.when(~packed, F.col("second")).alias("offset"), F.col("kind").isin(1, 2).alias("used"), F.when(packed, F.col("second")).alias("container"), F.when(packed, F.col("third")).alias("place"))
+
+
+def xref_entries(sections: DataFrame) -> DataFrame:
+    """path, number, generation, offset, used, container, place: the newest entry of each number.
+
+    An object in an object stream has the stream's number as container and its place there, and no offset.
+    """
+    rows = _table_entries(sections).unionByName(_stream_entries(sections))
     newest = F.row_number().over(W.partitionBy("path", "number").orderBy("seq"))
     return rows.withColumn("k", newest).filter("k = 1").drop("k", "seq")
 
@@ -87,16 +122,31 @@ _HEAD = r"^\s*(\d+)\s+(\d+)\s+obj\b"
 
 
 def objects(files: DataFrame) -> DataFrame:
-    """path, number, generation, offset, body (text), data (a stream's raw bytes) and repaired, by table or by repair."""
+    """path, number, generation, offset, body (text), data (a stream's raw bytes) and repaired, by table or by repair.
+
+    Objects in object streams are among them, with the offset of their stream. A file is repaired if it has
+    no table, or if the table's offsets don't all lead to the objects they name.
+    """
     texts = headers(files).select("path", "text")
-    entries = xref_entries(xref_sections(files)).filter("used and number > 0")
-    entries = entries.withColumn("next", F.lead("offset").over(W.partitionBy("path").orderBy("offset", "number")))
-    seen = entries.join(texts, "path").withColumn("part", _between("text", F.col("offset"), F.col("next")))
-    seen = seen.withColumn("ok", (F.regexp_extract("part", _HEAD, 1) == F.col("number").cast("string")) & (F.regexp_extract("part", _HEAD, 2) == F.col("generation").cast("string")))
-    sound = seen.groupBy("path").agg(F.bool_and("ok").alias("sound")).filter("sound").select("path")
-    byTable = seen.join(sound, "path").select("path", "number", "generation", "offset", F.lit(False).alias("repaired"), "part")
-    damaged = texts.join(sound, "path", "left_anti")
-    return _bodies(byTable.unionByName(_repaired(damaged)))
+    entries = settle(xref_entries(xref_sections(files)).filter("used and number > 0"), "entries")
+    listed = entries.filter("container is null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "number", "generation"))).alias("e"))
+
+    def named(x: Column) -> Column:
+        head = F.substr("text", (x["offset"] + 1).cast("int"), F.lit(48))
+        return F.concat_ws(" ", F.regexp_extract(head, _HEAD, 1).cast("bigint"), F.regexp_extract(head, _HEAD, 2).cast("bigint")) == F.concat_ws(" ", x["number"], x["generation"])
+
+    rows = texts.join(listed, "path", "left").withColumn("sound", F.coalesce((F.size("e") > 0) & F.forall("e", named), F.lit(False)))
+    each = rows.filter("sound").select("path", "text", "e", F.posexplode("e").alias("i", "x"))
+    part = _between("text", F.col("x.offset"), F.get("e", F.col("i") + 1)["offset"])
+    by_table = each.select("path", "x.number", "x.generation", "x.offset", F.lit(False).alias("repaired"), part.alias("part"))
+    found = _bodies(by_table.unionByName(_repaired(rows.filter("not sound").select("path", "text"))))
+    inner = _packed(found)
+    placed = entries.filter("container is not null").select("path", "number", "container", "place")
+    listed_inner = inner.filter("not repaired").join(placed, ["path", "number", "container", "place"], "left_semi")
+    last = F.row_number().over(W.partitionBy("path", "number").orderBy(F.col("offset").desc()))
+    columns = found.columns
+    mended = found.filter("repaired").unionByName(inner.filter("repaired").select(*columns)).withColumn("k", last).filter("k = 1").drop("k")
+    return found.filter("not repaired").unionByName(listed_inner.select(*columns)).unionByName(mended)
 
 
 def _between(text: str, start: Column, stop: Column) -> Column:
@@ -105,16 +155,14 @@ def _between(text: str, start: Column, stop: Column) -> Column:
 
 
 def _repaired(texts: DataFrame) -> DataFrame:
-    """Every object that a file's text shows, the last of each number."""
+    """Every object that a file's text shows, the last of each number; the text is cut once, at the objects' marks."""
     pattern = r"(?<![0-9])(?:[0-9]+)\s+[0-9]+\s+obj\b"
-    marks = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    gaps = F.split("text", pattern, -1)
-    rows = texts.select("path", "text", F.posexplode(F.arrays_zip(marks.alias("mark"), gaps.alias("gap"))).alias("i", "z"))
-    upto = W.partitionBy("path").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.length("z.gap") + F.coalesce(F.length("z.mark"), F.lit(0))).over(upto)).filter("z.mark is not null")
-    offset = F.col("end") - F.length("z.mark")
-    rows = rows.select("path", "text", F.regexp_extract("z.mark", r"^(\d+)", 1).cast("bigint").alias("number"), F.regexp_extract("z.mark", r"^\d+\s+(\d+)", 1).cast("int").alias("generation"), offset.alias("offset"), F.lit(True).alias("repaired"))
-    rows = rows.withColumn("part", _between("text", F.col("offset"), F.lead("offset").over(W.partitionBy("path").orderBy("offset")))).drop("text")
+    marks = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    rows = texts.select("path", F.posexplode(F.arrays_zip(marks.alias("mark"), F.split("text", pattern, -1).alias("rest"))).alias("i", "z"))
+    rows = rows.select("path", "i", F.concat("z.mark", "z.rest").alias("part"), F.col("z.mark").alias("mark"))
+    before = W.partitionBy("path").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("offset", F.sum(F.length("part")).over(before)).filter("i > 0")
+    rows = rows.select("path", F.regexp_extract("mark", r"^(\d+)", 1).cast("bigint").alias("number"), F.regexp_extract("mark", r"^\d+\s+(\d+)", 1).cast("int").alias("generation"), "offset", F.lit(True).alias("repaired"), "part")
     last = F.row_number().over(W.partitionBy("path", "number").orderBy(F.col("offset").desc()))
     return rows.withColumn("k", last).filter("k = 1").drop("k")
 
@@ -126,28 +174,30 @@ def _bodies(rows: DataFrame) -> DataFrame:
     mark = F.regexp_extract("part", r"(?s)^(.*?(?:\bstream\r?\n|endobj))", 1)
     rows = rows.withColumn("body", body).withColumn("mark", mark)
     direct, ref = _number(F.col("body"), r"/Length\s+(\d+)(?!\s+\d+\s+R)"), _number(F.col("body"), r"/Length\s+(\d+)\s+\d+\s+R")
-    lengths = rows.select("path", F.col("number").alias("ref"), F.expr("try_cast(body as bigint)").alias("via"))
-    rows = rows.withColumn("direct", direct).withColumn("ref", ref).join(lengths, ["path", "ref"], "left")
-    length = F.coalesce(F.when(F.col("direct") > 0, F.col("direct")), "via", F.lit(0))
-    data = F.when(F.col("mark").rlike(r"(?s)\bstream\r?\n$"), F.encode(F.substr("part", F.length("mark") + 1, length.cast("int")), "ISO-8859-1"))
-    return rows.select("path", "number", "generation", "offset", "body", data.alias("data"), "repaired")
-
-
-def expanded(every: DataFrame) -> DataFrame:
-    """The objects, and those that stand in object streams; of one number, what stands last in the file counts."""
+    rest = F.when(F.col("mark").rlike(r"(?s)\bstream\r?\n$"), F.substr("part", F.length("mark") + 1, F.coalesce("direct", F.length("part")).cast("int")))
+    rows = rows.withColumn("direct", direct).withColumn("ref", F.when(F.col("direct").isNull(), ref)).withColumn("rest", rest)
+    columns = ["path", "number", "generation", "offset", "body"]
+    plain = (F.col("direct").isNotNull() | F.col("rest").isNull())
+    data = F.when(plain, F.encode("rest", "ISO-8859-1"))
+    cut = settle(rows.select(*columns, data.alias("data"), "repaired", F.when(~plain, F.col("rest")).alias("rest"), "ref"), "cut")
+    lengths = cut.select("path", F.col("number").alias("ref"), F.expr("try_cast(body as bigint)").alias("via")).filter("via is not null")
+    known = F.encode(F.substr("rest", F.lit(1), F.coalesce("via", F.lit(0)).cast("int")), "ISO-8859-1")
+    indirect = cut.filter("rest is not null").drop("data").join(lengths, ["path", "ref"], "left").select(*columns, known.alias("data"), "repaired")
+    return cut.filter("rest is null").select(*columns, "data", "repaired").unionByName(indirect)
+
+
+def _packed(every: DataFrame) -> DataFrame:
+    """The objects that stand in object streams, with the stream's number as container and their place there."""
     packed = decoded(every.filter(F.col("body").rlike(r"/Type\s*/ObjStm\b")))
     first = entry(F.col("body"), "First", "int").cast("int")
-    rows = packed.select("path", "offset", "repaired", _text(F.col("decoded")).alias("text"), first.alias("first"))
+    rows = packed.select("path", F.col("number").alias("container"), "offset", "repaired", _text(F.col("decoded")).alias("text"), first.alias("first"))
     head = F.substr("text", F.lit(1), F.col("first"))
-    places = F.transform(F.regexp_extract_all(head, F.lit(r"\d+\s+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
-    rows = rows.withColumn("numbers", F.regexp_extract_all(head, F.lit(r"(\d+)\s+\d+"), F.lit(1))).withColumn("places", places)
-    each = rows.select("path", "offset", "repaired", "text", "first", "places", F.posexplode("numbers").alias("i", "number"))
-    start = F.get("places", F.col("i"))
-    stop = F.coalesce(F.get("places", F.col("i") + 1), F.length("text") - F.col("first"))
-    body = F.trim(F.regexp_replace(F.substr("text", F.col("first") + start + 1, stop - start), r"\s+$", ""))
-    inner = each.select("path", F.col("number").cast("bigint").alias("number"), F.lit(0).alias("generation"), "offset", body.alias("body"), F.lit(None).cast("binary").alias("data"), "repaired")
-    last = F.row_number().over(W.partitionBy("path", "number").orderBy(F.col("offset").desc()))
-    return every.unionByName(inner).withColumn("k", last).filter("k = 1").drop("k")
+    rows = rows.withColumn("numbers", F.transform(F.regexp_extract_all(head, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("bigint")))
+    each = rows.select("path", "container", "offset", "repaired", "text", "first", "numbers", F.explode(F.sequence(F.lit(0), (F.size("numbers") / 2).cast("int") - 1)).alias("i")).filter("i >= 0 and size(numbers) >= 2")
+    start = F.get("numbers", F.col("i") * 2 + 1)
+    stop = F.coalesce(F.get("numbers", F.col("i") * 2 + 3), (F.length("text") - F.col("first")).cast("bigint"))
+    body = F.trim(F.regexp_replace(F.substr("text", (F.col("first") + start + 1).cast("int"), (stop - start).cast("int")), r"\s+$", ""))
+    return each.select("path", F.get("numbers", F.col("i") * 2).alias("number"), F.lit(0).alias("generation"), "offset", body.alias("body"), F.lit(None).cast("binary").alias("data"), "repaired", "container", F.col("i").cast("bigint").alias("place"))
 
 
 def entry(body: Column, key: str, what: str) -> Column:
@@ -167,8 +217,9 @@ def entry(body: Column, key: str, what: str) -> Column:
 def string_entry(body: Column, key: str) -> Column:
     """A string entry, literal or hex, as text; UTF-16 where it begins with a byte order mark."""
     raw = F.unhex(F.regexp_replace(entry(body, key, "hex"), r"\s", ""))
-    wide = F.when(F.hex(F.substring(raw, 1, 2)) == "FEFF", F.decode(raw, "UTF-16")).otherwise(F.decode(raw, "UTF-8"))
-    return F.coalesce(wide, F.regexp_replace(entry(body, key, "literal"), r"\\([\\()])", "$1"))
+    from ..functions.values import decoded_text
+
+    return F.coalesce(decoded_text(raw), F.regexp_replace(entry(body, key, "literal"), r"\\([\\()])", "$1"))
 
 
 def trailers(files: DataFrame) -> DataFrame:
@@ -187,28 +238,27 @@ def file_info(files: DataFrame, every: DataFrame | None = None) -> DataFrame:
     root = every.select("path", F.col("number").alias("root"), string_entry(F.col("body"), "Lang").alias("language"))
     counts = every.groupBy("path").agg(F.count("*").alias("num_objs"), F.bool_or("repaired").alias("repaired"))
     out = headers(files).select("path", "version").join(trailers(files), "path", "left")
+    info = info.withColumns({"created": parse_pdf_date(F.col("creationdate")), "modified": parse_pdf_date(F.col("moddate"))})
     return out.join(counts, "path", "left").join(info, ["path", "info"], "left").join(root, ["path", "root"], "left").drop("info", "root", "encrypt")
 
 
 def pages(every: DataFrame) -> DataFrame:
     """path, page_index, number, ancestors (nearest first): the leaves of each page tree, in order.
 
-    The tree is walked from its roots one level a round; a node without Kids is a page.
+    The tree is walked from its roots one level a round, however deep; a node without Kids is a page, and one
+    that is its own ancestor is left out. Each round's level is written, so plans stay small.
     """
-    kids = every.select("path", F.col("number").alias("node"), entry(F.col("body"), "Kids", "refs").alias("kids"))
+    kids = settle(every.select("path", F.col("number").alias("node"), entry(F.col("body"), "Kids", "refs").alias("kids")), "kids")
     roots = every.filter(F.col("body").rlike(r"/Type\s*/Catalog\b")).select("path", entry(F.col("body"), "Pages", "ref").alias("node"))
     now = roots.select("path", "node", F.array().cast("array<int>").alias("place"), F.array().cast("array<bigint>").alias("above"))
-    out = None
-    for _ in range(LEVELS):
-        here = now.join(kids, ["path", "node"]).filter(~F.array_contains("above", F.col("node")))
-        leaves = here.filter("kids is null")
-        out = leaves if out is None else out.unionByName(leaves)
-        below = here.filter("kids is not null").select("path", F.col("node").alias("up"), "place", "above", F.posexplode("kids").alias("i", "kid"))
+    levels = []
+    while not levels or not levels[-1].filter("kids is not null").isEmpty():
+        levels.append(settle(now.join(kids, ["path", "node"]).filter(~F.array_contains("above", F.col("node"))), "level"))
+        below = levels[-1].filter("kids is not null").select("path", F.col("node").alias("up"), "place", "above", F.posexplode("kids").alias("i", "kid"))
         now = below.select("path", F.col("kid").alias("node"), F.concat("place", F.array("i")).alias("place"), F.concat(F.array("up"), "above").alias("above"))
-        if now.isEmpty():
-            break
+    leaves = reduce(DataFrame.unionByName, levels).filter("kids is null")
     index = F.row_number().over(W.partitionBy("path").orderBy("place")) - 1
-    return out.select("path", index.alias("page_index"), F.col("node").alias("number"), F.col("above").alias("ancestors"))
+    return settle(leaves.select("path", index.alias("page_index"), F.col("node").alias("number"), F.col("above").alias("ancestors")), "pages")
 
 
 def page_attribute(leaves: DataFrame, every: DataFrame, key: str, what: str) -> DataFrame:
@@ -219,6 +269,50 @@ def page_attribute(leaves: DataFrame, every: DataFrame, key: str, what: str) ->
     return leaves.select("path", "page_index").join(near, ["path", "page_index"], "left")
 
 
+def page_values(leaves: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """path, page_index, and a VARIANT for each key: the value of the page or else of its nearest ancestor that has the key; bodies are parsed, so keys of inner dictionaries don't count."""
+    from ..functions import values as v
+
+    chain = leaves.select("path", "page_index", F.posexplode(F.concat(F.array("number"), "ancestors")).alias("depth", "number"))
+    parsed = every.join(chain.select("path", "number").distinct(), ["path", "number"], "left_semi").select("path", "number", v.parsed(value_json("body")).alias("v"))
+    held = settle(parsed.select("path", "number", *(F.to_json(v.at(F.col("v"), k)).alias(f"v{i}") for i, k in enumerate(keys))), "page-values")
+    near = chain.join(held, ["path", "number"]).groupBy("path", "page_index").agg(*(F.min_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), F.col("depth"))).alias(f"v{i}") for i in range(len(keys))))
+    return leaves.select("path", "page_index").join(near, ["path", "page_index"], "left").select("path", "page_index", *(v.parsed(F.col(f"v{i}")).alias(k) for i, k in enumerate(keys)))
+
+
+def problems(files: DataFrame, every: DataFrame) -> DataFrame:
+    """path and errors of all files: an array of messages, empty for a sound file. Nothing is raised: what can be read is in the other tables."""
+    body = F.col("body")
+    facts = every.groupBy("path").agg(F.bool_or("repaired").alias("repaired"), F.bool_or(body.rlike(r"/Type\s*/Catalog\b")).alias("catalog"), F.bool_or(body.rlike(r"/Type\s*/Page\b")).alias("page"), F.lit(True).alias("any"))
+    rows = headers(files).select("path", "version", "startxref").join(trailers(files), "path", "left").join(facts, "path", "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    found = [F.when(F.col("version").isNull(), "no header"), F.when(F.col("startxref").isNull(), "no start of cross-references"), F.when(F.col("root").isNull(), "no trailer"), F.when(~is_("any"), "no objects")]
+    found += [F.when(is_("repaired"), "cross-references repaired"), F.when(is_("any") & ~is_("catalog"), "no catalog"), F.when(is_("any") & ~is_("page"), "no pages"), F.when(F.col("encrypt").isNotNull(), "encrypted")]
+    return rows.select("path", F.array_compact(F.array(*found)).alias("errors"))
+
+
+def failed_fast(rows: DataFrame) -> DataFrame:
+    """problems() for those who want no damaged files: running it raises an error at the first file that has errors."""
+    message = F.concat(F.col("path"), F.lit(": "), F.array_join("errors", ", "))
+    return rows.filter(F.when(F.size("errors") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
+def metadata(every: DataFrame) -> DataFrame:
+    """path and xmp: the catalog's metadata stream as text."""
+    roots = every.filter(F.col("body").rlike(r"/Type\s*/Catalog\b")).select("path", entry(F.col("body"), "Metadata", "ref").alias("number")).filter("number is not null")
+    return roots.join(decoded(every).select("path", "number", "decoded"), ["path", "number"]).select("path", F.decode("decoded", "UTF-8").alias("xmp"))
+
+
+def images(every: DataFrame) -> DataFrame:
+    """path, number, width, height and bytes_per_line of image objects; bits are 8 and colours those of the colour space where nothing is said."""
+    from ..functions import content
+
+    body = F.col("body")
+    colors = F.coalesce(entry(body, "Colors", "int"), F.when(body.rlike(r"/ColorSpace\s*/DeviceGray"), 1).when(body.rlike(r"/ColorSpace\s*\[\s*/Indexed"), 1).when(body.rlike(r"/ColorSpace\s*/DeviceCMYK"), 4).otherwise(3))
+    rows = every.filter(body.rlike(r"/Subtype\s*/Image\b")).select("path", "number", entry(body, "Width", "int").alias("width"), entry(body, "Height", "int").alias("height"), colors.alias("colors"), F.coalesce(entry(body, "BitsPerComponent", "int"), F.lit(8)).alias("bits"))
+    return rows.select("path", "number", "width", "height", content.bytes_per_line(F.col("width"), F.col("colors"), F.col("bits")).alias("bytes_per_line"))
+
+
 def decoded(every: DataFrame) -> DataFrame:
     """Adds filters and decoded: the stream's bytes with its filters undone."""
     filters = F.regexp_extract_all(F.regexp_extract("body", r"/Filter\s*(\[[^\]]*\]|/\w+)", 1), F.lit(r"/(\w+)"), F.lit(1))
@@ -276,6 +370,14 @@ def _unescaped(s: str) -> str:
     return re.sub(r"\\([0-7]{1,3}|\r?\n|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else _ESCAPES.get(m[1], "" if m[1].endswith("\n") else m[1]), s, flags=re.S)
 
 
+def literal_bytes(token: str) -> bytes:
+    """The bytes of a literal or hex string token."""
+    if token.startswith("("):
+        return _unescaped(token[1:-1]).encode("latin-1")
+    digits = re.sub(r"\s", "", token[1:-1])
+    return bytes.fromhex(digits + "0" * (len(digits) % 2))
+
+
 def value_of(items: list[str], at: int = 0, depth: int = 0) -> tuple[object, int]:
     """The value that begins at a token, in the tagged form of functions.values, and where it ends; 32 levels at most."""
     if depth > 32:

@@ -12,11 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import content
-from ..functions.text import pdf_literal, pdf_number, utf16_hex, xml_escape
+from ..functions.text import pdf_literal, pdf_name, pdf_number, utf16_hex, xml_escape
 
 LINES = 54
 #: code units of a shown string, which stays below the text reader's limit
 CHUNK = 200
+#: objects of an object stream
+PACKED = 100
+#: objects whose offsets are summed up together
+BUCKET = 4096
 HEADER = "%PDF-1.4\n%âãÏÓ\n"
 
 
@@ -51,10 +55,11 @@ def stream(data: Column, extra: Column | None = None) -> Column:
     return F.concat(head.cast("binary"), data, F.lit("\nendstream").cast("binary"))
 
 
-def pdf_objects(pages: DataFrame, info: DataFrame | None = None, compress: bool = True) -> DataFrame:
+def pdf_objects(pages: DataFrame, info: DataFrame | None = None, compress: bool = True, metadata: bool = False) -> DataFrame:
     """path, number, body for pages (path, page, lines): 1 catalog, 2 page tree, 3 info, 4 font, then two for each page.
 
-    info: path and any of author, title, subject, keywords, creator, producer, language, created (a timestamp).
+    info: path and any of author, title, subject, keywords, creator, producer, language, created and modified (timestamps).
+    metadata: the catalog also has an output intent, and a metadata stream, the last object, that repeats title, author and language.
     """
     from ..functions.codecs import deflate
 
@@ -71,35 +76,103 @@ def pdf_objects(pages: DataFrame, info: DataFrame | None = None, compress: bool
     entries = [F.coalesce(F.concat(F.lit(f"/{k}"), F.lit("<FEFF"), utf16_hex(F.col(c)), F.lit(">")), F.lit("")) for k, c in (("Author", "author"), ("Creator", "creator"), ("Keywords", "keywords"), ("Producer", "producer"), ("Subject", "subject"), ("Title", "title")) if c in about.columns]
     if "created" in about.columns:
         entries.append(F.coalesce(F.concat(F.lit("/CreationDate"), pdf_literal(F.date_format("created", "'D:'yyyyMMddHHmmss'Z'"))), F.lit("")))
+    if "modified" in about.columns:
+        entries.append(F.coalesce(F.concat(F.lit("/ModDate"), pdf_literal(F.date_format("modified", "'D:'yyyyMMddHHmmss'Z'"))), F.lit("")))
     lang = F.coalesce(F.concat(F.lit("/Lang"), pdf_literal(F.col("language"))), F.lit("")) if "language" in about.columns else F.lit("")
     described = about.select("path", F.lit(3).cast("bigint").alias("number"), _dict(*entries).cast("binary").alias("body"))
     catalog = about.select("path", F.lit(1).cast("bigint").alias("number"), _dict(lang, "/Pages 2 0 R/Type/Catalog").cast("binary").alias("body"))
-    return catalog.unionByName(tree).unionByName(described).unionByName(font).unionByName(leaves).unionByName(streams)
+    out = tree.unionByName(described).unionByName(font).unionByName(leaves).unionByName(streams)
+    if not metadata:
+        return out.unionByName(catalog)
+    column = lambda c: F.col(c) if c in about.columns else F.lit(None).cast("string")
+    number = (F.col("last") * 2 + 7).cast("bigint")
+    packet = about.select("path", number.alias("number"), stream(F.encode(xmp_packet(column("title"), column("author"), column("language")), "UTF-8"), F.lit("/Subtype/XML/Type/Metadata")).alias("body"))
+    catalog = about.select("path", F.lit(1).cast("bigint").alias("number"), _dict(lang, "/Metadata ", number.cast("string"), " 0 R/OutputIntents[", output_intent("GTS_PDFX", "CMYK", "CGATS TR 001"), "]/Pages 2 0 R/Type/Catalog").cast("binary").alias("body"))
+    return out.unionByName(catalog).unionByName(packet)
+
+
+def output_intent(subtype: str, condition: str, identifier: str, registry: str = "http://www.color.org", profile: Column | None = None) -> Column:
+    """An output intent's dictionary; profile: the number of an ICC profile's object."""
+    made = [F.lit("/DestOutputProfile "), profile.cast("string"), F.lit(" 0 R")] if profile is not None else []
+    return _dict(*made, "/OutputCondition", pdf_literal(F.lit(condition)), "/OutputConditionIdentifier", pdf_literal(F.lit(identifier)), "/RegistryName", pdf_literal(F.lit(registry)), "/S", pdf_name(F.lit(subtype)), "/Type/OutputIntent")
+
+
+def packed(objects: DataFrame, compress: bool = True, root: int = 1, info: int = 3) -> DataFrame:
+    """path and content of files with object streams and a cross-reference stream, for files that fit a row.
+
+    Objects (path, number, body) without a stream go into streams of PACKED objects, which are numbered after
+    the last; the cross-reference stream comes last.
+    """
+    from ..functions.codecs import deflate
+
+    is_stream = F.expr("instr(decode(body, 'ISO-8859-1'), '>>\nstream\n') > 0")
+    rows = objects.withColumn("streamed", is_stream)
+    last = rows.groupBy("path").agg(F.max("number").alias("last"))
+    order = W.partitionBy("path").orderBy("number")
+    lone = rows.filter("not streamed").withColumn("i", F.row_number().over(order) - 1).join(last, "path")
+    lone = lone.select("path", "number", F.decode("body", "ISO-8859-1").alias("text"), F.floor(F.col("i") / PACKED).alias("group"), F.pmod("i", F.lit(PACKED)).alias("place"), "last")
+    groups = lone.groupBy("path", "group", "last").agg(F.array_sort(F.collect_list(F.struct("place", "number", "text"))).alias("o"))
+    starts = F.transform("o", lambda x, i: F.concat(x["number"].cast("string"), F.lit(" "), F.aggregate(F.slice("o", F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y["text"]) + 1).cast("string"), F.lit(" ")))
+    head = F.array_join(starts, "")
+    data = F.encode(F.concat(head, F.array_join(F.transform("o", lambda x: F.concat(x["text"], F.lit("\n"))), "")), "ISO-8859-1")
+    flate = F.lit("/Filter/FlateDecode") if compress else F.lit("")
+    containers = groups.select("path", (F.col("last") + 1 + F.col("group")).alias("number"), (deflate(data) if compress else data).alias("data"), F.concat(flate, F.lit("/First "), F.length(head), F.lit("/N "), F.size("o"), F.lit("/Type/ObjStm")).alias("extra"))
+    placed = numbered(rows.filter("streamed").select("path", "number", "body").unionByName(containers.select("path", "number", stream(F.col("data"), F.col("extra")).alias("body"))))
+    direct = placed.select("path", "number", F.lit(1).alias("kind"), F.col("offset").cast("bigint").alias("second"), F.lit(0).cast("bigint").alias("third"))
+    inner = lone.select("path", "number", F.lit(2).alias("kind"), (F.col("last") + 1 + F.col("group")).alias("second"), F.col("place").cast("bigint").alias("third"))
+    files = placed.groupBy("path").agg(F.max(F.col("offset") + F.octet_length("data")).alias("end"), F.max("number").alias("top"))
+    entries = direct.unionByName(inner).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", "kind", "second", "third"))).alias("e")).join(files, "path")
+    field = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    own = F.concat(F.lit("01"), field(F.col("end"), 8), F.lit("0000"))
+    table = F.unhex(F.concat(F.lit("000000000000000000FFFF"), F.array_join(F.transform("e", lambda x: F.concat(field(x["kind"].cast("bigint"), 1), field(x["second"], 8), field(x["third"], 2))), ""), own))
+    extra = F.concat(flate, F.lit("/ID[<"), F.md5("path"), F.lit("><"), F.md5("path"), F.lit(f">]/Info {info} 0 R/Root {root} 0 R/Size "), F.col("top") + 2, F.lit("/Type/XRef/W[1 8 2]"))
+    body = stream(deflate(table) if compress else table, extra)
+    final = entries.select("path", F.col("end").cast("bigint").alias("offset"), F.concat(F.concat(F.col("top") + 1, F.lit(" 0 obj\n")).cast("binary"), body, F.concat(F.lit("\nendobj\nstartxref\n"), F.col("end"), F.lit("\n%%EOF\n")).cast("binary")).alias("data"))
+    first = files.select("path", F.lit(0).cast("bigint").alias("offset"), F.lit(HEADER).cast("binary").alias("data"))
+    return joined(placed.select("path", F.col("offset").cast("bigint").alias("offset"), "data").unionByName(final).unionByName(first))
 
 
 def numbered(objects: DataFrame) -> DataFrame:
-    """Adds data (the object as it stands in the file) and offset (where it begins)."""
+    """Adds data (the object as it stands in the file) and offset (where it begins), by running sums within buckets of numbers and over buckets."""
     data = F.concat(F.concat("number", F.lit(" 0 obj\n")).cast("binary"), F.col("body"), F.lit("\nendobj\n").cast("binary"))
-    before = W.partitionBy("path").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
-    out = objects.withColumn("data", data)
-    return out.withColumn("offset", F.octet_length(F.lit(HEADER)) + F.coalesce(F.sum(F.octet_length("data")).over(before), F.lit(0)))
+    rows = objects.withColumn("data", data).withColumn("bucket", F.floor(F.col("number") / BUCKET))
+    sums = rows.groupBy("path", "bucket").agg(F.sum(F.octet_length("data")).alias("n"))
+    before = W.partitionBy("path").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("path", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("path", "bucket").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
+    out = rows.withColumn("at", F.coalesce(F.sum(F.octet_length("data")).over(inside), F.lit(0))).join(sums, ["path", "bucket"])
+    return out.select(*objects.columns, "data", (F.octet_length(F.lit(HEADER)) + F.col("start") + F.col("at")).alias("offset"))
 
 
-def written(objects: DataFrame, encrypt: int | None = None) -> DataFrame:
-    """path and content: one file for each path, its objects numbered 1, 2, ... without gaps; object 1 is the catalog, 3 the info.
+def parts(objects: DataFrame, encrypt: bool = False, root: int = 1, info: int = 3) -> DataFrame:
+    """path, offset and data: each file as rows that follow each other, so that files of any size can be written piece by piece.
 
-    encrypt: the number of the Encrypt object, if the streams are enciphered.
+    Objects are numbered 1, 2, ... without gaps; the cross-reference table has a row for each BUCKET of
+    numbers. encrypt: the last object of each file is its Encrypt object.
     """
     rows = numbered(objects)
-    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("number", "offset", "data"))).alias("o"))
-    body = F.aggregate("o", F.lit(HEADER).cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
-    entries = F.array_join(F.transform("o", lambda x: F.concat(F.lpad(x["offset"].cast("string"), 10, "0"), F.lit(" 00000 n \n"))), "")
-    last = F.element_at("o", -1)
-    end = F.concat(
-        F.lit("xref\n0 "), F.size("o") + 1, F.lit("\n0000000000 65535 f \n"), entries, F.lit("trailer\n<</ID[<"), F.md5(F.col("path")), F.lit("><"), F.md5(F.col("path")), F.lit(">]/Info 3 0 R/Root 1 0 R" + (f"/Encrypt {encrypt} 0 R" if encrypt else "") + "/Size "), F.size("o") + 1,
-        F.lit(">>\nstartxref\n"), last["offset"] + F.octet_length(last["data"]), F.lit("\n%%EOF\n"),
-    )
-    return files.select("path", F.concat(body, end.cast("binary")).alias("content"))
+    table = rows.withColumn("bucket", F.floor(F.col("number") / BUCKET)).groupBy("path", "bucket").agg(F.array_sort(F.collect_list(F.struct("number", "offset"))).alias("e"), F.max(F.col("offset") + F.octet_length("data")).alias("end"))
+    files = table.groupBy("path").agg(F.max("end").alias("xref"), F.sum(F.size("e")).alias("n"))
+    head = F.concat(F.lit("xref\n0 "), F.col("n") + 1, F.lit("\n0000000000 65535 f \n"))
+    entries = F.array_join(F.transform("e", lambda x: F.concat(F.lpad(x["offset"].cast("string"), 10, "0"), F.lit(" 00000 n \n"))), "")
+    placed = table.join(files, "path").select("path", (F.col("xref") + F.octet_length(head) + 20 * (F.get("e", F.lit(0))["number"] - 1)).alias("offset"), entries.cast("binary").alias("data"))
+    trailer = F.concat(F.lit("trailer\n<</ID[<"), F.md5(F.col("path")), F.lit("><"), F.md5(F.col("path")), *([F.lit(">]/Encrypt "), F.col("n"), F.lit(" 0 R")] if encrypt else [F.lit(">]")]), F.lit(f"/Info {info} 0 R/Root {root} 0 R/Size "), F.col("n") + 1, F.lit(">>\nstartxref\n"), F.col("xref"), F.lit("\n%%EOF\n"))
+    ends = files.select("path", F.explode(F.array(
+        F.struct(F.lit(0).cast("bigint").alias("offset"), F.lit(HEADER).cast("binary").alias("data")), F.struct(F.col("xref").alias("offset"), head.cast("binary").alias("data")),
+        F.struct((F.col("xref") + F.octet_length(head) + 20 * F.col("n")).alias("offset"), trailer.cast("binary").alias("data")),
+    )).alias("x")).select("path", "x.offset", "x.data")
+    return rows.select("path", F.col("offset").cast("bigint").alias("offset"), "data").unionByName(placed).unionByName(ends)
+
+
+def written(objects: DataFrame, encrypt: bool = False, **options) -> DataFrame:
+    """path and content: one file for each path, for files that fit a row; object 1 is the catalog, 3 the info."""
+    return joined(parts(objects, encrypt, **options))
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """path and content of pieces (path, offset, data), put together in one pass (bytes as Latin-1 text, which is joined in linear time)."""
+    whole = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", F.decode("data", "ISO-8859-1").alias("text")))).alias("p"))
+    return whole.select("path", F.encode(F.array_join(F.transform("p", lambda x: x["text"]), ""), "ISO-8859-1").alias("content"))
 
 
 def xmp_packet(title: Column, author: Column, language: Column) -> Column:

@@ -137,23 +137,23 @@ def test_object_streams_and_cross_reference_streams(spark):
     at = len(out)
     out += b"7 0 obj\n<</Type/XRef/Size 8/W[1 2 1]/Root 1 0 R/Info 6 0 R/Length 0>>\nstream\n\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
     files = spark.createDataFrame([("o.pdf", out)], "path string, content binary")
-    every = reader.expanded(reader.objects(files)).cache()
+    every = reader.objects(files).cache()
     assert {r.number for r in every.collect()} == {1, 2, 3, 4, 5, 6, 7}
     assert reader.file_info(files, every).first().title == "packed"
     leaves = reader.pages(every)
     assert text_extract.texts(reader.tokens(reader.page_streams(leaves, every))).first().text == "in a stream\n"
 
 
-@pytest.mark.parametrize("method", ["rc4", "aes"])
+@pytest.mark.parametrize("method", ["rc4-40", "rc4", "aes"])
 def test_locked_files_open_with_the_password_only(spark, method):
     body = "<</Length 0>>"
     plain = spark.createDataFrame([("l.pdf", 1, "<</Type/Catalog>>", None), ("l.pdf", 2, body, b"secret words"), ("l.pdf", 3, "<<>>", None)], "path string, number bigint, body string, data binary")
     file_id = F.unhex(F.md5(F.col("path")))
     shut = secure.locked(plain, file_id, method, -4, "owner", "user").cache()
     objects = shut.select("path", "number", F.when(F.col("data").isNull(), F.col("body").cast("binary")).otherwise(writer.stream(F.col("data"))).alias("body"))
-    files = writer.written(objects, encrypt=4).cache()
+    files = writer.written(objects, encrypt=True).cache()
     every = reader.objects(files).cache()
     assert bytes(every.filter("number = 2").first().data) != b"secret words"
-    opened = {p: bytes(secure.unlocked(files, every, F.lit(p)).filter("number = 2").first().data) for p in ("user", "wrong")}
-    assert opened["user"] == b"secret words" and opened["wrong"] == bytes(every.filter("number = 2").first().data)
+    opened = {p: bytes(secure.unlocked(files, every, F.lit(p)).filter("number = 2").first().data) for p in ("user", "owner", "wrong")}
+    assert opened["user"] == opened["owner"] == b"secret words" and opened["wrong"] == bytes(every.filter("number = 2").first().data)
     assert secure.handlers(files, every).first().method == method
