@@ -350,9 +350,22 @@ def lexemes(data: bytes) -> list[bytes]:
     return out
 
 
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+
+
+def _plain_escapes(token: str) -> str:
+    """A literal string with its escapes undone, but those of parentheses and backslashes."""
+
+    def one(m: re.Match) -> str:
+        c = chr(int(m[1], 8) & 255) if m[1] else _ESCAPES.get(m[2], "" if m[2] in "\r\n" else m[2])
+        return "\\" + c if c and c in "()\\" else c
+
+    return re.sub(r"\\(?:([0-7]{1,3})|(.))", one, token, flags=re.S) if token.startswith("(") and "\\" in token else token
+
+
 @pandas_udf(ArrayType(StringType()))
 def tokens_of(data: pd.Series) -> pd.Series:
-    return pd.Series([[] if d is None else [t.decode("latin-1") for t in lexemes(d)] for d in data], dtype=object)
+    return pd.Series([[] if d is None else [_plain_escapes(t.decode("latin-1")) for t in lexemes(d)] for d in data], dtype=object)
 
 
 def tokens(streams: DataFrame) -> DataFrame:
@@ -363,9 +376,6 @@ def tokens(streams: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind)
 
 
-_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
-
-
 def _unescaped(s: str) -> str:
     return re.sub(r"\\([0-7]{1,3}|\r?\n|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else _ESCAPES.get(m[1], "" if m[1].endswith("\n") else m[1]), s, flags=re.S)
 
