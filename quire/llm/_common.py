@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: rows handed to Python at once, so that a batch of long texts fits a worker and the Arrow buffers stay small
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:

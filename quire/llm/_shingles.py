@@ -17,7 +17,7 @@ _FIN = np.uint64(0xBF58476D1CE4E5B9)
 #: bytes whose running sums are held at once
 _SPAN = 1 << 17
 #: bytes of text that are taken at once, or one text
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _BASE = 0xD1342543DE82EF95
 _VALUES = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -47,7 +47,7 @@ BROADCAST_TOKENS = 2_000_000
 #: digests (16 bytes each) of repeated lines that may be broadcast; beyond, the lines are shuffled
 BROADCAST_DIGESTS = 500_000
 #: digests whose prefixes a task remembers to have given
-REMEMBER = 300_000
+REMEMBER = 50_000
 
 
 def _read(b: pa.RecordBatch, width: int, min_words: int) -> tuple[np.ndarray, ...]:

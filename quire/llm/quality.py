@@ -43,7 +43,7 @@ FILTERS = 24
 EPOCHS = 12
 BATCH = 64
 #: chunks that go through the network at once when scoring
-AT_ONCE = 256
+AT_ONCE = 128
 PAD = 256
 
 
