@@ -341,7 +341,8 @@ def lexemes(data: bytes) -> list[bytes]:
             depth, i = 1, at
             while i < len(data) and depth:
                 if data[i : i + 1] == b"\\":
-                    i += 1
+                    i += 2  # what follows a backslash doesn't count
+                    continue
                 depth += {b"(": 1, b")": -1}.get(data[i : i + 1], 0)
                 i += 1
             token, at = data[m.start() : i], i

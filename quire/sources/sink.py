@@ -1,7 +1,8 @@
-"""Files written from pieces: a data source whose tasks append the pieces of each file and then give it its name."""
+"""Files written from pieces: a data source whose tasks append the pieces of each file; the commit gives them their names."""
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,38 +12,69 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+
+
+def _name(path: str) -> str:
+    """A path below the folder: without a scheme, a leading slash or steps upwards."""
+    plain = posixpath.normpath(path.split(":", 1)[1] if ":" in path.split("/")[0] else path)
+    return "/".join(p for p in plain.split("/") if p not in ("", ".", ".."))
+
+
 @dataclass
 class Saved(WriterCommitMessage):
-    files: int
+    """Names in the staging folder, and in the end."""
+
+    files: list[tuple[str, str]]
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, folder: str) -> None:
-        self.folder = folder
+        self.folder, self.staging = folder, f".saving-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Saved:
-        """Rows (path, offset, data) of whole files, one file after another. A file has its name only when it is
-        whole, and a task that runs again writes it again."""
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (fs.LocalFileSystem(), self.folder)
+        """Rows (path, offset, data) of whole files, one file after another, into the staging folder under names of their own, so that a
+        task that runs again disturbs nothing."""
+        store, root = _store(self.folder)
+        root = f"{root.rstrip('/')}/{self.staging}"
         store.create_dir(root)
-        now, out, part, files = None, None, "", 0
-
-        def close() -> None:
-            if out:
-                out.close()
-                store.move(part, f"{root}/{now}")
-
+        now, out, files = None, None, []
         for path, _, data in rows:
             if path != now:
-                close()
-                now, part, files = path, f"{root}/.{path}-{uuid.uuid4().hex}", files + 1
-                out = store.open_output_stream(part)
+                if out:
+                    out.close()
+                now = path
+                files.append((uuid.uuid4().hex, _name(path)))
+                out = store.open_output_stream(f"{root}/{files[-1][0]}")
             out.write(bytes(data))
-        close()
+        if out:
+            out.close()
         return Saved(files)
 
+    def commit(self, messages: list[Saved | None]) -> None:
+        """Give the files of tasks that succeeded their names; nothing is seen of a job that fails."""
+        store, root = _store(self.folder)
+        root = root.rstrip("/")
+        folders = set()
+        for part, name in (f for m in messages if m for f in m.files):
+            parent = posixpath.dirname(f"{root}/{name}")
+            if parent not in folders:
+                store.create_dir(parent)
+                folders.add(parent)
+            store.move(f"{root}/{self.staging}/{part}", f"{root}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Saved | None]) -> None:
+        from pyarrow import fs
+
+        store, root = _store(self.folder)
+        staging = f"{root.rstrip('/')}/{self.staging}"
+        if store.get_file_info(staging).type == fs.FileType.Directory:
+            store.delete_dir(staging)
+
 
 class Files(DataSource):
     """Format "pieces": the option path is a folder of a store that pyarrow reaches."""
@@ -56,7 +88,7 @@ class Files(DataSource):
 
 
 def save(pieces: DataFrame, folder: str) -> None:
-    """Write files from pieces (path, offset, data; see writer.parts) into a folder that all executors reach."""
+    """Write files from pieces (path, offset, data; see writer.parts) into a folder that all executors reach; paths with folders keep them below it."""
     pieces.sparkSession.dataSource.register(Files)
     rows = pieces.select("path", "offset", "data").repartition("path").sortWithinPartitions("path", "offset")
     rows.write.format("pieces").option("path", folder).mode("append").save()
