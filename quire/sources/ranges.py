@@ -363,8 +363,8 @@ class _Reader(DataSourceReader):
             count += n
         return groups
 
-    def read(self, partition: Group) -> Iterator[tuple]:
-        for piece in partition.pieces:
+    def read(self, partition: Group | None) -> Iterator[tuple]:
+        for piece in partition.pieces if partition else []:  # without files there is one task, and no partition
             source = Source(piece.path)
             try:
                 yield from self._repaired(source, piece.path) if not piece.sections else self._read(source, piece)
