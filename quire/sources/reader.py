@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import codecs
 from ..functions.text import parse_pdf_date
+from . import lexer
 from .scratch import settle
 
+
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """path and content of the PDF files below a folder."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -118,6 +120,8 @@ def xref_entries(sections: DataFrame) -> DataFrame:
     return rows.withColumn("k", newest).filter("k = 1").drop("k", "seq")
 
 
+#: characters of an object in which its text is looked through for strings
+LONGEST = 1 << 20
 _HEAD = r"^\s*(\d+)\s+(\d+)\s+obj\b"
 
 
@@ -167,12 +171,35 @@ def _repaired(texts: DataFrame) -> DataFrame:
     return rows.withColumn("k", last).filter("k = 1").drop("k")
 
 
+@pandas_udf(IntegerType())
+def _text_end(part: pd.Series) -> pd.Series:
+    """How many characters an object takes up to its endobj, or to the line end after its stream; 0 where there is neither."""
+
+    def one(text: str | None) -> int | None:
+        if text is None:
+            return None
+        data = text.encode("latin-1", "replace")
+        for begin, token in lexer.tokens(data):
+            if token == b"endobj":
+                return begin + len(token)
+            if token == b"stream":
+                end = begin + len(token)
+                return end + (2 if data[end : end + 2] == b"\r\n" else 1)
+        return 0
+
+    return part.map(one).astype("Int32")
+
+
 def _bodies(rows: DataFrame) -> DataFrame:
     """Cut each object's text from what follows it, and its stream's bytes by its Length, direct or one reference away."""
-    head = F.regexp_replace("part", _HEAD, "")
-    body = F.trim(F.regexp_extract(head, r"(?s)^\s*(.*?)\s*(?:\bstream\r?\n|endobj)", 1))
-    mark = F.regexp_extract("part", r"(?s)^(.*?(?:\bstream\r?\n|endobj))", 1)
-    rows = rows.withColumn("body", body).withColumn("mark", mark)
+    plain_mark = F.regexp_extract("part", r"(?s)^(.*?(?:\bstream\r?\n|endobj))", 1)
+    rows = rows.withColumn("mark", plain_mark)
+    # a string may hold these words: then tokens tell where the object's text ends
+    strings = F.col("mark").contains("(")
+    rows = rows.withColumn("__end", _text_end(F.when(strings, F.substring("part", 1, LONGEST))))
+    rows = rows.withColumn("mark", F.when(strings & (F.col("__end") > 0), F.substr("part", F.lit(1), F.col("__end"))).otherwise(F.col("mark"))).drop("__end")
+    body = F.trim(F.regexp_extract(F.regexp_replace("mark", _HEAD, ""), r"(?s)^\s*(.*?)\s*(?:\bstream\r?\n|endobj)$", 1))
+    rows = rows.withColumn("body", body)
     direct, ref = _number(F.col("body"), r"/Length\s+(\d+)(?!\s+\d+\s+R)"), _number(F.col("body"), r"/Length\s+(\d+)\s+\d+\s+R")
     rest = F.when(F.col("mark").rlike(r"(?s)\bstream\r?\n$"), F.substr("part", F.length("mark") + 1, F.coalesce("direct", F.length("part")).cast("int")))
     rows = rows.withColumn("direct", direct).withColumn("ref", F.when(F.col("direct").isNull(), ref)).withColumn("rest", rest)
@@ -200,8 +227,38 @@ def _packed(every: DataFrame) -> DataFrame:
     return each.select("path", F.get("numbers", F.col("i") * 2).alias("number"), F.lit(0).alias("generation"), "offset", body.alias("body"), F.lit(None).cast("binary").alias("data"), "repaired", "container", F.col("i").cast("bigint").alias("place"))
 
 
+def _own_value(key: str):
+    @pandas_udf(StringType())
+    def find(body: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            depth, at, end, inside = 0, None, len(text), 0
+            for begin, token in lexer.tokens(text.encode("latin-1", "replace")):
+                if at is not None and depth == 1 and begin > at and inside and (token[:1] == b"/" or token == b">>"):
+                    end = begin
+                    break
+                depth += (token in (b"<<", b"[")) - (token in (b">>", b"]"))
+                if at is None and depth == 1 and token == key:
+                    at = begin
+                elif at is not None:
+                    inside += 1
+            return text[at:end] if at is not None else ""
+
+        key = b"/" + name
+        return body.map(one)
+
+    name = key.encode("latin-1")
+    return find
+
+
 def entry(body: Column, key: str, what: str) -> Column:
-    """A dictionary entry of a plain form: what is name, int, ref, refs, literal or hex; null where it isn't there."""
+    """A dictionary entry of a plain form: what is name, int, ref, refs, numbers, literal or hex; null where it isn't there.
+
+    Only the dictionary's own keys count: where there are inner dictionaries, names in arrays or strings, the value is cut out by tokens first.
+    """
+    nested = body.rlike(r"(?s)<<.*<<|\(|\[[^\]]*/")
+    body = F.when(nested, _own_value(key)(F.when(nested, body))).otherwise(body)
     forms = {"name": r"/([^\s/<>\[\]()]+)", "int": r"(-?\d+)(?!\s+\d+\s+R)", "ref": r"(\d+)\s+\d+\s+R", "refs": r"\[([^\]]*)\]", "numbers": r"\[([-+.\d\s]*)\]", "literal": r"\(((?:\\.|[^\\)])*)\)", "hex": r"<([0-9A-Fa-f\s]*)>"}
     found = F.regexp_extract(body, rf"/{key}\s*{forms[what]}", 1)
     present = body.rlike(rf"/{key}\s*{forms[what]}")

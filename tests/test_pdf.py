@@ -157,3 +157,26 @@ def test_locked_files_open_with_the_password_only(spark, method):
     opened = {p: bytes(secure.unlocked(files, every, F.lit(p)).filter("number = 2").first().data) for p in ("user", "owner", "wrong")}
     assert opened["user"] == opened["owner"] == b"secret words" and opened["wrong"] == bytes(every.filter("number = 2").first().data)
     assert secure.handlers(files, every).first().method == method
+
+
+@pytest.mark.parametrize(
+    ("body", "key", "what", "value"),
+    [
+        ("<</Meta<</Contents 9 0 R>>/Contents 5 0 R/Type/Page>>", "Contents", "ref", 5),
+        ("<</T(/Contents 7 0 R)/Kids[1 0 R 2 0 R]>>", "Contents", "ref", None),
+        ("<</T(/Contents 7 0 R)/Kids[1 0 R 2 0 R]>>", "Kids", "refs", [1, 2]),
+        ("<</A[/Contents 1 0 R]/Contents[4 0 R 5 0 R]>>", "Contents", "ref", None),
+        ("<</A[/Contents 1 0 R]/Contents[4 0 R 5 0 R]>>", "Contents", "refs", [4, 5]),
+        ("<</In<</Length 3>>>>", "Length", "int", None),
+        ("<</Length 12/In<</Length 3>>>>", "Length", "int", 12),
+    ],
+)
+def test_entries_are_the_dictionarys_own(spark, body, key, what, value):
+    assert spark.createDataFrame([(body,)], "b string").select(reader.entry(F.col("b"), key, what)).first()[0] == value
+
+
+def test_words_of_the_syntax_within_strings(spark):
+    tricky = OBJECTS | {6: b"<</T(say endobj here 9 0 obj stream\n x)/K 1>>", 10: b"<</N(a stream\n b)/Length 3>>\nstream\nabc\nendstream"}
+    data, _ = assemble(tricky, b"/Root 1 0 R")
+    got = {r.number: r for r in reader.objects(spark.createDataFrame([("t.pdf", data)], "path string, content binary")).collect()}
+    assert got[6].body == tricky[6].decode() and got[10].body == "<</N(a stream\n b)/Length 3>>" and bytes(got[10].data) == b"abc" and len(got) == 10
