@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import jumps, layout, ordering
+from quire.operators import jumps, layout, markdown, ordering, trees
 
 
 def slow_lines(words, available, most=200):
@@ -85,3 +85,76 @@ def test_running_max(spark):
         now[g] = max((x for x in (now.get(g), v) if x is not None), default=None)
         want[g, i] = now[g]
     assert got == want
+
+
+@pytest.mark.parametrize("following", [False, True])
+@pytest.mark.parametrize("equal", [False, True])
+def test_nearest_smaller(spark, following, equal):
+    rng = random.Random(7)
+    groups = {g: [rng.randrange(8) for _ in range(rng.choice([1, 20, 120]))] for g in range(8)} | {99: list(range(30)) + [5, 0], 98: [4] * 40}
+    rows = [(g, 3 * i, v) for g, values in groups.items() for i, v in enumerate(values)]
+    got = {(r.g, r.i): r.to for r in trees.nearest_smaller(spark.createDataFrame(rows, "g int, i int, v int"), ["g"], "i", "v", "to", following, equal).collect()}
+    for g, values in groups.items():
+        for i, v in enumerate(values):
+            side = range(i + 1, len(values)) if following else range(i - 1, -1, -1)
+            assert got[g, 3 * i] == next((3 * j for j in side if values[j] < v or equal and values[j] == v), None)
+
+
+def test_an_outline_deeper_than_its_windows(spark):
+    items = spark.createDataFrame([(1, i, i if i <= 90 else 2) for i in range(1, 93)], "g int, i bigint, level int")
+    got = {r.i: r.parent for r in trees.outline(items, "g", "i").collect()}
+    assert got[1] is None and all(got[i] == i - 1 for i in range(2, 91)) and got[91] == got[92] == 1
+
+
+MARKDOWN = """# Title #
+Intro
+goes on
+
+- one
+  lazy
+  - two
+    1. three
+
+       para of three
+
+           code of three
+           more
+
+  - four
+- five
+
+At the margin
+
+> quoted
+> - in quote
+>   - deeper
+>
+> end
+after
+***
+    indented code
+
+```python
+- not an item
+
+x
+```
+1) a
+- b
+"""
+
+
+def test_nested_containers(spark):
+    df = spark.createDataFrame([(1, MARKDOWN), (2, ""), (3, None), (4, "- a\n\n- b\n\n  c\n")], "k bigint, text string")
+    got = {}
+    for r in markdown.containers(df, "k").orderBy("k", "node").collect():
+        got.setdefault(r.k, []).append((r.node, r.type, r.parent, r.text) + ((r.ordered,) if r.type == "item" else ()) + ((r.extra,) if r.extra else ()))
+    assert got[1] == [
+        (1, "heading", None, "Title"), (2, "paragraph", None, "Intro goes on"), (3, "item", None, "one lazy", False), (4, "item", 3, "two", False), (5, "item", 4, "three", True), (6, "paragraph", 5, "para of three"),
+        (7, "code", 5, "code of three\nmore"), (8, "item", 3, "four", False), (9, "item", None, "five", False), (10, "paragraph", None, "At the margin"), (11, "quote", None, ""), (12, "paragraph", 11, "quoted"), (13, "item", 11, "in quote", False),
+        (14, "item", 13, "deeper", False), (15, "paragraph", 11, "end"), (16, "paragraph", None, "after"), (17, "rule", None, ""), (18, "code", None, "indented code"), (19, "code", None, "- not an item\n\nx", "python"), (20, "item", None, "a", True), (21, "item", None, "b", False),
+    ]
+    assert got[4] == [(1, "item", None, "a", False), (2, "item", None, "b", False), (3, "paragraph", 2, "c")] and set(got) == {1, 4}
+    whole = trees.subtree_text(trees.depths(markdown.containers(df, "k"), ["k"]), ["k"])
+    by = {r.node: (r.depth, r.last, r.all_text) for r in whole.filter("k = 1").collect()}
+    assert by[3] == (1, 8, "one lazy two three para of three code of three\nmore four") and by[5] == (3, 7, "three para of three code of three\nmore") and by[11] == (1, 15, "quoted in quote deeper end") and by[21] == (1, 21, "b")
