@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import jumps, layout, markdown, ordering, trees
+from quire.operators import inlines, jumps, layout, markdown, ordering, trees
 
 
 def slow_lines(words, available, most=200):
@@ -158,3 +158,47 @@ def test_nested_containers(spark):
     whole = trees.subtree_text(trees.depths(markdown.containers(df, "k"), ["k"]), ["k"])
     by = {r.node: (r.depth, r.last, r.all_text) for r in whole.filter("k = 1").collect()}
     assert by[3] == (1, 8, "one lazy two three para of three code of three\nmore four") and by[5] == (3, 7, "three para of three code of three\nmore") and by[11] == (1, 15, "quoted in quote deeper end") and by[21] == (1, 21, "b")
+
+
+def slow_pairs(lexed):
+    """Delimiters of (kind, text) lexemes paired one after the other; crossing pairs as the outer ones leave them."""
+    open_, found = {}, []
+    for i, (kind, t) in enumerate(lexed):
+        if kind != "delimiter":
+            continue
+        before, after = (lexed[i - 1] if i else ("space", " ")), (lexed[i + 1] if i + 1 < len(lexed) else ("space", " "))
+        opens, closes = after[0] not in ("space", "break"), before[0] not in ("space", "break")
+        if t in ("_", "__"):
+            opens, closes = opens and not before[1][-1:].isalnum(), closes and not after[1][:1].isalnum()
+        if t in open_ and closes:
+            found.append((open_.pop(t), i))
+        elif t not in open_ and opens:
+            open_[t] = i
+    kept = []
+    for a, b in sorted(found):
+        if not any(f < a < g < b for f, g in kept):
+            kept.append((a, b))
+    return sorted(kept)
+
+
+def test_pairs_of_delimiters(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["**", "*", "_", "__", "~~", " ", " ", "a", "b.", "\\*", "`x`", "é"]) for _ in range(rng.randrange(25))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    lexed = {}
+    for r in inlines.lexemes(df, ["k"]).orderBy("k", "pos").collect():
+        lexed.setdefault(r.k, []).append((r.kind, r.t))
+    assert all("".join(t for _, t in lexed.get(k, [])) == text for k, text in enumerate(texts))
+    got = {}
+    for r in inlines.pairs(inlines.lexemes(df, ["k"]), ["k"]).collect():
+        got.setdefault(r.k, []).append((r.first, r.last))
+    assert {k: sorted(v) for k, v in got.items()} == {k: p for k, own in lexed.items() if (p := slow_pairs(own))}
+
+
+def test_a_tree_of_pieces(spark):
+    df = spark.createDataFrame([(1, "[x] **a *b* c**  \n![p](q.png)[l m](<u> 't') <http://x> ``y`z`` *d"), (2, ""), (3, None)], "k int, text string")
+    got = [(r.type, r.parent, r.text, r.url, r.ws) for r in inlines.tree(df, ["k"]).orderBy("k", "node").collect()]
+    assert got == [
+        ("checkbox", None, "x", None, False), ("strong", None, "", None, True), ("text", 2, "a", None, False), ("emphasis", 2, "", None, True), ("text", 5, "b", None, False), ("text", 2, "c", None, True), ("break", None, "", None, False),
+        ("image", None, "p", "q.png", False), ("link", None, "l m", "<u>", False), ("link", None, "http://x", "http://x", True), ("code", None, "y`z", None, True), ("text", None, "*", None, True), ("text", None, "d", None, False),
+    ]
