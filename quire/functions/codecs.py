@@ -113,13 +113,46 @@ def predicted(data: bytes, how: int, colors: int, columns: int) -> bytes:
     return np.concatenate([np.full((len(rows), 1), how), rows - guess], axis=1).astype(np.uint8).tobytes()
 
 
+#: codes of an LZW table: 256 clears it, 257 ends, 258 and above are its words; the table is cleared before it has this many codes
+_CLEAR, _END, _FULL = 256, 257, 4094
+
+
 def to_lzw(data: bytes) -> bytes:
-    """An LZW stream of single bytes: codes of nine bits, the table cleared before they grow to ten."""
-    codes = np.frombuffer(data, np.uint8).astype(np.uint16)
-    n = 250
-    whole = [np.concatenate([[256], codes[i : i + n]]) for i in range(0, len(codes), n)]
-    bits = ((np.concatenate([*whole, [257]]).astype(np.uint16)[:, None] >> np.arange(8, -1, -1)) & 1).astype(np.uint8)
-    return np.packbits(bits).tobytes()
+    """An LZW stream: the longest words known, codes that grow from 9 to 12 bits a code early, the table cleared when it is full."""
+    out, bits, held = bytearray(), 0, 0
+
+    def put(code: int, width: int) -> None:
+        nonlocal bits, held
+        bits, held = bits << width | code, held + width
+        while held >= 8:
+            held -= 8
+            out.append(bits >> held & 255)
+        bits &= (1 << held) - 1
+
+    width = lambda: min(12, max(9, (258 + max(0, len(table) - 1) + 1).bit_length()))  # noqa: E731 - a reader's table is a word behind
+    table: dict[bytes, int] = {}
+    put(_CLEAR, 9)
+    word = b""
+    for i in range(len(data)):
+        longer = data[i - len(word) : i + 1]
+        if not word or longer in table:
+            word = longer
+            continue
+        put(table[word] if len(word) > 1 else word[0], width())
+        table[longer] = 258 + len(table)
+        word = longer[-1:]
+        if 258 + len(table) >= _FULL:
+            put(word[0], width())
+            put(_CLEAR, min(12, (258 + len(table) + 1).bit_length()))
+            table, word = {}, b""
+    if word:
+        put(table[word] if len(word) > 1 else word[0], width())
+        put(_END, min(12, max(9, (258 + len(table) + 1).bit_length())))
+    else:
+        put(_END, 9)
+    if held:
+        out.append(bits << 8 - held & 255)
+    return bytes(out)
 
 
 def rc4_states(keys: np.ndarray) -> np.ndarray:

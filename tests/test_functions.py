@@ -124,3 +124,17 @@ def test_markdown_blocks(spark):
     ]
     assert sorted((r.text, r.url) for r in markdown.links(rows, "id").collect()) == [("http://z", "http://z"), ("x", "http://u"), ("y", "http://ref")]
     assert sorted((r.kind, r.text) for r in markdown.inline(rows, "id").collect()) == [("code", "c"), ("emphasis", "em"), ("strong", "st"), ("struck", "no")]
+
+
+def test_lzw_codes_of_all_widths():
+    import random
+
+    from quire.functions.codecs import from_lzw, to_lzw
+
+    assert to_lzw(b"-----A---B") == bytes.fromhex("800B6050220C0C8501")  # the format's own example
+    rng = random.Random(1)
+    for n in (0, 1, 2, 3, 10, 500, 5000, 60_000):
+        for kinds in (1, 2, 5, 256):
+            data = bytes(rng.randrange(kinds) for _ in range(n))
+            assert from_lzw(to_lzw(data)) == data
+    assert len(to_lzw(b"the quick brown fox " * 5000)) < 3000
