@@ -67,7 +67,7 @@ class Bpe:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word_pattern = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
-        self.letters = _byte_letters()
+        self.letter_of = dict(enumerate(_byte_letters()))
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(spec["model"]["merges"]):
@@ -134,13 +134,12 @@ class Bpe:
         return known
 
     def _encode_word(self, word: str) -> np.ndarray:
-        text = "".join(self.letters[b] for b in word.encode()) + " "
+        # printable ASCII letters stand for their own bytes
+        text = (word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letter_of)) + " "
         n = len(text)
         options: list[list[int]] = [[] for _ in range(n)]
-        for end, token in self.matcher.iter(text[::-1]):
+        for end, token in self.matcher.iter(text[::-1]):  # of those that end at one place, the longest comes first
             options[n - 1 - end].append(token)
-        for found in options:
-            found.sort(key=self.length.__getitem__, reverse=True)
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         taken: list[int] = []
