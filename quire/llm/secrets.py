@@ -4,9 +4,15 @@ Fixed patterns give base spans (kinds assign, access, hex). Besides, every run o
 more characters of [A-Za-z0-9+/_-], with the = that end it, is tested; where a run fits no encoding
 (a path, a name with several separators), so is each piece of 20 or more letters and digits in it. Its encoding is
 inferred as the smallest alphabet that holds it (digits, hex, letters of one case, base 32, base 36,
-base 62, base 64), and three tests ask whether it can be uniform random text in that alphabet:
-chi-squared over the alphabet, runs about the alphabet's middle, and lag-1 serial
-correlation. The smallest p-value times three (Bonferroni) is the token's.
+base 62, base 64), and four tests ask whether it can be uniform random text in that alphabet:
+chi-squared over the alphabet, runs about the alphabet's middle, lag-1 serial
+correlation, and pairs of neighbours. The smallest p-value times four (Bonferroni) is the token's.
+
+The test of pairs is for tokens of letters or of digits alone, where words and numbers would pass the others, which know no
+language. The probabilities of a letter (in lower case) or digit after another are fitted on all runs of letters or of digits of the table that
+are shorter than a candidate. A token's probability by them, over that of uniform text, has the mean 1 (at most) for uniform text of any length, so its
+reciprocal is a p-value (Markov's inequality). Each letter of a token in both cases takes a bit for its case. In tables without
+short words nothing is known of words, and the test finds nothing.
 
 Chi-squared is a function of the number of equal pairs of characters, whose first three
 moments under uniformity are exact for any length and alphabet; its tail is that of the
@@ -17,8 +23,7 @@ characters, also corrected; the correlation has its exact mean and the variance
 Over all tokens of one band of lengths (the tests gain power with length, so bands are
 kept apart) Benjamini-Hochberg at RATE decides which are not random. What is controlled so is the share
 of random keys among the tokens that are discarded, not that of false secrets. The others, if they have BITS
-or more bits of capacity, are spans of kind random. Digits, and letters of one case, need LETTER_BITS or more: of shorter words
-and numbers the tests, which know no language, reject too few.
+or more bits of capacity, are spans of kind random.
 
 Benjamini-Hochberg runs on counts of p-values in bins of the logarithm, so it is one
 aggregation, not a sort of all candidates.
@@ -30,6 +35,8 @@ positions are in code points; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,9 +69,8 @@ ENCODINGS = (
 BANDS = (20, 24, 32, 48, 64, 96, 160)
 RATE = 0.05
 BITS = 80.0
-LETTER_BITS = 300.0
-#: sizes of the alphabets of digits and of letters of one case
-PLAIN = (10, 26)
+#: what the test of pairs knows; the place 0 is a run's beginning
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 BINS = 100
 _SPAN = "struct<start:bigint,rank:int,stop:bigint,token:string>"
 
@@ -109,8 +115,40 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def randomness(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """Adds alphabet (its size), p: how likely uniform random text looks as odd as this, and the p-value of each test; tokens fit an encoding and have three characters or more."""
+def neighbours(docs: DataFrame, text: str = "text") -> list[float]:
+    """The logarithms of the probabilities of each symbol after each other, or at the beginning of a run (37 times 37 values).
+
+    Fitted on all runs of letters, and of digits, of the texts with fewer than 20 characters; one is added to each count.
+    """
+    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+    words = docs.select(F.explode(runs).alias("w")).filter(F.length("w") < 20).groupBy("w").agg(F.count("*").alias("n"))
+    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substr(F.concat(F.lit("^"), "w"), i, F.lit(2)))).alias("pair"))
+    found = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # at most 37 * 36
+    out = [0.0]
+    for before in "^" + SYMBOLS:
+        for kind in (SYMBOLS[:26], SYMBOLS[26:]):
+            total = sum(found.get(before + c, 0) + 1 for c in kind)
+            out += [math.log((found.get(before + c, 0) + 1) / total) for c in kind]
+        out.append(0.0)
+    return out[:-1]
+
+
+def _p_words(core: Column, alphabet: Column, logs: list[float]) -> Column:
+    """The test of pairs; core: the token without padding."""
+    low = F.lower(core)
+    place = lambda i: F.instr(F.lit(SYMBOLS), F.substr(low, i, F.lit(1)))
+    one = lambda i: F.element_at(F.lit(logs), F.when(i > 1, place(i - 1)).otherwise(0) * (len(SYMBOLS) + 1) + place(i) + 1)
+    model = F.aggregate(F.sequence(F.lit(1), F.length(core)), F.lit(0.0), lambda acc, i: acc + one(i))
+    case = F.when(core.rlike("[a-z]") & core.rlike("[A-Z]"), math.log(2)).otherwise(0.0)
+    ratio = model + F.length(core) * (F.log(alphabet) - case)
+    return F.when(core.rlike("^([A-Za-z]+|[0-9]+)$"), F.least(F.lit(1.0), F.exp(-ratio))).otherwise(1.0)
+
+
+def randomness(tokens: DataFrame, token: str = "token", logs: list[float] | None = None) -> DataFrame:
+    """Adds alphabet (its size), p: how likely uniform random text looks as odd as this, and the p-value of each test; tokens fit an encoding and have three characters or more.
+
+    logs: from neighbours(); without them the test of pairs is left out.
+    """
     core = F.rtrim(F.translate(token, "=", " "))
     alphabet = F.coalesce(*(F.when(F.col(token).rlike(p), F.lit(a)) for p, a in ENCODINGS))
     out = tokens.withColumn("__alphabet", alphabet)
@@ -136,7 +174,8 @@ def randomness(tokens: DataFrame, token: str = "token") -> DataFrame:
     below = F.aggregate("__d", F.lit(0.0), lambda acc, v: acc + v * v)
     r = F.aggregate(steps, F.lit(0.0), lambda acc, q: acc + q["a"] * q["b"]) / below
     p_serial = F.when(below > 0, 2 * _normal_tail(F.abs(r + 1 / n_) * n_ * F.sqrt(n_ - 1) / (n_ - 2))).otherwise(0.0)
-    out = out.withColumn("p", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))).withColumn("alphabet", F.col("__a")).withColumns({"p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial})
+    tests = {"p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial} | ({"p_words": _p_words(core, F.col("__a"), logs)} if logs else {})
+    out = out.withColumn("alphabet", F.col("__a")).withColumns(tests).withColumn("p", F.least(F.lit(1.0), len(tests) * F.least(*tests)))
     return out.drop("__x", "__d", "__alphabet", "__a", "__n", "__skew", "__y", "__runs", "__high", "__mean")
 
 
@@ -151,9 +190,8 @@ def keep_random(tested: DataFrame, rate: float = RATE, bits: float = BITS, token
     upto = F.sum("n").over(own.orderBy(F.col("__level").desc()).rowsBetween(W.unboundedPreceding, 0))
     found = upto / F.sum("n").over(own) * rate >= F.pow(F.lit(10.0), -F.col("__level") / BINS)
     cut = bins.withColumn("__found", found).groupBy("__band").agg(F.min(F.when(F.col("__found"), F.col("__level"))).alias("__cut"))
-    kept = rows.join(cut, "__band").filter(F.coalesce(F.col("__level") < F.col("__cut"), F.lit(True)))
-    capacity = length * F.log2("alphabet")
-    return kept.filter(capacity >= F.when(F.col("alphabet").isin(*PLAIN), LETTER_BITS).otherwise(bits)).drop("__band", "__level", "__cut")
+    kept = rows.join(F.broadcast(cut), "__band").filter(F.coalesce(F.col("__level") < F.col("__cut"), F.lit(True)))
+    return kept.filter(length * F.log2("alphabet") >= bits).drop("__band", "__level", "__cut")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,7 +205,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     maybe = F.concat(F.filter("runs", lambda s: _encoded(s["token"])), F.coalesce(pieces, F.array().cast(f"array<{_SPAN}>")))
     rows = settle(rows.select("__id", "__row", "base", maybe.alias("maybe")), "secrets")
     tokens = rows.filter(F.size("maybe") > 0).select("__row", F.explode("maybe").alias("span")).select("__row", "span", "span.token")
-    kept = keep_random(randomness(tokens)).groupBy("__row").agg(F.collect_list("span").alias("more"))
+    tested = settle(randomness(tokens, logs=neighbours(docs, text)), "secrets-tested")
+    kept = keep_random(tested).groupBy("__row").agg(F.collect_list("span").alias("more"))
     out = rows.join(kept, "__row", "left")
     return out.select(F.col("__id").alias(key), "base", F.concat("base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))).alias("spans"))
 

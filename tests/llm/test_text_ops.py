@@ -307,15 +307,51 @@ def test_false_discovery_control_is_by_hand(spark):
         assert v > limit / width**2 if token in kept else v <= limit * width**2
 
 
+PROSE = "the quick brown fox jumps over a lazy dog and one of the dogs that sleep here, on the hill, in 2024-01-01 12:00:00 or 2023, as others do when this time of the year has come; there are 1000 more, 20 of them over the thousand"
+
+
 def test_secrets_in_names_and_paths(spark, llm_docs):
     rng = random.Random(5)
     base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
     base62 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
     rows = [(1, f"AWS_SECRET_ACCESS_KEY={base64}"), (2, f"https://x.y/api-v1/some_name/{base62}/end"), (3, "thequickbrownfoxjumpsoverthelazydog 20240101120000000000001")]
+    rows += [(10 + i, PROSE) for i in range(5)]
     got = {r.doc_id: [s["token"] for s in r.spans if s["rank"] == 3] for r in secrets.scan(llm_docs(rows)).collect()}
     assert base64 in got[1] and base62 in got[2] and got[3] == []
 
 
+def test_secrets_of_letters_or_digits_alone(spark, sf):
+    """Random letters and digits are found, words written together and times aren't; words are learned from the table."""
+    rng, documents = random.Random(11), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words = [w for r in documents.orderBy("doc_id").limit(40).collect() for w in (r.text or "").split() if w.isascii() and w.isalpha()]
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+    rows = [(10**9 + 1000 * k + i, "".join(rng.choices(kind, k=48))) for k, kind in enumerate(kinds) for i in range(50)]
+    rows += [(2 * 10**9 + i, "".join(rng.choices(words, k=12)).lower()[:48]) for i in range(50)]
+    rows += [(3 * 10**9 + i, "".join(f"20{rng.randrange(18, 25)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}" for _ in range(6))) for i in range(50)]
+    got = {r.doc_id: [s for s in r.spans if s["rank"] == 3] for r in secrets.scan(documents.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k in range(3):
+        assert sum(bool(got[10**9 + 1000 * k + i]) for i in range(50)) >= 45
+    assert sum(bool(got[2 * 10**9 + i]) for i in range(50)) == 0
+    assert sum(bool(got[3 * 10**9 + i]) for i in range(50)) <= 5
+
+
+def test_pairs_of_neighbours_by_hand(spark, llm_docs):
+    """The probabilities are those of the counts, and uniform text is rejected no more than its level."""
+    logs = secrets.neighbours(llm_docs([(1, "The the X9 2024"), (2, None), (3, "")]))
+    at = lambda a, b: logs[37 * (" " + secrets.SYMBOLS).index(a) + (" " + secrets.SYMBOLS).index(b)]
+    assert len(logs) == 37 * 37
+    assert at(" ", "t") == pytest.approx(math.log(3 / 29)) and at("t", "h") == pytest.approx(math.log(3 / 28)) and at("q", "u") == pytest.approx(math.log(1 / 26))
+    assert at("2", "0") == pytest.approx(math.log(2 / 12)) and at(" ", "9") == pytest.approx(math.log(2 / 12))
+    rng = random.Random(2)
+    rows = [("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30)),) for _ in range(1000)] + [("theththeththetheththehet",), ("TheThThethThethethTheThe",)]
+    got = {r.token: r for r in secrets.randomness(spark.createDataFrame(rows, "token string"), logs=logs).collect()}
+    assert sum(got[t].p_words <= 0.05 for (t,) in rows[:1000]) <= 50
+    for token, size, case in ((rows[-2][0], 26, 0), (rows[-1][0], 62, math.log(2))):
+        low = " " + token.lower()
+        want = sum(at(a, b) for a, b in zip(low, low[1:], strict=False)) + len(token) * (math.log(size) - case)
+        assert got[token].p_words == pytest.approx(min(1, math.exp(-want)), rel=1e-9)
+
+
 @pytest.mark.parametrize(("parts", "hot"), [(1, 1e-5), (1, 0.01), (3, 0.01)])
 def test_lm_counts_pairs_of_rare_words(spark, llm_docs, monkeypatch, parts, hot):
     """All pairs count, those of words with less than 1e-4 of all tokens too; scores follow the formula but where the filter errs."""
