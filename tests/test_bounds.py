@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.plans.files import table
-from quire.sources.scratch import bounded, settle
+from quire.sources.scratch import bounded, settle, spread
 
 KEYS = ("spark.sql.sources.fileCompressionFactor", "spark.sql.execution.arrow.maxBytesPerBatch")
 
@@ -34,3 +34,18 @@ def test_bounds_keep_what_the_user_has_set(spark):
     finally:
         for k, v in zip(KEYS, before, strict=True):
             spark.conf.set(k, v)
+
+
+def test_small_rows_that_take_long_are_dealt_over_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spread(spark.range(cores * 30).coalesce(1)).withColumn("part", F.spark_partition_id())
+    assert rows.select("part").distinct().count() >= cores
+    assert rows.select("id").distinct().count() == cores * 30
+
+
+def test_the_entry_names_every_operator():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {"pdf_locked_text", "line_filling", "pipeline"} <= names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
