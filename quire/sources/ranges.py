@@ -1,8 +1,8 @@
 """PDF objects read by byte ranges: a data source for files of any size.
 
 `read_pdf(spark, folder)` gives the columns of reader.objects(), so pages, streams, text and values are read from either.
-Planning reads, of each file, its last kilobyte and the heads of its cross-reference sections: where their ranges of numbers
-begin, not their entries. A partition has ranges of about ENTRIES entries; its task reads these entries, leaves out numbers that a
+Planning lists the files. Of large files it reads the last kilobyte and the heads of their cross-reference sections: where their ranges of numbers
+begin, not their entries; small files go to tasks by name, many to a task, which reads these heads itself. A partition of a large file has ranges of about ENTRIES entries; its task reads these entries, leaves out numbers that a
 newer section has (their ranges are known), and reads the objects in order of offset, a few kilobytes around each, a stream's
 bytes only if they are wanted. So a file is never held whole, and one large file is read by many tasks.
 
@@ -17,6 +17,7 @@ has one partition, which looks through it for objects, a window at a time, and t
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -31,6 +32,10 @@ from . import lexer
 ENTRIES, HEAD, WINDOW = 20_000, 2048, 1 << 23
 #: files whose sections are read at the same time when a read is planned
 AT_ONCE = 32
+#: bytes of a file for each entry it may have; with no more than ENTRIES by this, tasks plan it
+EACH = 64
+#: bytes for which a file counts at least where small files share a task, and bytes of such a task for each entry
+LEAST, SHARE = 4096, 400
 SCHEMA = "path string, number bigint, generation int, offset bigint, type string, body string, data binary, repaired boolean, container bigint, place bigint, fetched bigint"
 _OBJECT = re.compile(rb"\s*(\d+)\s+(\d+)\s+obj\b")
 _MARK = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
@@ -179,6 +184,52 @@ class Group(InputPartition):
         self.value = None
 
 
+class Names(InputPartition):
+    """Small files, in order, by names (packed, as they are much alike) below a prefix."""
+
+    def __init__(self, prefix: str, names: list[str]) -> None:
+        super().__init__(None)
+        self.prefix, self.packed = prefix, zlib.compress("\0".join(names).encode())
+
+    def paths(self) -> list[str]:
+        return [self.prefix + n for n in zlib.decompress(self.packed).decode().split("\0")]
+
+
+def listed(path: str, suffix: str) -> Iterator[tuple[str, str, int]]:
+    """Prefix, name and size of a file, or of all files of that suffix below a folder; one folder is listed at a time."""
+    from pyarrow import fs
+
+    scheme = path.split("/")[0] if ":" in path.split("/")[0] else ""
+    store, root = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
+    prefix = path[: path.index(root)] if scheme and root in path else ""
+    info = store.get_file_info(root)
+    if info.is_file:
+        yield prefix, info.path, info.size
+        return
+    todo = [root]
+    while todo:
+        folder = todo.pop()
+        found = sorted(((f.path, f.size if f.is_file else None) for f in store.get_file_info(fs.FileSelector(folder)) if not f.base_name.startswith(".")), reverse=True)
+        todo += [f for f, size in found if size is None]
+        for f, size in reversed(found):
+            if size is not None and f.endswith(suffix):
+                yield prefix, f, size
+
+
+def shared(files: Iterator[tuple[str, str, int]], most: int) -> Iterator[Names]:
+    """Files as partitions of so many bytes, a file counting for LEAST at least."""
+    held, count, at = [], 0, ""
+    for prefix, name, size in files:
+        if held and count + max(size, LEAST) > most:
+            yield Names(at, held)
+            held, count = [], 0
+        at = prefix
+        held.append(name)
+        count += max(size, LEAST)
+    if held:
+        yield Names(at, held)
+
+
 def _table(source: Source, at: int) -> tuple[Section, list[bytes]] | None:
     """A cross-reference table's ranges, and its trailer's tokens; entries are passed over."""
     m = re.match(rb"\s*xref\s+", source.get(at, 64))
@@ -315,6 +366,15 @@ class _Entries:
         return None
 
 
+def _pieces(partition: Group | Names | None, entries: int) -> Iterator[Piece]:
+    """The pieces of a partition; without files there is one task, and no partition."""
+    if isinstance(partition, Names):
+        for path in partition.paths():
+            yield from planned(path, entries)
+    elif partition:
+        yield from partition.pieces
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
@@ -342,29 +402,32 @@ class _Reader(DataSourceReader):
         return True
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
+        entries = int(self.options.get("entries", ENTRIES))
+        large: list[str] = []
 
-        path, entries = self.options["path"], int(self.options.get("entries", ENTRIES))
-        scheme = path.split("/")[0] if ":" in path.split("/")[0] else ""
-        store, root = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
-        info = store.get_file_info(root)
-        files = [info.path] if info.is_file else sorted(f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(self.options.get("suffix", ".pdf")) and not f.base_name.startswith("."))
-        prefix = path[: path.index(root)] if scheme and root in path else ""
+        def small() -> Iterator[tuple[str, str, int]]:
+            for prefix, name, size in listed(self.options["path"], self.options.get("suffix", ".pdf")):
+                if size > EACH * entries:
+                    large.append(prefix + name)
+                else:
+                    yield prefix, name, size
+
+        groups: list[InputPartition] = list(shared(small(), SHARE * entries))
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            pieces = [p for found in pool.map(lambda f: planned(prefix + f, entries), files) for p in found]
-        groups: list[Group] = []
-        count = entries
-        for p in pieces:  # small files share a partition
+            pieces = [p for found in pool.map(lambda f: planned(f, entries), large) for p in found]
+        count, full = 0, True
+        for p in pieces:
             n = sum(n for s in p.sections for _, n, _ in s.ranges) or entries
-            if count + n > entries:
+            if full or count + n > entries:
                 groups.append(Group([]))
-                count = 0
+                count, full = 0, False
             groups[-1].pieces.append(p)
             count += n
         return groups
 
-    def read(self, partition: Group | None) -> Iterator[tuple]:
-        for piece in partition.pieces if partition else []:  # without files there is one task, and no partition
+    def read(self, partition: Group | Names | None) -> Iterator[tuple]:
+        entries = int(self.options.get("entries", ENTRIES))
+        for piece in _pieces(partition, entries):
             source = Source(piece.path)
             try:
                 yield from self._repaired(source, piece.path) if not piece.sections else self._read(source, piece)
@@ -445,6 +508,42 @@ class PdfObjects(DataSource):
         return _Reader(dict(self.options))
 
 
+class _WholeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return list(shared(listed(self.options["path"], self.options.get("suffix", ".pdf")), WINDOW))
+
+    def read(self, partition: Names | None) -> Iterator[tuple]:
+        for path in partition.paths() if partition else []:
+            source = Source(path)
+            try:
+                yield path, source.file.read_at(source.size, 0)
+            finally:
+                source.close()
+
+
+class WholeFiles(DataSource):
+    """Format "whole": options path and suffix."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "whole"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WholeReader(dict(self.options))
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of PDF files, as reader.read_files() gives them, for very many: the driver keeps packed names only, and a task reads WINDOW bytes of files."""
+    spark.dataSource.register(WholeFiles)
+    return spark.read.format("whole").option("path", path).load()
+
+
 def read_pdf(spark: SparkSession, path: str, data: bool = True, **options) -> DataFrame:
     """The objects of the PDF files of a folder, or of one file, by byte ranges; filters on number and type reach the source."""
     spark.dataSource.register(PdfObjects)

@@ -26,33 +26,40 @@ def _name(path: str) -> str:
 
 @dataclass
 class Saved(WriterCommitMessage):
-    """Names in the staging folder, and in the end."""
+    """Names in the staging folder, and in the end: of files, or of the one folder with all that a task wrote."""
 
     files: list[tuple[str, str]]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder, self.staging = folder, f".saving-{uuid.uuid4().hex}"
+    def __init__(self, folder: str, folders: bool = False) -> None:
+        self.folder, self.folders, self.staging = folder, folders, f".saving-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Saved:
         """Rows (path, offset, data) of whole files, one file after another, into the staging folder under names of their own, so that a
         task that runs again disturbs nothing."""
         store, root = _store(self.folder)
-        root = f"{root.rstrip('/')}/{self.staging}"
+        root, own = f"{root.rstrip('/')}/{self.staging}", uuid.uuid4().hex
+        if self.folders:
+            root = f"{root}/{own}"
         store.create_dir(root)
-        now, out, files = None, None, []
+        now, out, files, made = None, None, [], {""}
         for path, _, data in rows:
             if path != now:
                 if out:
                     out.close()
                 now = path
-                files.append((uuid.uuid4().hex, _name(path)))
-                out = store.open_output_stream(f"{root}/{files[-1][0]}")
+                name = _name(path) if self.folders else uuid.uuid4().hex
+                if self.folders and (parent := posixpath.dirname(name)) not in made:
+                    store.create_dir(f"{root}/{parent}")
+                    made.add(parent)
+                if not self.folders:
+                    files.append((name, _name(path)))
+                out = store.open_output_stream(f"{root}/{name}")
             out.write(bytes(data))
         if out:
             out.close()
-        return Saved(files)
+        return Saved([(own, own)] if self.folders and now is not None else files)
 
     def commit(self, messages: list[Saved | None]) -> None:
         """Give the files of tasks that succeeded their names; nothing is seen of a job that fails."""
@@ -77,18 +84,22 @@ class _Writer(DataSourceWriter):
 
 
 class Files(DataSource):
-    """Format "pieces": the option path is a folder of a store that pyarrow reaches."""
+    """Format "pieces": the option path is a folder of a store that pyarrow reaches; folders gives each task's files a folder of their own."""
 
     @classmethod
     def name(cls) -> str:
         return "pieces"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("folders", "false").lower() == "true")
 
 
-def save(pieces: DataFrame, folder: str) -> None:
-    """Write files from pieces (path, offset, data; see writer.parts) into a folder that all executors reach; paths with folders keep them below it."""
+def save(pieces: DataFrame, folder: str, folders: bool = False) -> None:
+    """Write files from pieces (path, offset, data; see writer.parts) into a folder that all executors reach; paths with folders keep them below it.
+
+    folders: for very many files. Each task's files come into a folder of their own, which the commit names whole, so that neither their
+    names nor their renaming go through the driver; a file saved before under the same path stays beside the new one.
+    """
     pieces.sparkSession.dataSource.register(Files)
     rows = pieces.select("path", "offset", "data").repartition("path").sortWithinPartitions("path", "offset")
-    rows.write.format("pieces").option("path", folder).mode("append").save()
+    rows.write.format("pieces").option("path", folder).option("folders", str(folders).lower()).mode("append").save()

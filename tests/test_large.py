@@ -1,6 +1,7 @@
 """Files read by byte ranges, tokens read in pieces, values as edges, and saved files."""
 
 import os
+import pickle
 import random
 import zlib
 
@@ -165,6 +166,21 @@ def test_files_are_named_by_the_commit(spark, tmp_path):
     assert not [f for _, _, files in os.walk(tmp_path / "none") for f in files if f.endswith(".pdf")]
 
 
+def test_many_files_are_saved_and_planned_without_their_names_on_the_driver(spark, tmp_path):
+    pages = spark.range(300).select(F.concat(F.lit("d/doc-"), "id", F.lit(".pdf")).alias("path"), F.lit(0).alias("page"), F.array(F.col("id").cast("string")).alias("lines"))
+    objects = writer.pdf_objects(pages).cache()
+    sink.save(writer.parts(objects), str(tmp_path / "out"), folders=True)
+    top = os.listdir(tmp_path / "out")
+    assert len(top) <= 4 and not [f for f in top if f.startswith(".")]  # a folder for each task
+    planned = ranges._Reader({"path": str(tmp_path / "out"), "entries": "1000"}).partitions()
+    assert all(isinstance(p, ranges.Names) for p in planned) and 3 <= len(planned) <= 20  # no file is opened on the driver
+    assert sum(len(pickle.dumps(p)) for p in planned) < 300 * 20
+    every = ranges.read_pdf(spark, str(tmp_path / "out"), entries=1000)
+    assert every.count() == 300 * 6 and every.filter("type = 'Page'").select("path").distinct().count() == 300
+    whole = {r.path.split("/")[-1]: bytes(r.content) for r in ranges.read_whole(spark, str(tmp_path / "out")).collect()}
+    assert whole == {r.path.split("/")[-1]: bytes(r.content) for r in writer.written(objects).collect()}
+
+
 # --- edges
 
 
