@@ -16,14 +16,55 @@ from .ordering import running, running_max
 
 #: pieces of a line, at most
 MOST = 200
+#: words of a group that is filled by one fold
+SHORT = 16_384
+#: groups whose names are broadcast, at most
+NAMED = 100_000
 
 
-def fill_lines(words: DataFrame, group: list[str], width: str = "width", space: str = "space", available: str = "available", most: int = MOST) -> DataFrame:
+def fill_lines(words: DataFrame, group: list[str], width: str = "width", space: str = "space", available: str = "available", most: int = MOST, short: int = SHORT) -> DataFrame:
     """words with line (from 0) and x (where the word begins, its space passed): a word goes on the line if it ends before `available`.
 
     words: group, place (0, 1, ... in the group), width, space (before the word, none at a line's start) and available, the same in a
     group. A word that is too wide has a line of its own; a line has `most` words at most.
+
+    Groups of `short` words at most are shuffled once and folded each in its task, and nothing is written; longer ones are spread by running sums.
     """
+    sizes = words.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > short)
+    long = settle(sizes.select(*group), "long-groups")
+    n = long.count()
+    if not n:
+        return _folded_lines(words, group, width, space, available, most)
+    named = F.broadcast(long) if n <= NAMED else long
+    folded = _folded_lines(words.join(named, group, "left_anti").select(*words.columns), group, width, space, available, most)
+    return folded.unionByName(_spread_lines(words.join(named, group, "left_semi").select(*words.columns), group, width, space, available, most))
+
+
+def _folded_lines(words: DataFrame, group: list[str], width: str, space: str, available: str, most: int) -> DataFrame:
+    before = F.sum(F.col("__w") + F.col("__s")).over(W.partitionBy(*group).orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    rows = words.withColumns({"__w": F.col(width).cast("bigint"), "__s": F.col(space).cast("bigint"), "__a": F.col(available).cast("bigint")})
+    rows = rows.withColumn("__before", F.coalesce(before, F.lit(0)))
+    others = [c for c in words.columns if c not in group and c != "place"]
+    cut = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("place", "__w", "__s", "__a", "__before", *others))).alias("__words"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["end"] + x["__s"] + x["__w"]
+        begins = (acc["k"] == 0) | (end >= x["__a"]) | (acc["k"] >= most)
+        first = F.struct(x["__w"].alias("end"), F.lit(1).alias("k"), F.concat(acc["starts"], F.array(acc["n"])).alias("starts"), (acc["n"] + 1).alias("n"))
+        return F.when(begins, first).otherwise(F.struct(end.alias("end"), (acc["k"] + 1).alias("k"), acc["starts"].alias("starts"), (acc["n"] + 1).alias("n")))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"))
+    cut = cut.select(*group, "__words", F.aggregate("__words", none, step, lambda acc: acc["starts"]).alias("__starts"))
+    each = F.transform("__starts", lambda at, i: F.slice("__words", at + 1, F.coalesce(F.get("__starts", i + 1), F.size("__words")) - at))
+    rows = cut.select(*group, F.posexplode(each).alias("__line", "__words"))
+    first = F.get("__words", F.lit(0))
+    rows = rows.select(*group, "__line", (first["__before"] + first["__s"]).alias("__origin"), F.explode("__words").alias("__word"))
+    x = F.col("__word.__before") + F.col("__word.__s") - F.col("__origin")
+    columns = [F.col(c) if c in group else F.col("__word").getField(c).alias(c) for c in words.columns]
+    return rows.select(*columns, F.col("__line").cast("bigint").alias("line"), x.alias("x"))
+
+
+def _spread_lines(words: DataFrame, group: list[str], width: str, space: str, available: str, most: int) -> DataFrame:
     rows = words.withColumns({"__w": F.col(width).cast("bigint"), "__s": F.col(space).cast("bigint")})
     rows = settle(running(rows, group, ["place"], __before=F.col("__w") + F.col("__s")), "words")
     ends = rows.select(*group, "place", (F.col("__before") + F.col("__w") + F.col("__s")).alias("value"))

@@ -33,6 +33,25 @@ def test_lines_of_words(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("short", [0, 50])
+def test_lines_of_groups_folded_and_spread(spark, short):
+    rng = random.Random(short)
+    groups = {g: [(rng.randrange(0, 60), rng.choice([0, 3, 10])) for _ in range(rng.choice([1, 2, 7, 49, 50, 51, 130]))] for g in range(20)}
+    rows = [(g, i, w, s, 20 + 10 * (g % 9), "kept") for g, words in groups.items() for i, (w, s) in enumerate(words)]
+    filled = layout.fill_lines(spark.createDataFrame(rows, "g bigint, place bigint, width int, space int, available int, line_ string"), ["g"], most=12, short=short)
+    assert filled.columns == ["g", "place", "width", "space", "available", "line_", "line", "x"]
+    got = {(r.g, r.place): (r.line, r.x) for r in filled.collect()}
+    assert got == {(g, i): x for g, words in groups.items() for i, x in enumerate(slow_lines(words, 20 + 10 * (g % 9), 12))}
+
+
+def test_short_groups_are_not_written(spark, monkeypatch):
+    written = []
+    settle = layout.settle
+    monkeypatch.setattr(layout, "settle", lambda df, name: written.append(name) or settle(df, name))
+    words = spark.range(2000).select((F.col("id") % 20).alias("g"), F.floor(F.col("id") / 20).alias("place"), F.lit(5).alias("width"), F.lit(1).alias("space"), F.lit(30).alias("available"))
+    assert layout.fill_lines(words, ["g"]).filter("x + width >= available").count() == 0 and written == ["long-groups"]
+
+
 def test_no_words(spark):
     none = spark.createDataFrame([], "g bigint, place bigint, width int, space int, available int")
     assert layout.fill_lines(none, ["g"]).count() == 0
