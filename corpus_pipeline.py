@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of the text they decode to."""
     columns = ["doc_id", "lang", "source"]
-    out = bpe.decode(bpe.encode(docs, columns), columns)
+    out = bpe.encode_decode(docs, columns)
     return out.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -194,7 +194,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _encode(path: str):
+def _encode(path: str, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for whole in batches:
@@ -202,8 +202,10 @@ def _encode(path: str):
                 b = whole.slice(at, ROWS)
                 ids = [bpe.encode(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], column], [*b.schema.names[:-1], "ids"])
+                made = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))}
+                if decoded:
+                    made["decoded"] = pa.array([bpe.decode(i) for i in ids], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made.values()], [*b.schema.names[:-1], *made])
 
     return run
 
@@ -237,8 +239,14 @@ def decode(encoded: DataFrame, columns: list[str], path: str | None = None, ids:
     return encoded.select(*columns, F.col(ids).alias("ids")).mapInArrow(_decode(path or vocabulary_path()), _fields(encoded, columns) + "ids array<int>, decoded string")
 
 
+def encode_decode(docs: DataFrame, columns: list[str], path: str | None = None, text: str = "text") -> DataFrame:
+    """What decode() gives of encode(), in one pass: a core needs one worker with the vocabulary, not two."""
+    small_batches(docs.sparkSession)
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(_encode(path or vocabulary_path(), True), _fields(docs, columns) + "ids array<int>, decoded string")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
-    out = decode(encode(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+    out = encode_decode(table(spark, sf_dir, "documents"), ["doc_id"])
     written = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

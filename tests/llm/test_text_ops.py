@@ -114,6 +114,15 @@ def test_shards(spark, llm_docs, odd):
     assert sharding.assign_shards(llm_docs([]), [1.0]).count() == 0
 
 
+def test_bpe_in_one_pass_equals_both(spark, llm_docs, odd):
+    docs = llm_docs(odd, clash=True)
+    both = bpe.decode(bpe.encode(docs, ["doc_id"]), ["doc_id"])
+    once = bpe.encode_decode(docs, ["doc_id"])
+    assert once.schema == both.schema and sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one worker with the vocabulary for each core
+
+
 def test_bpe_equals_the_library(spark, llm_docs, odd):
     from tokenizers import Tokenizer
 
