@@ -19,11 +19,15 @@ from ..sources import reader
 from ..sources.scratch import settle
 
 OPEN, CLOSE = ("<<", "["), (">>", "]")
+#: levels of values that take a window each in paths(); deeper ones are found by rounds
+MOST_LEVELS = 16
 
 
 def body_tokens(every: DataFrame, key: list[str], body: str = "body") -> DataFrame:
-    """key, pos and token of objects' texts."""
-    return every.select(*key, F.posexplode(reader.tokens_of(F.encode(body, "ISO-8859-1"))).alias("pos", "token"))
+    """key, pos and token of objects' texts; each text's tokens are dealt as one array, so that windows over keys find them together."""
+    cut = every.select(*key, reader.tokens_of(F.encode(body, "ISO-8859-1")).alias("__tokens")).repartition(*key)
+    # outer, as a plain explode is taken for a filter on the array, for which the texts would be cut once more before they are dealt
+    return cut.select(*key, F.posexplode_outer("__tokens").alias("pos", "token")).filter("pos is not null")
 
 
 def _kind(t: Column) -> Column:
@@ -56,11 +60,12 @@ def edges(tokens: DataFrame, key: list[str]) -> DataFrame:
     rows = rows.withColumn("level", F.coalesce(F.sum(change).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.filter(~t.isin(*CLOSE)).select(*key, "pos", "token", "level", "__ref", "__generation")
     # each bracket is also a mark on the level that it opens
-    mark = rows.filter(t.isin(*OPEN)).select(*key, "pos", (F.col("level") + 1).alias("level"), F.col("pos").alias("__opened"), F.col("token").alias("__bracket"))
+    twice = F.when(t.isin(*OPEN), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    both = rows.withColumn("__mark", F.explode(twice)).withColumn("level", F.col("level") + F.col("__mark").cast("bigint"))
+    both = both.withColumn("__opened", F.when(F.col("__mark"), F.col("pos"))).withColumn("__bracket", F.when(F.col("__mark"), t))
     on_level = W.partitionBy(*key, "level").orderBy("pos")
-    both = rows.unionByName(mark, allowMissingColumns=True)
     both = both.withColumn("parent", F.last("__opened", True).over(on_level)).withColumn("__in", F.last("__bracket", True).over(on_level))
-    values = both.filter("__opened is null")
+    values = both.filter("not __mark")
     among = W.partitionBy(*key, "parent").orderBy("pos")
     values = values.withColumn("__i", F.row_number().over(among) - 1).withColumn("__key", F.lag("token").over(among))
     in_dict = F.coalesce(F.col("__in") == "<<", F.lit(False))
@@ -80,10 +85,25 @@ def edges(tokens: DataFrame, key: list[str]) -> DataFrame:
 def paths(rows: DataFrame, key: list[str]) -> DataFrame:
     """Adds node_path: the names and ordinals from the root on, joined by slashes, and shadowed: whether the value or one above it is a duplicate.
 
-    Each round looks twice as far up, so a depth d takes log2(d) rounds.
+    Levels are gone through from the top by windows over the same sorted rows, so an object's values are dealt once; a value without
+    the bracket that it names as parent begins anew. Where there are more than MOST_LEVELS, each round of joins looks twice as far up, so a depth d takes log2(d) rounds.
     """
-    step = F.coalesce("name", F.col("ordinal").cast("string"), F.lit(""))
-    now = settle(rows.select(*key, "node", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), step).alias("p"), F.col("duplicate").alias("d")), "paths")
+    step = F.when(F.col("parent").isNotNull(), F.coalesce("name", F.col("ordinal").cast("string"), F.lit("")))
+    least, most = rows.agg(F.min("level"), F.max("level")).first()
+    if least is None or most - least >= MOST_LEVELS:
+        return _paths_by_rounds(rows, key, step)
+    order = W.partitionBy(*key).orderBy("node").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("__path", step).withColumn("__under", F.col("duplicate"))
+    for level in range(int(least) + 1, int(most) + 1):
+        out = out.withColumn("__up", F.last(F.when(F.col("level") == level - 1, F.struct("node", "__path", "__under")), True).over(order))
+        held = (F.col("level") == level) & F.coalesce(F.col("__up.node") == F.col("parent"), F.lit(False))
+        out = out.withColumn("__path", F.when(held, F.concat_ws("/", "__up.__path", "__path")).otherwise(F.col("__path")))
+        out = out.withColumn("__under", F.when(held, F.col("__under") | F.col("__up.__under")).otherwise(F.col("__under")))
+    return out.select(*rows.columns, F.coalesce("__path", F.lit("")).alias("node_path"), F.col("__under").alias("shadowed"))
+
+
+def _paths_by_rounds(rows: DataFrame, key: list[str], step: Column) -> DataFrame:
+    now = settle(rows.select(*key, "node", F.col("parent").alias("up"), step.alias("p"), F.col("duplicate").alias("d")), "paths")
     while not now.filter("up is not null").isEmpty():
         above = now.select(*key, F.col("node").alias("up"), F.col("up").alias("further"), F.col("p").alias("q"), F.col("d").alias("e"))
         joined = now.join(above, [*key, "up"], "left")

@@ -230,3 +230,20 @@ def test_copies_with_other_references(spark, nested):
     out = {r.number: r.body for r in edges.written(edges.remapped(edges.body_tokens(nested[0], key), key, to), key).collect()}
     assert out[5] == "<</K[]/L<<>>/M 70 0 R/N(1 0 R)>>" and out[2] == "[null 5<4><>()true null -.5]"
     assert out[1] == BODIES[1] and out[7] == BODIES[7]
+
+
+def test_paths_by_windows_are_those_by_rounds(spark, monkeypatch):
+    key = ["path", "number"]
+    bodies = [*(b for n, b in BODIES.items() if n != 7), "<<[1]/A/B[2<</C 3>>]>>", "1][2[3]]", "][2]", "<</A<</B 1>>/A[<</B 2>>]/ 5>>", "[[1]]]/A[2]"]
+    rows = spark.createDataFrame([("f", n, b) for n, b in enumerate(bodies)], "path string, number bigint, body string")
+    found = edges.edges(edges.body_tokens(rows, key), key).cache()
+    by_windows = sorted(map(tuple, edges.paths(found, key).select(*key, "node", "node_path", "shadowed").collect()))
+    monkeypatch.setattr(edges, "MOST_LEVELS", 0)
+    assert by_windows == sorted(map(tuple, edges.paths(found, key).select(*key, "node", "node_path", "shadowed").collect())) and len(by_windows) > 20
+
+
+def test_tokens_are_dealt_once(spark):
+    key = ["path", "number"]
+    rows = spark.createDataFrame([("f", n, b) for n, b in BODIES.items()], "path string, number bigint, body string")
+    plan = edges.edges(edges.body_tokens(rows, key), key)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("tokens_of(") == 1
