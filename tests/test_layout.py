@@ -221,3 +221,14 @@ def test_a_tree_of_pieces(spark):
         ("checkbox", None, "x", None, False), ("strong", None, "", None, True), ("text", 2, "a", None, False), ("emphasis", 2, "", None, True), ("text", 5, "b", None, False), ("text", 2, "c", None, True), ("break", None, "", None, False),
         ("image", None, "p", "q.png", False), ("link", None, "l m", "<u>", False), ("link", None, "http://x", "http://x", True), ("code", None, "y`z", None, True), ("text", None, "*", None, True), ("text", None, "d", None, False),
     ]
+
+
+@pytest.mark.parametrize("following", [False, True])
+@pytest.mark.parametrize("equal", [False, True])
+def test_nearest_smaller_of_few_values_is_that_by_rounds(spark, monkeypatch, following, equal):
+    rows = spark.createDataFrame([(g, i, (7 * i + i * i + g) % 5) for g in range(3) for i in range(30)], "g int, i int, v int")
+    found = lambda: sorted((r.g, r.i, r.v, -1 if r.to is None else r.to) for r in trees.nearest_smaller(rows, ["g"], "i", "v", "to", following, equal).collect())
+    by_windows = found()
+    monkeypatch.setattr(trees, "MOST_VALUES", 0)
+    assert by_windows == found()
+    assert trees.few_values(rows, "v") is None
