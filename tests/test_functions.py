@@ -138,3 +138,16 @@ def test_lzw_codes_of_all_widths():
             data = bytes(rng.randrange(kinds) for _ in range(n))
             assert from_lzw(to_lzw(data)) == data
     assert len(to_lzw(b"the quick brown fox " * 5000)) < 3000
+
+
+def test_what_getters_give_can_be_handed_to_python_functions(spark):
+    """As font encodings are: Spark failed to run a Python function whose input had an inner lambda that names an outer one's value."""
+    from quire.functions import glyphs
+
+    j = '{"n":1.5,"s":"x","d":"D:20110505091515Z","h":{"$bin":"FEFF00E9"},"a":[97,{"$name":"eacute"}],"k":{"q":1}}'
+    v = F.col("v")
+    rows = spark.createDataFrame([(j,)], "j string").select(values.parsed(F.col("j")).alias("v"))
+    text_ = [F.to_json(values.get_array(v, "a")), F.to_json(values.get_dict(v, "k")), values.get_string(v, "s"), values.get_string(v, "h"), values.kind(values.at(v, "d")), values.get_number(v, "n").cast("string"), values.get_date(v, "d").cast("string")]
+    passed = rows.select(*(values.value_text(F.to_json(F.array(t))).alias(f"c{i}") for i, t in enumerate(text_))).first()
+    assert list(passed) == ['([97,{"$name":"eacute"}])'.replace("(", "[(").replace(")", ")]"), '[({"q":1})]', "[(x)]", "[<FEFF00E9>]", "[(date)]", "[(1.5)]", "[(1304586915)]"]
+    assert rows.select(glyphs.encoding_of(F.lit(None).cast("string"), F.to_json(values.get_array(v, "a")))).first()[0][97] == "é"
