@@ -40,6 +40,29 @@ def fill_lines(words: DataFrame, group: list[str], width: str = "width", space:
     return folded.unionByName(_spread_lines(words.join(named, group, "left_semi").select(*words.columns), group, width, space, available, most))
 
 
+def lines_of(words: Column, available: Column, most: int = MOST) -> Column:
+    """The lines of words that stand in one row: an array of first (the place of a line's first word), words (how many) and end (where its last word ends).
+
+    words: an array of structs of width and space, which count as in fill_lines(). Nothing is shuffled or written, so rows should hold SHORT words at most.
+    """
+    line = "array<struct<first:int,words:int,end:bigint>>"
+    a = available.cast("bigint")
+
+    def shut(acc: Column) -> Column:
+        """The lines with the one that is being filled."""
+        now = F.struct((acc["n"] - acc["k"]).alias("first"), acc["k"].alias("words"), acc["end"].alias("end"))
+        return F.when(acc["k"] > 0, F.concat(acc["lines"], F.array(now))).otherwise(acc["lines"])
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["end"] + x["space"].cast("bigint") + x["width"].cast("bigint")
+        begins = (acc["k"] == 0) | (end >= a) | (acc["k"] >= most)
+        first = F.struct(x["width"].cast("bigint").alias("end"), F.lit(1).alias("k"), (acc["n"] + 1).alias("n"), shut(acc).alias("lines"))
+        return F.when(begins, first).otherwise(F.struct(end.alias("end"), (acc["k"] + 1).alias("k"), (acc["n"] + 1).alias("n"), acc["lines"].alias("lines")))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.array().cast(line).alias("lines"))
+    return F.aggregate(words, none, step, shut)
+
+
 def _folded_lines(words: DataFrame, group: list[str], width: str, space: str, available: str, most: int) -> DataFrame:
     before = F.sum(F.col("__w") + F.col("__s")).over(W.partitionBy(*group).orderBy("place").rowsBetween(W.unboundedPreceding, -1))
     rows = words.withColumns({"__w": F.col(width).cast("bigint"), "__s": F.col(space).cast("bigint"), "__a": F.col(available).cast("bigint")})

@@ -232,3 +232,26 @@ def test_nearest_smaller_of_few_values_is_that_by_rounds(spark, monkeypatch, fol
     monkeypatch.setattr(trees, "MOST_VALUES", 0)
     assert by_windows == found()
     assert trees.few_values(rows, "v") is None
+
+
+def test_short_texts_are_filled_in_their_rows(spark, sf):
+    """Words of short documents are neither dealt as rows nor sorted, and the lines are those of the spread way."""
+    from quire.plans import layouts
+
+    rng = random.Random(4)
+    groups = [[(rng.choice([1, 5, 9, 40]), 1) for _ in range(n)] for n in (1, 2, 30, 700)]
+    rows = spark.createDataFrame([(g, w) for g, w in enumerate(groups)], "g int, words array<struct<width:int,space:int>>")
+    got = dict(rows.select("g", layout.lines_of(F.col("words"), F.lit(30), 5).alias("l")).collect())
+    for g, words in enumerate(groups):
+        want, end, k = [], 0, 0
+        for n, (w, s) in enumerate(words):
+            if k == 0 or end + s + w >= 30 or k == 5:
+                want.append([n, 0, 0])
+                end, k = w, 1
+            else:
+                end, k = end + s + w, k + 1
+            want[-1][1:] = [k, end]
+        assert [list(x) for x in got[g]] == want
+    whole = layouts.line_filling(spark, sf, short=10**6)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, layouts.line_filling(spark, sf, short=40).collect())) == sorted(map(tuple, whole.collect()))
