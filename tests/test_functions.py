@@ -151,3 +151,20 @@ def test_what_getters_give_can_be_handed_to_python_functions(spark):
     passed = rows.select(*(values.value_text(F.to_json(F.array(t))).alias(f"c{i}") for i, t in enumerate(text_))).first()
     assert list(passed) == ['([97,{"$name":"eacute"}])'.replace("(", "[(").replace(")", ")]"), '[({"q":1})]', "[(x)]", "[<FEFF00E9>]", "[(date)]", "[(1.5)]", "[(1304586915)]"]
     assert rows.select(glyphs.encoding_of(F.lit(None).cast("string"), F.to_json(values.get_array(v, "a")))).first()[0][97] == "é"
+
+
+@pytest.mark.parametrize("seconds,date", [(253402300799, "D:99991231235959Z"), (253402300800, "D:100000101000000Z"), (622080086400, "D:216821207000000Z"), (3155760000000, "D:1019720121000000Z")])
+def test_dates_after_the_year_9999(spark, seconds, date):
+    """Made of keys of large tables: written, by SQL's %Y as well, with longer years, and read back."""
+    tagged = '{"$date":%d}' % seconds
+    assert one(spark, values.value_text(F.col("t")), t=tagged) == f"({date})"
+    assert one(spark, text.pdf_date(F.timestamp_seconds("n")), n=seconds) == date
+    assert one(spark, F.unix_timestamp(text.parse_pdf_date(F.col("s"))), s=date) == seconds
+    assert one(spark, F.unix_timestamp(text.parse_pdf_date(F.col("s"))), s=date.replace("Z", "+01'00'")) == seconds - 3600
+    assert one(spark, values.kind(values.parsed(F.to_json(F.array("s")))), s=date) == "array"
+    assert one(spark, values.get_date(values.parsed(F.to_json(F.struct(F.col("s").alias("d")))), "d"), s=date) == seconds
+
+
+def test_longer_years_are_for_whole_dates_only(spark):
+    for s in ("D:100000101", "D:1000001010000", "D:12345678901234567Z"):
+        assert one(spark, text.parse_pdf_date(F.col("s")), s=s) is None
