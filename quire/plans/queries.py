@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, content, crypt, text, values
 from ..operators import markdown, merge, text_extract, trees
 from ..sources import reader, writer
-from ..sources.scratch import settle
+from ..sources.scratch import settle, settled_alone
 from .files import doc_id, pdf_files, pdf_objects, table
 
 ORACLES: dict[str, str] = {}
@@ -73,9 +73,13 @@ SELECT source || '.pdf' AS output, doc_id, page_index, row_number() OVER (PARTIT
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objects of all PDFs merged by source. A source may hold a third of all rows: its file stays a table of objects."""
-    every = pdf_objects(spark, sf_dir)
-    out = merge.merged_objects(every, reader.pages(every), _by_source(spark, sf_dir))
-    return settle(out.withColumns({"generation": F.lit(0), "offset": F.lit(0).cast("bigint"), "repaired": F.lit(False)}), "merged-objects")
+
+    def made() -> DataFrame:
+        every = pdf_objects(spark, sf_dir)
+        out = merge.merged_objects(every, reader.pages(every), _by_source(spark, sf_dir))
+        return out.withColumns({"generation": F.lit(0), "offset": F.lit(0).cast("bigint"), "repaired": F.lit(False)})
+
+    return settled_alone(made, "merged-objects")
 
 
 def pdf_merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +118,8 @@ def repair_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose cross-reference start is damaged give the same objects as the sound ones."""
     files = pdf_files(spark, sf_dir)
     damaged = files.select("path", F.encode(F.replace(F.decode("content", "ISO-8859-1"), F.lit("startxref\n"), F.lit("startxref\n9")), "ISO-8859-1").alias("content"))
-    sound = reader.objects(files).select("path", "number", F.md5("body").alias("b"), F.md5("data").alias("d"))
-    mended = reader.objects(damaged).select("path", "number", F.md5("body").alias("b2"), F.md5("data").alias("d2"), "repaired")
+    sound = settled_alone(lambda: reader.objects(files).select("path", "number", F.md5("body").alias("b"), F.md5("data").alias("d")), "sound")
+    mended = settled_alone(lambda: reader.objects(damaged).select("path", "number", F.md5("body").alias("b2"), F.md5("data").alias("d2"), "repaired"), "mended")
     same = F.col("b").eqNullSafe(F.col("b2")) & F.col("d").eqNullSafe(F.col("d2")) & F.col("repaired")
     return sound.join(mended, ["path", "number"], "full").groupBy("path").agg(F.count("*").alias("num_objs"), F.bool_and(F.coalesce(same, F.lit(False))).alias("same")).select(doc_id(), "num_objs", "same")
 
